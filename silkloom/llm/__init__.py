@@ -3,9 +3,9 @@
 ``queries()`` and ``oracle_sql()`` gather what the modules register.
 """
 
-from . import chat, mix, quality, shards
+from . import bpe, chat, mix, quality, shards, warc
 
-_MODULES = (mix, quality, chat, shards)
+_MODULES = (warc, mix, quality, bpe, chat, shards)
 
 
 def queries():
