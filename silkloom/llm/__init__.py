@@ -3,9 +3,9 @@
 ``queries()`` and ``oracle_sql()`` gather what the modules register.
 """
 
-from . import bpe, chat, mix, quality, shards, warc
+from . import bpe, chat, mix, neardup, quality, shards, warc
 
-_MODULES = (warc, mix, quality, bpe, chat, shards)
+_MODULES = (warc, mix, quality, bpe, chat, shards, neardup)
 
 
 def queries():

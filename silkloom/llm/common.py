@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import scratch, stored  # noqa: F401  operators take these from here
+
 #: A word is a maximal run of characters other than space, \t, \n, \x0b, \x0c and \r.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -16,30 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's spark.checkpoint.dir.
-
-    Where it is unset (local tests), a temporary folder is set as the checkpoint folder.
-    """
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="silkloom-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/silkloom/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: its lineage is cut and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def with_word_count(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the number of words of a text column (null: 0), counted without regular expressions for most texts.
 
