@@ -3,9 +3,9 @@
 ``queries()`` and ``oracle_sql()`` gather what the modules register.
 """
 
-from . import ann, bpe, chat, linededup, mix, neardup, quality, shards, warc
+from . import ann, bpe, chat, cotrain, linededup, mix, neardup, quality, shards, warc
 
-_MODULES = (warc, mix, quality, bpe, chat, ann, shards, linededup, neardup)
+_MODULES = (warc, mix, quality, bpe, chat, ann, shards, linededup, cotrain, neardup)
 
 
 def queries():
