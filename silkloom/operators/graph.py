@@ -51,3 +51,36 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = e.select(F.col("v").alias("id")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
+
+
+def greedy_commit(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(seq_id, ord, is_rep) of nodes (seq_id, ord): a node is a representative unless one before it in order is its neighbour.
+
+    edges: (src, dst), src before dst. That is the greedy scan, in rounds: nodes with no undecided neighbour before
+    them become representatives, and their neighbours drop out. The first undecided node is always decided.
+    """
+    live = stored(edges.select("src", "dst").distinct(), "edges")
+    dropped = None
+    for _ in range(most_rounds):
+        if not live.head(1):
+            break
+        reps = live.select(F.col("src").alias("id")).distinct().join(live.select(F.col("dst").alias("id")), "id", "left_anti")
+        out = stored(live.join(reps.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct(), "dropped")
+        dropped = out if dropped is None else dropped.unionByName(out)
+        left = live.join(out.withColumnRenamed("id", "src"), "src", "left_anti").join(out.withColumnRenamed("id", "dst"), "dst", "left_anti")
+        live = stored(left.select("src", "dst"), "edges")
+    else:
+        raise RuntimeError(f"the greedy commit did not settle in {most_rounds} rounds")
+    if dropped is None:
+        return nodes.select("seq_id", "ord", F.lit(True).alias("is_rep"))
+    gone = dropped.select(F.col("id").alias("seq_id"), F.lit(False).alias("is_rep"))
+    return nodes.select("seq_id", "ord").join(gone, "seq_id", "left").select("seq_id", "ord", F.coalesce("is_rep", F.lit(True)).alias("is_rep"))
+
+
+def assigned(marked: DataFrame, edges: DataFrame, by: list) -> DataFrame:
+    """(seq_id, root_id): representatives stand for themselves, others go to the representative that comes first ``by`` (columns of edges, or rep_ord)."""
+    reps = marked.filter("is_rep").select(F.col("seq_id").alias("src"), F.col("ord").alias("rep_ord"))
+    members = marked.filter("not is_rep").select(F.col("seq_id").alias("dst"))
+    first = edges.join(reps, "src").join(members, "dst").groupBy("dst").agg(F.min(F.struct(*by, F.col("src"))).alias("b"))
+    own = marked.filter("is_rep").select("seq_id", F.col("seq_id").alias("root_id"))
+    return own.unionByName(first.select(F.col("dst").alias("seq_id"), F.col("b.src").alias("root_id")))
