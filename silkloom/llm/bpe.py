@@ -318,7 +318,14 @@ class Decoder:
         return "".join([*(self.feed(ids[i : i + block]) for i in range(0, len(ids), block)), self.finish()])
 
 
-encoder_of, decoder_of = lru_cache(maxsize=2)(Encoder), lru_cache(maxsize=2)(Decoder)
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    return Encoder(path)
+
+
+@lru_cache(maxsize=2)
+def decoder_of(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
