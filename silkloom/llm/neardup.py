@@ -1,10 +1,10 @@
 """MinHash near-duplicates by an LSH forest.
 
-A document's set is its distinct word shingles. Equal sets are one node. Each node has TREES * DEPTH minhashes; a tree
-takes DEPTH of them in turn as a key, and the nodes of each tree are sorted by it. In a sorted order the nodes with the
-longest common prefix stand together: a node's candidates are its neighbours that share at least ``LEAST`` values. In
-dense regions the neighbours share long prefixes and in sparse ones short prefixes, so the depth adapts by itself. The
-orders are range-partitioned, which splits regions of any size.
+A document's set is its distinct word shingles. Equal sets are one node. Of each node's minhashes a tree takes DEPTH in
+turn as a key, and the nodes of each tree are sorted by it. In a sorted order the nodes with the longest common prefix
+stand together: a node's candidates are its neighbours that share at least ``LEAST`` values. In dense regions the
+neighbours share long prefixes and in sparse ones short prefixes, so the depth adapts by itself. The orders are
+range-partitioned, which splits regions of any size.
 
 Candidates pass a sketch of one bit per minhash and the size bound, and are confirmed on full sets. To verify few
 pairs, each node's best candidate comes first; then, of all others, those between nodes not yet connected; then the
@@ -33,6 +33,9 @@ BEST = 3
 #: Of TREES * DEPTH bits, those that two sketches may differ in. At a similarity of 0.8 they differ in 12.8 on average
 #: with a deviation of 3.4, so 29 or more come once in 100,000 pairs, independently of the orders.
 MOST_BITS = 28
+#: The wide search is of few nodes and has a finer sketch, two bits of each of HASHES minhashes. At a similarity of 0.8
+#: 38.4 of them differ on average with a deviation of 5.7, so 63 or more come once in 50,000 pairs.
+HASHES, MOST_FINE = 256, 62
 _CACHE = 400_000
 
 
@@ -42,8 +45,8 @@ class Shingler:
     def __init__(self, size: int):
         self.size, self.words = size, {}
         rng = np.random.Generator(np.random.PCG64(12))
-        self.mul = rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.add = rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
+        self.mul = rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.add = rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
         self.weights = rng.integers(1, 1 << 63, max(size, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def _hashes(self, words: list[bytes]) -> np.ndarray:
@@ -73,7 +76,7 @@ class Shingler:
         return np.unique(x)
 
     def minhashes(self, s: np.ndarray) -> np.ndarray:
-        least = np.full(TREES * DEPTH, 0xFFFFFFFF, np.uint32)
+        least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
         for i in range(0, len(s), 1024):
             h = (s[i : i + 1024, None] * self.mul + self.add) >> np.uint64(32)
             least = np.minimum(least, h.min(0).astype(np.uint32))
@@ -88,10 +91,10 @@ def _shingler(size: int) -> Shingler:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, keys, bits): keys has one sortable binary key per tree, bits the sketch as two longs."""
+    """(doc_id, n_shingles, set_hash, keys, bits, fine): keys has one sortable binary key per tree, bits the sketch as two longs, fine the finer one."""
     kind = T.StructType([
         T.StructField("n", T.LongType()), T.StructField("hash", T.BinaryType()), T.StructField("keys", T.ArrayType(T.BinaryType())),
-        T.StructField("bits", T.ArrayType(T.LongType())),
+        T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("fine", T.BinaryType()),
     ])
 
     @F.pandas_udf(kind)
@@ -102,17 +105,19 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             for text in texts:
                 s = shingler.set_of(text)
                 if not len(s):
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
                 m = shingler.minhashes(s)
+                fine = np.packbits(np.stack([(m >> np.uint32(8)) & np.uint32(1), (m >> np.uint32(9)) & np.uint32(1)], 1).astype(np.uint8).ravel()).tobytes()
+                m = m[: TREES * DEPTH]
                 bits = np.packbits((m >> np.uint32(7)).astype(np.uint8) & 1).view(np.int64)
                 keys = m.astype(">u4").tobytes()
                 step = 4 * DEPTH
-                rows.append((len(s), xxhash.xxh128_digest(s.tobytes()), [keys[i : i + step] for i in range(0, len(keys), step)], bits))
-            yield pd.DataFrame(rows, columns=["n", "hash", "keys", "bits"])
+                rows.append((len(s), xxhash.xxh128_digest(s.tobytes()), [keys[i : i + step] for i in range(0, len(keys), step)], bits, fine))
+            yield pd.DataFrame(rows, columns=["n", "hash", "keys", "bits", "fine"])
 
     signed = docs.select("doc_id", sign(F.col("text")).alias("s"))
-    return signed.select("doc_id", F.col("s.n").alias("n_shingles"), F.col("s.hash").alias("set_hash"), F.col("s.keys").alias("keys"), F.col("s.bits").alias("bits"))
+    return signed.select("doc_id", F.col("s.n").alias("n_shingles"), F.col("s.hash").alias("set_hash"), F.col("s.keys").alias("keys"), F.col("s.bits").alias("bits"), F.col("s.fine").alias("fine"))
 
 
 PAIR = "a long, b long, differ int"
@@ -120,11 +125,12 @@ PAIR = "a long, b long, differ int"
 
 def _neighbours(window: int, best: int | None):
     """Of a sorted order, in tasks' stretches: pairs of near rows with a common prefix of LEAST values, of different
-    components, that pass the sketch and the size bound. best: so many of each row at most, the most alike first."""
+    components, that pass the sketch (without best, the finer one) and the size bound. best: so many of each row at most, the most alike first."""
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
         ids, comp, n = frame["node"].to_numpy(), frame["comp"].to_numpy(), frame["n_shingles"].to_numpy()
         low, high = frame["b0"].to_numpy().view(np.uint64), frame["b1"].to_numpy().view(np.uint64)
+        fine = None if best else np.frombuffer(b"".join(frame["fine"]), np.uint64).reshape(len(frame), -1)
         key = np.frombuffer(b"".join(t.to_bytes(4, "big") + k[: 4 * LEAST] for t, k in zip(frame["tree"].tolist(), frame["key"])), "V%d" % (4 + 4 * LEAST))
         _, region = np.unique(key, return_inverse=True)
         found = []
@@ -136,7 +142,10 @@ def _neighbours(window: int, best: int | None):
                 continue
             j = i + step
             differ = np.bitwise_count(low[i] ^ low[j]).astype(np.int32) + np.bitwise_count(high[i] ^ high[j])
-            ok = (differ <= MOST_BITS) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+            if not best:
+                x = fine[i] ^ fine[j]
+                differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1).astype(np.int32)
+            ok = (differ <= (MOST_BITS if best else MOST_FINE)) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
             found.append((i[ok], j[ok], differ[ok]))
         if not found:
             return pd.DataFrame({"a": [], "b": [], "differ": []}).astype({"a": "int64", "b": "int64", "differ": "int32"})
@@ -162,7 +171,7 @@ def _neighbours(window: int, best: int | None):
 
 def candidates(nodes: DataFrame, window: int, best: int | None) -> DataFrame:
     """Distinct candidate pairs (a < b) of nodes (node, comp, n_shingles, keys, bits) over all sorted orders."""
-    rows = nodes.select("node", "comp", "n_shingles", F.col("bits")[0].alias("b0"), F.col("bits")[1].alias("b1"), F.posexplode("keys").alias("tree", "key"))
+    rows = nodes.select("node", "comp", "n_shingles", *([] if best else ["fine"]), F.col("bits")[0].alias("b0"), F.col("bits")[1].alias("b1"), F.posexplode("keys").alias("tree", "key"))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     return order.mapInPandas(_neighbours(window, best), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
@@ -212,8 +221,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(signatures(docs, size), "signatures")
     full = signed.filter("n_shingles > 0")
-    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n_shingles", "keys", "bits")))
-    nodes = full.groupBy("set_hash").agg(first.alias("f")).filter("f is not null").select("set_hash", F.col("f.doc_id").alias("node"), "f.n_shingles", "f.keys", "f.bits")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n_shingles", "keys", "bits", "fine")))
+    nodes = full.groupBy("set_hash").agg(first.alias("f")).filter("f is not null").select("set_hash", F.col("f.doc_id").alias("node"), "f.n_shingles", "f.keys", "f.bits", "f.fine")
     sets = stored(nodes, "sets")
 
     search = sets.withColumn("comp", F.col("node"))
