@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import greedy_alphabet, nucleotides, masked, reverse_complement
 from ..plans.storage import stored
 from .align import alignments, nucleotide, protein, required, word_cut
-from .candidates import _postings, _sides, edges, length_bound, small_pairs
+from .candidates import _sides, edges, length_bound, small_pairs
 from .graph import assigned, components, greedy_commit
-from .kmers import kmer_counts, ranked
+from .kmers import kmer_counts, ranked, unmasked_words
 from .options import Options
 from .sketch import DIMS, sketches, votes
 
@@ -47,10 +47,13 @@ def _matches(seqs: DataFrame, o: Options) -> DataFrame:
     alphabet = (lambda s: masked(nucleotides(s), o.mask)) if o.nucleotide else greedy_alphabet
     coded = seqs.select("seq_id", alphabet(F.col("seq")).alias("seq"))
     scoring = nucleotide(o.match, o.mismatch, o.gap, o.gap_ext) if o.nucleotide else protein()
-    need = F.udf(lambda n: required(int(n), k, k, c, word_cut(k, c)), "int")
+    need = F.udf(lambda n: max(1, required(int(n), k, k, c, word_cut(k, c))), "int")  # per distinct length
     lengths = ranked(coded).filter(F.col("len") >= k)
     needs = lengths.select("len").distinct().withColumn("need", need("len"))
-    info = lengths.join(needs, "len").select("seq_id", "ord", "len", "need")
+    info = lengths.join(needs, "len")
+    if o.nucleotide:  # words with an N are not counted, so fewer need to be shared
+        info = info.join(unmasked_words(coded, k), "seq_id").withColumn("need", F.greatest(F.lit(1), F.col("need") - F.col("skipped")))
+    info = info.select("seq_id", "ord", "len", "need", (F.col("len") - k + 1).alias("total"))
 
     def with_info(x: DataFrame) -> DataFrame:
         counts = kmer_counts(x, k)
@@ -59,14 +62,21 @@ def _matches(seqs: DataFrame, o: Options) -> DataFrame:
         return counts.join(info, "seq_id")
 
     reps = with_info(coded)
+    df = reps.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     out = None
     for strand in ["+", "-"] if o.nucleotide and o.both_strands else ["+"]:
         query = coded if strand == "+" else coded.select("seq_id", reverse_complement(F.col("seq")).alias("seq"))
-        a, b = _sides(reps, reps if strand == "+" else with_info(query), "seq_id", "ord", "len", "word", "cnt", "need")
+        asked = reps if strand == "+" else with_info(query)
+        # A query that shares `need` words shares one of its rarest total - need + 1: only these meet the representatives.
+        before = F.coalesce(F.sum("cnt").over(Window.partitionBy("seq_id").orderBy("df", "word").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rare = asked.join(df, "word").withColumn("before", before).filter(F.col("before") <= F.col("total") - F.col("need"))
+        a, b = _sides(reps, rare, "seq_id", "ord", "len", "word")
         fits = length_bound(F.col("b_len"), F.col("a_len"), o.length_ratio, o.most_shorter) if o.length_ratio > 0 else F.col("a_len") - F.col("b_len") <= o.most_shorter
-        joined = a.join(b, (F.col("a_word") == F.col("b_word")) & (F.col("a_ord") < F.col("b_ord")) & fits)
-        pairs = joined.groupBy(F.col("a_seq_id").alias("src"), F.col("b_seq_id").alias("dst")).agg(
-            F.sum(F.least("a_cnt", "b_cnt")).alias("shared"), F.min("a_word").alias("first_word"), F.max("b_need").alias("need"),
+        near = a.join(b, (F.col("a_word") == F.col("b_word")) & (F.col("a_ord") < F.col("b_ord")) & fits).select(F.col("a_seq_id").alias("src"), F.col("b_seq_id").alias("dst")).distinct()
+        left = reps.select(F.col("seq_id").alias("src"), "word", F.col("cnt").alias("ca"))
+        right = asked.select(F.col("seq_id").alias("dst"), "word", F.col("cnt").alias("cb"), "need")
+        pairs = near.join(left, "src").join(right, ["dst", "word"]).groupBy("src", "dst").agg(
+            F.sum(F.least("ca", "cb")).alias("shared"), F.min("word").alias("first_word"), F.max("need").alias("need"),
         ).filter(F.col("shared") >= F.col("need"))
         pairs = stored(pairs, "pairs")
         texts = coded if strand == "+" else coded.select(F.struct(F.lit("+").alias("t"), "seq_id").alias("seq_id"), "seq").unionByName(query.select(F.struct(F.lit("-").alias("t"), "seq_id").alias("seq_id"), "seq"))
