@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from .common import table
 
 #: Results kept for white-space separated chunks and for pieces, per Python worker.
-CACHE = 300_000
+CACHE = 120_000
 NEVER = 1 << 60
 
 
@@ -86,7 +87,7 @@ class Merges:
         """Whether b can follow a: no merge across the boundary comes before those that consume its sides."""
         known = self._fits.get((a, b))
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 400_000:
                 self._fits.clear()
             known = self._fits[a, b] = not self._crosses(self.spine(a, 1), self.spine(b, 0))
         return known
@@ -146,7 +147,7 @@ class Merges:
                 pair = before << 32 | token
                 fits = pairs.get(pair)
                 if fits is None:
-                    if len(pairs) > 2_000_000:
+                    if len(pairs) > 400_000:
                         pairs.clear()
                     fits = pairs[pair] = not self._crosses(self.spine(self.names[before], 1), self.spine(self.names[token], 0))
                 if not fits:
@@ -221,13 +222,13 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.file = json.load(open(path, encoding="utf-8"))
-        model = self.file["model"]
+        file = json.load(open(path, encoding="utf-8"))
+        model = file["model"]
         self.vocab = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.merges = Merges((tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]), self.vocab, self.suffix)
         self.library = Tokenizer.from_file(path)
-        self.special = {t["content"]: t["id"] for t in self.file["added_tokens"]}
+        self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.symbols = {i: c for i, c in enumerate(byte_symbols())}
         self.words: dict[str, tuple[int, ...]] = {}
@@ -290,9 +291,9 @@ class Decoder:
     """Turns ids into text, block by block. State: whether anything was written, and the bytes of an unfinished character."""
 
     def __init__(self, path: str):
-        self.file = json.load(open(path, encoding="utf-8"))
-        self.tokens = {i: t for t, i in self.file["model"]["vocab"].items()} | {t["id"]: t["content"] for t in self.file["added_tokens"]}
-        self.to_bytes = (self.file.get("decoder") or {}).get("type") == "ByteLevel"
+        file = json.load(open(path, encoding="utf-8"))
+        self.tokens = {i: t for t, i in file["model"]["vocab"].items()} | {t["id"]: t["content"] for t in file["added_tokens"]}
+        self.to_bytes = (file.get("decoder") or {}).get("type") == "ByteLevel"
         self.byte = {c: b for b, c in enumerate(byte_symbols())}
         self.reset()
 
@@ -356,11 +357,26 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
     return docs.withColumn(out, text(F.col(ids_col)))
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
+    """(doc_id, ids, decoded): encode() and decode() in one pass over a batch, ``rows`` rows at a time, so a task holds few of them."""
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = encoder_of(path), decoder_of(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ids = [np.array(encoder.encode(t), np.int32) for t in part.column(1).to_pylist()]
+                texts = pa.array([decoder.decode(i.tolist()) for i in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), texts], names=["doc_id", "ids", "decoded"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of the documents' texts."""
-    rows = decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
     numbers = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def default_path() -> str:
