@@ -12,8 +12,10 @@ their sparse features reach the driver. Scoring covers all documents.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,11 +40,12 @@ class Views:
     _LETTERS, _UPPER, _DIGITS = re.compile(r"[^\W\d_A-Z]+"), re.compile("[A-Z]+"), re.compile(r"\d+")
 
     def __init__(self):
-        self.words: dict[str, tuple[int, int]] = {}
+        self.words: dict[str, int] = {}
 
-    def _word(self, w: str) -> tuple[int, int]:
+    def _word(self, w: str) -> int:
+        """A word's hash and that of its shape, in one number."""
         shape = self._DIGITS.sub("9", self._UPPER.sub("X", self._LETTERS.sub("x", w[:64])))
-        got = xxhash.xxh32_intdigest(w.lower()) % WORDS, WORDS + xxhash.xxh32_intdigest(shape, 1) % SHAPES
+        got = xxhash.xxh32_intdigest(w.lower()) % WORDS * SHAPES + xxhash.xxh32_intdigest(shape, 1) % SHAPES + 1
         if len(self.words) >= _CACHE:
             self.words.clear()
         self.words[w] = got
@@ -53,16 +56,23 @@ class Views:
         if not words:
             return np.array([WORDS + SHAPES], np.int32), np.ones(1, np.float32)
         known = self.words
-        ids = np.array([known.get(w) or self._word(w) for w in words], np.int32).ravel()
-        at, n = np.unique(ids, return_counts=True)
+        ids = np.array([known.get(w) or self._word(w) for w in words], np.int64) - 1
+        n = np.bincount(ids // SHAPES, minlength=WORDS + SHAPES)
+        n[WORDS:] = np.bincount(ids % SHAPES, minlength=SHAPES)
+        at = np.flatnonzero(n)
+        n = n[at]
         lines = [x for x in text.split("\n") if x]
         extra = [(1, 1 - len(set(lines)) / max(1, len(lines))), (2, 1 - len(set(words)) / len(words)), (3, min(1.0, np.log2(len(words)) / 20))]
         at = np.concatenate([at, np.array([WORDS + SHAPES + i for i, _ in extra], np.int32)])
         return at.astype(np.int32), np.concatenate([np.sqrt(n / len(words)), [v for _, v in extra]]).astype(np.float32)
 
+    def meta(self, source, lang, n_chars) -> tuple[np.ndarray, np.ndarray]:
+        size = "none" if n_chars is None or n_chars != n_chars else str(int(math.log2(max(0, n_chars) + 1) * 2))
+        return self._hashed(source, lang, size)
+
     @staticmethod
-    def meta(source, lang, n_chars) -> tuple[np.ndarray, np.ndarray]:
-        size = "none" if n_chars is None or n_chars != n_chars else str(int(np.log2(max(0, n_chars) + 1) * 2))
+    @lru_cache(maxsize=50_000)
+    def _hashed(source, lang, size: str) -> tuple[np.ndarray, np.ndarray]:
         names = [f"source={source}", f"lang={lang}", f"size={size}", f"{lang}/{size}"]
         return np.array([xxhash.xxh32_intdigest(x) % META for x in names], np.int32), np.full(4, 0.5, np.float32)
 
@@ -110,8 +120,8 @@ def calibration(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray
     return w
 
 
-def sigmoid(z):
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+def sigmoid(z: float) -> float:
+    return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
 
 _FEATURES = "doc_id long, y double, at_t array<int>, val_t array<float>, at_m array<int>, val_m array<float>"
@@ -150,9 +160,10 @@ def _confident(docs: DataFrame, text: Logistic, meta: Logistic, used: frozenset,
             for ident, t, m in zip(b["doc_id"].tolist(), *_view_rows(b, views)):
                 if ident is None or ident != ident or ident in used:
                     continue
-                order = xxhash.xxh64_intdigest(str(int(ident)), seed) >> 1
+                order = None
                 for view, p in (("meta", sigmoid(text.logit(t))), ("text", sigmoid(meta.logit(m)))):
                     if max(p, 1 - p) >= CONFIDENT:
+                        order = order or xxhash.xxh64_intdigest(str(int(ident)), seed) >> 1
                         heap = kept.setdefault((view, float(p > 0.5)), [])
                         item = (-order, int(ident), t, m)
                         if len(heap) < GIVEN:
