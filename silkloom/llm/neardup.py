@@ -227,6 +227,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     search = sets.withColumn("comp", F.col("node"))
     pairs = stored(candidates(search, WINDOW, BEST), "pairs")
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    # Texts are needed of candidates only: they are picked once, and all that follows moves these.
+    docs = stored(docs.join(involved.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "texts")
     to_best = pairs.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     links = stored(confirmed(to_best, docs, size, percent), "links")
     parts = stored(components(links, "a", "b"), "parts")
@@ -236,7 +239,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         links = links.unionByName(more)
         parts = stored(components(links, "a", "b"), "parts")
     tried = pairs.select("a", "b")
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     close = stored(sets.join(involved, "node", "left_semi"), "close")
     while True:
         labelled = close.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("component", "node"))
