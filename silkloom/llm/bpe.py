@@ -130,9 +130,12 @@ class Merges:
             before.append(max(before[-1] if before else 0, size(v) + need))
         return most
 
-    def last(self, string: str) -> tuple[int, int]:
-        """The last token (id) of the encoding of a string of symbols, and where it starts; kept for short strings, as words share their beginnings."""
-        got = self._ends.get(string)
+    def last(self, string: str, known: dict[int, tuple[int, int]]) -> tuple[int, int]:
+        """The last token (id) of the encoding of a string of symbols, and where it starts.
+
+        Short strings are kept for all words, as words share their beginnings; ``known`` keeps the others by length for one word.
+        """
+        got = known.get(len(string)) or self._ends.get(string)
         if got is not None:
             return got
         to, get, pairs = len(string), self.good.get, self._pairs
@@ -143,7 +146,7 @@ class Merges:
             if token is None:
                 continue
             if at:
-                before = self.last(string[:at])[0]
+                before = self.last(string[:at], known)[0]
                 pair = before << 32 | token
                 fits = pairs.get(pair)
                 if fits is None:
@@ -156,15 +159,18 @@ class Merges:
                 if len(self._ends) >= CACHE:
                     self._ends.clear()
                 self._ends[string] = token, at
+            else:
+                known[len(string)] = token, at
             return token, at
         raise ValueError(f"no token ends {string!r}")
 
     def short(self, piece: str) -> tuple[int, ...]:
         """The same as stream() for a piece that is at hand whole, as ids."""
-        token, at = self.last(piece + self.suffix)
+        known: dict[int, tuple[int, int]] = {}
+        token, at = self.last(piece + self.suffix, known)
         out = [token]
         while at:
-            token, at = self.last(piece[:at])
+            token, at = self.last(piece[:at], known)
             out.append(token)
         return tuple(out[::-1])
 
