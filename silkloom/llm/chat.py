@@ -58,13 +58,12 @@ def fold(events: DataFrame) -> DataFrame:
         return F.struct((last >= 0).alias("reset"), gone.alias("deleted"), text.alias("text"))
 
     stretch = F.floor(F.coalesce(F.col("seq"), F.lit(0)) / STRETCH)
-    first_role = F.min_by("role", F.when(F.col("role").isNotNull(), F.struct("seq", "role")))
     parts = known.withColumn("_part", stretch).groupBy("conv_id", "message_id", "_part").agg(
-        folded(F.array_sort(F.collect_list(one))).alias("f"), F.min("seq").alias("seq"), F.min_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"),
+        folded(F.array_sort(F.collect_list(one))).alias("f"), F.min("seq").alias("seq"), F.min(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).alias("named"),
     )
     again = F.struct(F.col("_part").alias("seq"), F.when(F.col("f.reset"), 0).otherwise(1).alias("order"), F.col("f.text").alias("text"), F.col("f.deleted").alias("deleted"))
     whole = parts.groupBy("conv_id", "message_id").agg(
-        folded(F.array_sort(F.collect_list(again))).alias("f"), F.min("seq").alias("seq"), first_role.alias("role"),
+        folded(F.array_sort(F.collect_list(again))).alias("f"), F.min("seq").alias("seq"), F.min("named")["role"].alias("role"),
     )
     return whole.filter(~F.col("f.deleted")).select("conv_id", "message_id", "seq", "role", F.col("f.text").alias("text"))
 
