@@ -8,7 +8,7 @@ range-partitioned, which splits regions of any size.
 
 Candidates pass a sketch of one bit per minhash and the size bound, and are confirmed on full sets. To verify few
 pairs, each node's best candidate comes first; then, of all others, those between nodes not yet connected; then the
-orders are searched again, with a wider window, for links between different components, until none is found.
+orders are searched again, with a much wider window, for links between different components, until none is found.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from ..operators.graph import components
 from .common import stored, table
 
 TREES, DEPTH, LEAST = 16, 8, 3
-#: Neighbours looked at in each order: at first, and when different components are searched for links.
-WINDOW, WIDE = 16, 64
-#: Best candidates of a node that one order gives at first.
-BEST = 3
+#: Neighbours looked at in each order, before and behind: at first, and when different components are searched for links.
+WINDOW, WIDE = 16, 4096
+#: Best candidates of a node that one order gives: at first, and in the search between components.
+BEST, BEST_FINE = 3, 32
 #: Of TREES * DEPTH bits, those that two sketches may differ in. At a similarity of 0.8 they differ in 12.8 on average
 #: with a deviation of 3.4, so 29 or more come once in 100,000 pairs, independently of the orders.
 MOST_BITS = 28
@@ -123,41 +123,81 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 PAIR = "a long, b long, differ int"
 
 
-def _neighbours(window: int, best: int | None):
-    """Of a sorted order, in tasks' stretches: pairs of near rows with a common prefix of LEAST values, of different
-    components, that pass the sketch (without best, the finer one) and the size bound. best: so many of each row at most, the most alike first."""
-
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, comp, n = frame["node"].to_numpy(), frame["comp"].to_numpy(), frame["n_shingles"].to_numpy()
-        low, high = frame["b0"].to_numpy().view(np.uint64), frame["b1"].to_numpy().view(np.uint64)
-        fine = None if best else np.frombuffer(b"".join(frame["fine"]), np.uint64).reshape(len(frame), -1)
-        key = np.frombuffer(b"".join(t.to_bytes(4, "big") + k[: 4 * LEAST] for t, k in zip(frame["tree"].tolist(), frame["key"])), "V%d" % (4 + 4 * LEAST))
-        _, region = np.unique(key, return_inverse=True)
-        found = []
-        for step in range(1, min(window, len(ids) - 1) + 1):
-            i = np.flatnonzero((region[:-step] == region[step:]) & (comp[:-step] != comp[step:]))
-            if not len(i) and best:
-                if not (region[:-step] == region[step:]).any():
-                    break
-                continue
-            j = i + step
-            differ = np.bitwise_count(low[i] ^ low[j]).astype(np.int32) + np.bitwise_count(high[i] ^ high[j])
-            if not best:
-                x = fine[i] ^ fine[j]
-                differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1).astype(np.int32)
-            ok = (differ <= (MOST_BITS if best else MOST_FINE)) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
-            found.append((i[ok], j[ok], differ[ok]))
-        if not found:
-            return pd.DataFrame({"a": [], "b": [], "differ": []}).astype({"a": "int64", "b": "int64", "differ": "int32"})
-        i, j, differ = (np.concatenate(x) for x in zip(*found))
-        if best and len(i):
-            rows, others, by = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([differ, differ])
-            order = np.lexsort((ids[others], by, rows))
-            rows, others, by = rows[order], others[order], by[order]
-            rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            i, j, differ = rows[rank < best], others[rank < best], by[rank < best]
-        a, b = ids[i], ids[j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "differ": differ.astype(np.int32)})
+def _regions(frame: pd.DataFrame) -> np.ndarray:
+    """Rows of a sorted order numbered by tree and first LEAST values of their keys."""
+    key = np.frombuffer(b"".join(t.to_bytes(4, "big") + k[: 4 * LEAST] for t, k in zip(frame["tree"].tolist(), frame["key"])), "V%d" % (4 + 4 * LEAST))
+    return np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(key) else np.empty(0, np.int64)
+
+
+def _frame(ids: np.ndarray, i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> pd.DataFrame:
+    a, b = ids[i], ids[j]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "differ": differ.astype(np.int32)})
+
+
+def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+
+
+_NONE = np.empty(0, np.int64)
+
+
+def near_pairs(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of a stretch of a sorted order: near rows that share LEAST values and pass the sketch and the size bound, BEST of each row, the most alike first."""
+    ids, n, region = frame["node"].to_numpy(), frame["n_shingles"].to_numpy(), _regions(frame)
+    low, high = frame["b0"].to_numpy().view(np.uint64), frame["b1"].to_numpy().view(np.uint64)
+    found = []
+    for step in range(1, min(WINDOW, len(ids) - 1) + 1):
+        i = np.flatnonzero(region[:-step] == region[step:])
+        if not len(i):
+            break
+        j = i + step
+        differ = np.bitwise_count(low[i] ^ low[j]).astype(np.int32) + np.bitwise_count(high[i] ^ high[j])
+        ok = (differ <= MOST_BITS) & _alike(n[i], n[j])
+        found.append((i[ok], j[ok], differ[ok]))
+    if not found:
+        return _frame(ids, _NONE, _NONE, _NONE)
+    i, j, differ = (np.concatenate(x) for x in zip(*found))
+    rows, others, by = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([differ, differ])
+    order = np.lexsort((ids[others], by, rows))
+    rows, others, by = rows[order], others[order], by[order]
+    best = np.arange(len(rows)) - np.searchsorted(rows, rows) < BEST
+    return _frame(ids, rows[best], others[best], by[best])
+
+
+def crossing_pairs(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of a stretch of a sorted order: for each row that is not of its region's largest component, the BEST_FINE rows
+    of other components, within WIDE places, that are most alike by the finer sketch."""
+    ids, n, comp, region = frame["node"].to_numpy(), frame["n_shingles"].to_numpy(), frame["comp"].to_numpy(), _regions(frame)
+    if not len(ids):
+        return _frame(ids, _NONE, _NONE, _NONE)
+    fine = np.frombuffer(b"".join(frame["fine"]), np.uint64).reshape(len(frame), -1)
+    cuts = np.flatnonzero(np.diff(region)) + 1
+    found = []
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+        if end - start < 2 or (comp[start:end] == comp[start]).all():
+            continue
+        names, counts = np.unique(comp[start:end], return_counts=True)
+        small = start + np.flatnonzero(comp[start:end] != names[counts.argmax()]) if counts.max() > 1 else np.arange(start, end)
+        for at in range(0, len(small), 64):
+            rows = small[at : at + 64]
+            lo, hi = max(start, rows[0] - WIDE), min(end, rows[-1] + WIDE + 1)
+            x = fine[rows, None, :] ^ fine[None, lo:hi, :]
+            differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(2).astype(np.int32)
+            differ[(comp[rows, None] == comp[None, lo:hi]) | ~_alike(n[rows, None], n[None, lo:hi])] = 1 << 20
+            if hi - lo > BEST_FINE:
+                near = np.argpartition(differ, BEST_FINE - 1, 1)[:, :BEST_FINE]
+            else:
+                near = np.broadcast_to(np.arange(hi - lo), differ.shape)
+            by = np.take_along_axis(differ, near, 1)
+            ok = by <= MOST_FINE
+            found.append((np.broadcast_to(rows[:, None], near.shape)[ok], (near + lo)[ok], by[ok]))
+    if not found:
+        return _frame(ids, _NONE, _NONE, _NONE)
+    return _frame(ids, *(np.concatenate(x) for x in zip(*found)))
+
+
+def _neighbours(pairs, window: int):
+    """Runs pairs() over the sorted rows of a task, with the last rows of each batch before the next."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = None
@@ -169,12 +209,12 @@ def _neighbours(window: int, best: int | None):
     return search
 
 
-def candidates(nodes: DataFrame, window: int, best: int | None) -> DataFrame:
-    """Distinct candidate pairs (a < b) of nodes (node, comp, n_shingles, keys, bits) over all sorted orders."""
-    rows = nodes.select("node", "comp", "n_shingles", *([] if best else ["fine"]), F.col("bits")[0].alias("b0"), F.col("bits")[1].alias("b1"), F.posexplode("keys").alias("tree", "key"))
+def candidates(nodes: DataFrame, between: bool) -> DataFrame:
+    """Distinct candidate pairs (a < b) of nodes (node, n_shingles, keys, bits) over all sorted orders; between: of different components only (comp, fine)."""
+    rows = nodes.select("node", "n_shingles", *(["comp", "fine"] if between else []), F.col("bits")[0].alias("b0"), F.col("bits")[1].alias("b1"), F.posexplode("keys").alias("tree", "key"))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    return order.mapInPandas(_neighbours(window, best), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    return order.mapInPandas(_neighbours(crossing_pairs, WIDE) if between else _neighbours(near_pairs, WINDOW), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -225,8 +265,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     nodes = full.groupBy("set_hash").agg(first.alias("f")).filter("f is not null").select("set_hash", F.col("f.doc_id").alias("node"), "f.n_shingles", "f.keys", "f.bits", "f.fine")
     sets = stored(nodes, "sets")
 
-    search = sets.withColumn("comp", F.col("node"))
-    pairs = stored(candidates(search, WINDOW, BEST), "pairs")
+    pairs = stored(candidates(sets, False), "pairs")
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     # Texts are needed of candidates only: they are picked once, and all that follows moves these.
     docs = stored(docs.join(involved.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "texts")
@@ -242,7 +281,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     close = stored(sets.join(involved, "node", "left_semi"), "close")
     while True:
         labelled = close.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("component", "node"))
-        wide = stored(candidates(labelled, WIDE, None).join(tried, ["a", "b"], "left_anti"), "pairs")
+        wide = stored(candidates(labelled, True).join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stored(confirmed(wide, docs, size, percent), "links") if wide.head(1) else wide.select("a", "b").limit(0)
         if not found.head(1):
             break
