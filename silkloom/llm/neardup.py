@@ -30,6 +30,8 @@ TREES, DEPTH, LEAST = 16, 8, 3
 WINDOW, WIDE = 16, 4096
 #: Best candidates of a node that one order gives: at first, and in the search between components.
 BEST, BEST_FINE = 3, 32
+#: Up to so many candidates (their ids take 16 MB) are sent to all tasks to pick texts; more are joined.
+SENT = 2_000_000
 #: Of TREES * DEPTH bits, those that two sketches may differ in. At a similarity of 0.8 they differ in 12.8 on average
 #: with a deviation of 3.4, so 29 or more come once in 100,000 pairs, independently of the orders.
 MOST_BITS = 28
@@ -91,10 +93,11 @@ def _shingler(size: int) -> Shingler:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, keys, bits, fine): keys has one sortable binary key per tree, bits the sketch as two longs, fine the finer one."""
+    """(doc_id, n_shingles, set_hash, keys, bits, fine, heads): keys has one sortable binary key per tree, bits the sketch as two longs, fine
+    the finer one, heads a hash of each key's first LEAST values."""
     kind = T.StructType([
         T.StructField("n", T.LongType()), T.StructField("hash", T.BinaryType()), T.StructField("keys", T.ArrayType(T.BinaryType())),
-        T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("fine", T.BinaryType()),
+        T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("fine", T.BinaryType()), T.StructField("heads", T.BinaryType()),
     ])
 
     @F.pandas_udf(kind)
@@ -105,7 +108,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             for text in texts:
                 s = shingler.set_of(text)
                 if not len(s):
-                    rows.append((0, None, None, None, None))
+                    rows.append((0, None, None, None, None, None))
                     continue
                 m = shingler.minhashes(s)
                 fine = np.packbits(np.stack([(m >> np.uint32(8)) & np.uint32(1), (m >> np.uint32(9)) & np.uint32(1)], 1).astype(np.uint8).ravel()).tobytes()
@@ -113,11 +116,13 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 bits = np.packbits((m >> np.uint32(7)).astype(np.uint8) & 1).view(np.int64)
                 keys = m.astype(">u4").tobytes()
                 step = 4 * DEPTH
-                rows.append((len(s), xxhash.xxh128_digest(s.tobytes()), [keys[i : i + step] for i in range(0, len(keys), step)], bits, fine))
-            yield pd.DataFrame(rows, columns=["n", "hash", "keys", "bits", "fine"])
+                keys = [keys[i : i + step] for i in range(0, len(keys), step)]
+                heads = b"".join(xxhash.xxh32_digest(k[: 4 * LEAST]) for k in keys)
+                rows.append((len(s), xxhash.xxh128_digest(s.tobytes()), keys, bits, fine, heads))
+            yield pd.DataFrame(rows, columns=["n", "hash", "keys", "bits", "fine", "heads"])
 
     signed = docs.select("doc_id", sign(F.col("text")).alias("s"))
-    return signed.select("doc_id", F.col("s.n").alias("n_shingles"), F.col("s.hash").alias("set_hash"), F.col("s.keys").alias("keys"), F.col("s.bits").alias("bits"), F.col("s.fine").alias("fine"))
+    return signed.select("doc_id", F.col("s.n").alias("n_shingles"), F.col("s.hash").alias("set_hash"), F.col("s.keys").alias("keys"), F.col("s.bits").alias("bits"), F.col("s.fine").alias("fine"), F.col("s.heads").alias("heads"))
 
 
 PAIR = "a long, b long, differ int"
@@ -166,11 +171,14 @@ def near_pairs(frame: pd.DataFrame) -> pd.DataFrame:
 
 def crossing_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     """Of a stretch of a sorted order: for each row that is not of its region's largest component, the BEST_FINE rows
-    of other components, within WIDE places, that are most alike by the finer sketch."""
+    of other components, within WIDE places, that are most alike by the finer sketch. Pairs that share a region of an
+    earlier order are left to that order, so each is looked at once and the orders add to each other."""
     ids, n, comp, region = frame["node"].to_numpy(), frame["n_shingles"].to_numpy(), frame["comp"].to_numpy(), _regions(frame)
     if not len(ids):
         return _frame(ids, _NONE, _NONE, _NONE)
     fine = np.frombuffer(b"".join(frame["fine"]), np.uint64).reshape(len(frame), -1)
+    heads = np.frombuffer(b"".join(frame["heads"]), np.uint32).reshape(len(frame), TREES)
+    trees = frame["tree"].to_numpy()
     cuts = np.flatnonzero(np.diff(region)) + 1
     found = []
     for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
@@ -184,10 +192,9 @@ def crossing_pairs(frame: pd.DataFrame) -> pd.DataFrame:
             x = fine[rows, None, :] ^ fine[None, lo:hi, :]
             differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(2).astype(np.int32)
             differ[(comp[rows, None] == comp[None, lo:hi]) | ~_alike(n[rows, None], n[None, lo:hi])] = 1 << 20
-            if hi - lo > BEST_FINE:
-                near = np.argpartition(differ, BEST_FINE - 1, 1)[:, :BEST_FINE]
-            else:
-                near = np.broadcast_to(np.arange(hi - lo), differ.shape)
+            before = heads[:, : trees[start]]
+            differ[(before[rows, None, :] == before[None, lo:hi, :]).any(2)] = 1 << 20  # an earlier order has the pair
+            near = np.argsort(differ, 1, kind="stable")[:, :BEST_FINE]
             by = np.take_along_axis(differ, near, 1)
             ok = by <= MOST_FINE
             found.append((np.broadcast_to(rows[:, None], near.shape)[ok], (near + lo)[ok], by[ok]))
@@ -210,8 +217,8 @@ def _neighbours(pairs, window: int):
 
 
 def candidates(nodes: DataFrame, between: bool) -> DataFrame:
-    """Distinct candidate pairs (a < b) of nodes (node, n_shingles, keys, bits) over all sorted orders; between: of different components only (comp, fine)."""
-    rows = nodes.select("node", "n_shingles", *(["comp", "fine"] if between else []), F.col("bits")[0].alias("b0"), F.col("bits")[1].alias("b1"), F.posexplode("keys").alias("tree", "key"))
+    """Distinct candidate pairs (a < b) of nodes (node, n_shingles, keys, bits) over all sorted orders; between: of different components only (comp, fine, heads)."""
+    rows = nodes.select("node", "n_shingles", *(["comp", "fine", "heads"] if between else []), F.col("bits")[0].alias("b0"), F.col("bits")[1].alias("b1"), F.posexplode("keys").alias("tree", "key"))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     return order.mapInPandas(_neighbours(crossing_pairs, WIDE) if between else _neighbours(near_pairs, WINDOW), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
@@ -261,14 +268,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(signatures(docs, size), "signatures")
     full = signed.filter("n_shingles > 0")
-    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n_shingles", "keys", "bits", "fine")))
-    nodes = full.groupBy("set_hash").agg(first.alias("f")).filter("f is not null").select("set_hash", F.col("f.doc_id").alias("node"), "f.n_shingles", "f.keys", "f.bits", "f.fine")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n_shingles", "keys", "bits", "fine", "heads")))
+    nodes = full.groupBy("set_hash").agg(first.alias("f")).filter("f is not null").select("set_hash", F.col("f.doc_id").alias("node"), "f.n_shingles", "f.keys", "f.bits", "f.fine", "f.heads")
     sets = stored(nodes, "sets")
 
     pairs = stored(candidates(sets, False), "pairs")
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     # Texts are needed of candidates only: they are picked once, and all that follows moves these.
-    docs = stored(docs.join(involved.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "texts")
+    involved = stored(involved.withColumnRenamed("node", "doc_id"), "involved")
+    docs = stored(docs.join(F.broadcast(involved) if involved.count() <= SENT else involved, "doc_id", "left_semi"), "texts")
     to_best = pairs.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     links = stored(confirmed(to_best, docs, size, percent), "links")
     parts = stored(components(links, "a", "b"), "parts")
@@ -278,7 +286,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         links = links.unionByName(more)
         parts = stored(components(links, "a", "b"), "parts")
     tried = pairs.select("a", "b")
-    close = stored(sets.join(involved, "node", "left_semi"), "close")
+    close = stored(sets.join(involved.withColumnRenamed("doc_id", "node"), "node", "left_semi"), "close")
     while True:
         labelled = close.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("component", "node"))
         wide = stored(candidates(labelled, True).join(tried, ["a", "b"], "left_anti"), "pairs")
