@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import begins, table, whole_texts
 
 #: Results kept for white-space separated chunks and for pieces, per Python worker.
 CACHE = 120_000
@@ -335,6 +335,15 @@ def decoder_of(path: str) -> Decoder:
     return Decoder(path)
 
 
+def _drop() -> None:
+    encoder_of.cache_clear()
+    decoder_of.cache_clear()
+
+
+def _begin() -> None:
+    begins("bpe", _drop)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """docs with the column ``out`` of token ids (array<int>; empty for null or empty texts).
 
@@ -344,11 +353,12 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        _begin()
         encoder = encoder_of(path)
         for texts in batches:
             yield pd.Series([np.array(encoder.encode(t), np.int32) for t in texts])
 
-    return docs.withColumn(out, ids(F.col(text_col)))
+    return whole_texts(docs).withColumn(out, ids(F.col(text_col)))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -356,6 +366,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
 
     @F.pandas_udf(T.StringType())
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        _begin()
         decoder = decoder_of(path)
         for ids in batches:
             yield pd.Series([decoder.decode(() if i is None else i) for i in ids])
@@ -368,6 +379,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         encoder, decoder = encoder_of(path), decoder_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
@@ -376,7 +388,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 texts = pa.array([decoder.decode(i.tolist()) for i in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), texts], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return whole_texts(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

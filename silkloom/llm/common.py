@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,36 @@ from ..plans.storage import scratch, stored  # noqa: F401  operators take these
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Rows of texts that meet in one Arrow batch, unless the session sets a number of its own.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_LEFT: dict[str, Callable[[], None]] = {}
+
+
+def begins(operator: str, drop: Callable[[], None] | None = None) -> None:
+    """A task of an operator begins in this Python worker: what tasks of other operators left in it is dropped first.
+
+    Workers serve many stages, and tables of several operators at once would not fit beside an executor's heap.
+    ``drop`` frees the operator's own tables when another one begins.
+    """
+    others = [name for name in _LEFT if name != operator]
+    for name in others:
+        _LEFT.pop(name)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    if drop:
+        _LEFT[operator] = drop
+
+
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """docs, in a session whose Arrow batches are small enough for whole texts; a number that the user set stays."""
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

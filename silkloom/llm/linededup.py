@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table, with_word_count
+from .common import begins, stored, table, whole_texts, with_word_count
 
 #: Words of a fingerprint's gram, and words from which on a repeated run is deleted.
 GRAM, RUN = 25, 50
@@ -82,6 +82,7 @@ _SIGNED = T.StructType([T.StructField("hashes", T.BinaryType()), T.StructField("
 
 @F.pandas_udf(_SIGNED)
 def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    begins("linededup")
     for texts in batches:
         rows = []
         for text in texts:
@@ -122,6 +123,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lose the same lines. Runs that overlap their own first occurrence stay. Null texts stay null; texts of any length
     are taken whole; an empty table gives an empty result. Columns of docs cannot clash, as they stay inside ``row``.
     """
+    docs = whole_texts(docs)
     at = F.struct(F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).alias("at")
     key = F.concat_ws(":", F.coalesce(F.col("at.d").cast("string"), F.lit("n")), F.col("at.h")).alias("key")
     signed = stored(docs.select(at, sign(F.col("text")).alias("s")).select(key, "at", "s.hashes", "s.words", "s.prints").filter(F.size("prints") > 0), "lines")

@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
-from .common import stored, table
+from .common import begins, stored, table, whole_texts
 
 TREES, DEPTH, LEAST = 16, 8, 3
 #: Neighbours looked at in each order, before and behind: at first, and when different components are searched for links.
 WINDOW, WIDE = 16, 4096
+#: Rows of an order that a task searches at a time, besides the window before them.
+STRETCH = 10_000
 #: Best candidates of a node that one order gives: at first, and in the search between components.
 BEST, BEST_FINE = 3, 32
 #: Up to so many candidates (their ids take 16 MB) are sent to all tasks to pick texts; more are joined.
@@ -92,6 +94,14 @@ def _shingler(size: int) -> Shingler:
     return _SHINGLERS.setdefault(size, Shingler(size))
 
 
+def _drop() -> None:
+    _SHINGLERS.clear()
+
+
+def _begin() -> None:
+    begins("neardup", _drop)
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, set_hash, keys, bits, fine, heads): keys has one sortable binary key per tree, bits the sketch as two longs, fine
     the finer one, heads a hash of each key's first LEAST values."""
@@ -102,6 +112,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
     @F.pandas_udf(kind)
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        _begin()
         shingler = _shingler(size)
         for texts in batches:
             rows = []
@@ -204,14 +215,19 @@ def crossing_pairs(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _neighbours(pairs, window: int):
-    """Runs pairs() over the sorted rows of a task, with the last rows of each batch before the next."""
+    """Runs pairs() over the sorted rows of a task in stretches of STRETCH rows, with the last rows of each before the next."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = None
+        held, new = [], 0
         for batch in batches:
-            frame = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
-            yield pairs(frame)
-            tail = frame.tail(window)
+            held.append(batch)
+            new += len(batch)
+            if new >= STRETCH:
+                frame = pd.concat(held, ignore_index=True)
+                yield pairs(frame)
+                held, new = [frame.tail(window)], 0
+        if new:
+            yield pairs(pd.concat(held, ignore_index=True))
 
     return search
 
@@ -235,6 +251,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     both = with_b.join(texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "text_a"), "a")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _begin()
         shingler, text, mine = _shingler(size), None, None
         for batch in batches:
             ok = []
@@ -265,7 +282,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     doc_id count as one document with links of either; rows with a null doc_id join a component by an equal set only.
     An empty table gives an empty result; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(signatures(docs, size), "signatures")
     full = signed.filter("n_shingles > 0")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n_shingles", "keys", "bits", "fine", "heads")))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import begins, table, whole_texts
 
 #: Fixed values of the contract.
 WINDOW = 8
@@ -93,6 +93,7 @@ def measured(text: str | None) -> tuple[int, ...]:
 
 @F.pandas_udf(T.StructType([T.StructField(name, T.LongType()) for name in MEASURES]))
 def measure(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    begins("quality")
     for batch in texts:
         yield pd.DataFrame([measured(t) for t in batch], columns=list(MEASURES), dtype="int64")
 
@@ -109,7 +110,7 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null, empty and blank texts measure 0 and fail few_words. Texts of any length are measured whole. Repeated rows
     give repeated rows, an empty table none; columns of docs cannot clash, as they stay inside ``row``.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), measure(F.col(text_col)).alias("m"))
+    rows = whole_texts(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), measure(F.col(text_col)).alias("m"))
     return rows.withColumn("failed", failure_bits("m"))
 
 
