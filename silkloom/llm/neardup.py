@@ -8,7 +8,8 @@ range-partitioned, which splits regions of any size.
 
 Candidates pass a sketch of one bit per minhash and the size bound, and are confirmed on full sets. To verify few
 pairs, each node's best candidate comes first; then, of all others, those between nodes not yet connected; then the
-orders are searched again, with a much wider window, for links between different components, until none is found.
+orders are searched again, with a much wider window, for links between different components, until the best candidates
+give none. At last all other candidates between different components are verified, the most alike first.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ MOST_BITS = 28
 #: The wide search is of few nodes and has a finer sketch, two bits of each of HASHES minhashes. At a similarity of 0.8
 #: 38.4 of them differ on average with a deviation of 5.7, so 63 or more come once in 50,000 pairs.
 HASHES, MOST_FINE = 256, 62
+#: Differing bits up to which the last search's candidates are verified at a time: the links of one band join components
+#: and spare candidates of the next.
+BANDS = (40, 48, 54, 58, MOST_FINE)
 _CACHE = 400_000
 
 
@@ -180,10 +184,10 @@ def near_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     return _frame(ids, rows[best], others[best], by[best])
 
 
-def crossing_pairs(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of a stretch of a sorted order: for each row that is not of its region's largest component, the BEST_FINE rows
-    of other components, within WIDE places, that are most alike by the finer sketch. Pairs that share a region of an
-    earlier order are left to that order, so each is looked at once and the orders add to each other."""
+def crossing_pairs(frame: pd.DataFrame, best: int | None = BEST_FINE) -> pd.DataFrame:
+    """Of a stretch of a sorted order: for each row that is not of its region's largest component, the ``best`` rows
+    of other components (None: all), within WIDE places, that are most alike by the finer sketch. Pairs that share a
+    region of an earlier order are left to that order, so each is looked at once and the orders add to each other."""
     ids, n, comp, region = frame["node"].to_numpy(), frame["n_shingles"].to_numpy(), frame["comp"].to_numpy(), _regions(frame)
     if not len(ids):
         return _frame(ids, _NONE, _NONE, _NONE)
@@ -205,7 +209,11 @@ def crossing_pairs(frame: pd.DataFrame) -> pd.DataFrame:
             differ[(comp[rows, None] == comp[None, lo:hi]) | ~_alike(n[rows, None], n[None, lo:hi])] = 1 << 20
             before = heads[:, : trees[start]]
             differ[(before[rows, None, :] == before[None, lo:hi, :]).any(2)] = 1 << 20  # an earlier order has the pair
-            near = np.argsort(differ, 1, kind="stable")[:, :BEST_FINE]
+            if best is None:
+                i, j = np.nonzero(differ <= MOST_FINE)
+                found.append((rows[i], j + lo, differ[i, j]))
+                continue
+            near = np.argsort(differ, 1, kind="stable")[:, :best]
             by = np.take_along_axis(differ, near, 1)
             ok = by <= MOST_FINE
             found.append((np.broadcast_to(rows[:, None], near.shape)[ok], (near + lo)[ok], by[ok]))
@@ -232,12 +240,17 @@ def _neighbours(pairs, window: int):
     return search
 
 
-def candidates(nodes: DataFrame, between: bool) -> DataFrame:
-    """Distinct candidate pairs (a < b) of nodes (node, n_shingles, keys, bits) over all sorted orders; between: of different components only (comp, fine, heads)."""
+def all_crossing_pairs(frame: pd.DataFrame) -> pd.DataFrame:
+    return crossing_pairs(frame, None)
+
+
+def candidates(nodes: DataFrame, between: bool, every: bool = False) -> DataFrame:
+    """Distinct candidate pairs (a < b) of nodes (node, n_shingles, keys, bits) over all sorted orders; between: of
+    different components only (comp, fine, heads), the best of each node or every one."""
     rows = nodes.select("node", "n_shingles", *(["comp", "fine", "heads"] if between else []), F.col("bits")[0].alias("b0"), F.col("bits")[1].alias("b1"), F.posexplode("keys").alias("tree", "key"))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    return order.mapInPandas(_neighbours(crossing_pairs, WIDE) if between else _neighbours(near_pairs, WINDOW), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    return order.mapInPandas(_neighbours(all_crossing_pairs if every else crossing_pairs, WIDE) if between else _neighbours(near_pairs, WINDOW), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -304,14 +317,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         parts = stored(components(links, "a", "b"), "parts")
     tried = pairs.select("a", "b")
     close = stored(sets.join(involved.withColumnRenamed("doc_id", "node"), "node", "left_semi"), "close")
+    labelled = lambda: close.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("component", "node"))
     while True:
-        labelled = close.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("component", "node"))
-        wide = stored(candidates(labelled, True).join(tried, ["a", "b"], "left_anti"), "pairs")
+        wide = stored(candidates(labelled(), True).join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stored(confirmed(wide, docs, size, percent), "links") if wide.head(1) else wide.select("a", "b").limit(0)
+        tried = tried.unionByName(wide.select("a", "b"))
         if not found.head(1):
             break
-        links, tried = links.unionByName(found), tried.unionByName(wide.select("a", "b"))
+        links = links.unionByName(found)
         parts = stored(components(links, "a", "b"), "parts")
+    # The best candidates give no more links; any other one still may, so none is left out now.
+    others = stored(candidates(labelled(), True, True).join(tried, ["a", "b"], "left_anti"), "pairs")
+    for least, most in zip((-1, *BANDS), BANDS):
+        band = _crossing(others.filter((F.col("differ") > least) & (F.col("differ") <= most)), parts)
+        found = stored(confirmed(band, docs, size, percent), "links")
+        if found.head(1):
+            links = links.unionByName(found)
+            parts = stored(components(links, "a", "b"), "parts")
 
     label = sets.select("set_hash", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
     label = label.select("set_hash", F.coalesce("component", "node").alias("c"))

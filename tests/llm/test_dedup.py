@@ -69,6 +69,30 @@ def test_large_group(make, duck, table_rows):
     assert table_rows(neardup.near_duplicates(docs, 2, 80), NEAR) == want
 
 
+def template_corpus(seed, n, pairs):
+    """Copies of a template, each pair a little less alike than 0.8, and planted partners that are just above it."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(600)]
+    slots = range(1, 599, 2)
+
+    def changed(tag, at):
+        return {i: f"{tag}x{i}" for i in at}
+
+    all_changes = [changed(f"a{k}", r.sample(slots, 21)) for k in range(n)]
+    for k in range(pairs):
+        shared = dict(r.sample(sorted(all_changes[k].items()), 5))
+        all_changes.append(shared | changed(f"b{k}", r.sample([i for i in slots if i not in all_changes[k]], 16)))
+    ids = r.sample(range(10 * n), len(all_changes))
+    return [(i, " ".join(c.get(at, w) for at, w in enumerate(base))) for i, c in zip(ids, all_changes)]
+
+
+def test_template_family(make, duck, table_rows):
+    """Each linked text has many that are about as alike and link with nothing."""
+    docs = make(template_corpus(5, 340, 60))
+    want = duck(neardup.ORACLE_SQL["op10_minhash_forest"], NEAR, documents=docs)
+    assert table_rows(neardup.near_duplicates(docs, 2, 80), NEAR) == want
+
+
 def test_near_edges(make, edge_rows):
     got = neardup.near_duplicates(make(edge_rows, clash=True), 5, 80).collect()
     assert len(got) == len(edge_rows)
