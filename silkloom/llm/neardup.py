@@ -293,8 +293,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     component_id is the smallest doc_id that links reach; kept marks it. Null and blank texts have no shingles and
     link with nothing. Texts are taken whole. Equal sets are found by hash, in groups of any size. Rows that repeat a
     doc_id count as one document with links of either; rows with a null doc_id join a component by an equal set only.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored. The size bound, the sketches' limits and LEAST are
+    those of a similarity of 0.8, so a lower percent, which would lose links, is refused.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("the percentage must be from 80 to 100")
     docs = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(signatures(docs, size), "signatures")
     full = signed.filter("n_shingles > 0")

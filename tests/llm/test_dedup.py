@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from silkloom.llm import linededup, neardup
@@ -102,3 +103,8 @@ def test_near_edges(make, edge_rows):
     assert by[1] == [(0, 1, True)] and by[2] == [(0, 2, True)] and by[3] == [(0, 3, True)]
     assert by[5] == [(26, 5, True)] and by[6] == [(26, 5, False)] * 2 and by[7] == [(27, 5, False)]
     assert neardup.near_duplicates(make([]), 5, 80).count() == 0
+
+
+def test_low_similarity_is_refused(make):
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(make([(1, "a b c")]), 2, 60)
