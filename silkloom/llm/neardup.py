@@ -8,8 +8,12 @@ range-partitioned, which splits regions of any size.
 
 Candidates pass a sketch of one bit per minhash and the size bound, and are confirmed on full sets. To verify few
 pairs, each node's best candidate comes first; then, of all others, those between nodes not yet connected; then the
-orders are searched again, with a much wider window, for links between different components, until the best candidates
-give none. At last all other candidates between different components are verified, the most alike first.
+regions are searched for links between different components, until the best candidates give none. At last all other
+candidates between different components are verified, the most alike first.
+
+A region is all nodes that share a tree's first LEAST values. The search between components compares each pair of its
+nodes that are of different components: regions are dealt out in blocks of both sides, whatever their size, and not by
+places in an order.
 """
 
 from __future__ import annotations
@@ -27,8 +31,10 @@ from ..operators.graph import components
 from .common import begins, stored, table, whole_texts
 
 TREES, DEPTH, LEAST = 16, 8, 3
-#: Neighbours looked at in each order, before and behind: at first, and when different components are searched for links.
-WINDOW, WIDE = 16, 4096
+#: Neighbours looked at in each order at first, before and behind.
+WINDOW = 16
+#: Nodes of a region that meet in one block, of each side, and pairs of nodes that are compared at a time.
+BLOCK, PAIRS_AT_ONCE = 2048, 1 << 18
 #: Rows of an order that a task searches at a time, besides the window before them.
 STRETCH = 10_000
 #: Best candidates of a node that one order gives: at first, and in the search between components.
@@ -38,7 +44,7 @@ SENT = 2_000_000
 #: Of TREES * DEPTH bits, those that two sketches may differ in. At a similarity of 0.8 they differ in 12.8 on average
 #: with a deviation of 3.4, so 29 or more come once in 100,000 pairs, independently of the orders.
 MOST_BITS = 28
-#: The wide search is of few nodes and has a finer sketch, two bits of each of HASHES minhashes. At a similarity of 0.8
+#: The search between components is of few nodes and has a finer sketch, two bits of each of HASHES minhashes. At a similarity of 0.8
 #: 38.4 of them differ on average with a deviation of 5.7, so 63 or more come once in 50,000 pairs.
 HASHES, MOST_FINE = 256, 62
 #: Differing bits up to which the last search's candidates are verified at a time: the links of one band join components
@@ -184,42 +190,85 @@ def near_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     return _frame(ids, rows[best], others[best], by[best])
 
 
-def crossing_pairs(frame: pd.DataFrame, best: int | None = BEST_FINE) -> pd.DataFrame:
-    """Of a stretch of a sorted order: for each row that is not of its region's largest component, the ``best`` rows
-    of other components (None: all), within WIDE places, that are most alike by the finer sketch. Pairs that share a
-    region of an earlier order are left to that order, so each is looked at once and the orders add to each other."""
-    ids, n, comp, region = frame["node"].to_numpy(), frame["n_shingles"].to_numpy(), frame["comp"].to_numpy(), _regions(frame)
-    if not len(ids):
-        return _frame(ids, _NONE, _NONE, _NONE)
+def _differ(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1).astype(np.int32)
+
+
+def crossing_pairs(frame: pd.DataFrame, best: int | None) -> Iterator[pd.DataFrame]:
+    """Of whole blocks, sorted by block and side: for each row of side 0 the ``best`` rows of side 1 (None: all) that are
+    of other components and pass the finer sketch and the size bound. Pairs that share a region of an earlier tree are
+    compared in a block of that region, and left to it."""
+    ids, n, comp, trees = (frame[c].to_numpy() for c in ("node", "n_shingles", "comp", "tree"))
     fine = np.frombuffer(b"".join(frame["fine"]), np.uint64).reshape(len(frame), -1)
     heads = np.frombuffer(b"".join(frame["heads"]), np.uint32).reshape(len(frame), TREES)
-    trees = frame["tree"].to_numpy()
-    cuts = np.flatnonzero(np.diff(region)) + 1
-    found = []
-    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
-        if end - start < 2 or (comp[start:end] == comp[start]).all():
-            continue
-        names, counts = np.unique(comp[start:end], return_counts=True)
-        small = start + np.flatnonzero(comp[start:end] != names[counts.argmax()]) if counts.max() > 1 else np.arange(start, end)
-        for at in range(0, len(small), 64):
-            rows = small[at : at + 64]
-            lo, hi = max(start, rows[0] - WIDE), min(end, rows[-1] + WIDE + 1)
-            x = fine[rows, None, :] ^ fine[None, lo:hi, :]
-            differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(2).astype(np.int32)
-            differ[(comp[rows, None] == comp[None, lo:hi]) | ~_alike(n[rows, None], n[None, lo:hi])] = 1 << 20
-            before = heads[:, : trees[start]]
-            differ[(before[rows, None, :] == before[None, lo:hi, :]).any(2)] = 1 << 20  # an earlier order has the pair
-            if best is None:
-                i, j = np.nonzero(differ <= MOST_FINE)
-                found.append((rows[i], j + lo, differ[i, j]))
-                continue
-            near = np.argsort(differ, 1, kind="stable")[:, :best]
-            by = np.take_along_axis(differ, near, 1)
-            ok = by <= MOST_FINE
-            found.append((np.broadcast_to(rows[:, None], near.shape)[ok], (near + lo)[ok], by[ok]))
-    if not found:
-        return _frame(ids, _NONE, _NONE, _NONE)
-    return _frame(ids, *(np.concatenate(x) for x in zip(*found)))
+    side, start = frame["side"].to_numpy(), _block_starts(frame)
+    block = np.cumsum(start) - 1
+    firsts = np.append(np.flatnonzero(start), len(frame))
+    n_rows = np.bincount(block, side == 0, len(firsts) - 1).astype(np.int64)
+    first, count = firsts[:-1] + n_rows, np.diff(firsts) - n_rows
+    rows = np.flatnonzero(side == 0)
+    counts = count[block[rows]]
+    chunk = np.cumsum(counts) // PAIRS_AT_ONCE
+    found, size = [], 0
+    for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(chunk)) + 1):
+        c = counts[at]
+        i = np.repeat(rows[at], c)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[block[rows[at]]], c)
+        ok = (comp[i] != comp[j]) & _alike(n[i], n[j])
+        i, j = i[ok], j[ok]
+        by = _differ(fine[i, :3] ^ fine[j, :3])
+        ok = by <= MOST_FINE
+        i, j, by = i[ok], j[ok], by[ok]
+        by = by + _differ(fine[i, 3:] ^ fine[j, 3:])
+        ok = by <= MOST_FINE
+        i, j, by = i[ok], j[ok], by[ok]
+        ok = ~((heads[i] == heads[j]) & (np.arange(TREES) < trees[i, None])).any(1)
+        i, j, by = i[ok], j[ok], by[ok]
+        if best is not None:
+            order = np.lexsort((ids[j], by, i))
+            i, j, by = i[order], j[order], by[order]
+            ok = np.arange(len(i)) - np.searchsorted(i, i) < best
+            i, j, by = i[ok], j[ok], by[ok]
+        found.append(_frame(ids, i, j, by))
+        size += len(i)
+        if size >= PAIRS_AT_ONCE:
+            yield pd.concat(found, ignore_index=True)
+            found, size = [], 0
+    if size:
+        yield pd.concat(found, ignore_index=True)
+
+
+_BLOCK = ["tree", "head", "row_block", "col_block"]
+
+
+def _block_starts(frame: pd.DataFrame) -> np.ndarray:
+    """Whether each row is the first of its block."""
+    start = np.zeros(len(frame), bool)
+    start[:1] = True
+    for c in _BLOCK:
+        x = frame[c].to_numpy()
+        start[1:] |= x[1:] != x[:-1]
+    return start
+
+
+def _in_blocks(best: int | None):
+    """Runs crossing_pairs() over the sorted rows of a task in stretches of whole blocks of STRETCH rows."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, new = [], 0
+        for batch in batches:
+            held.append(batch)
+            new += len(batch)
+            if new >= STRETCH:
+                frame = pd.concat(held, ignore_index=True)
+                last = int(np.flatnonzero(_block_starts(frame))[-1])
+                if last:
+                    yield from crossing_pairs(frame.iloc[:last], best)
+                held, new = [frame.iloc[last:]], 0
+        if held:
+            yield from crossing_pairs(pd.concat(held, ignore_index=True), best)
+
+    return search
 
 
 def _neighbours(pairs, window: int):
@@ -240,17 +289,44 @@ def _neighbours(pairs, window: int):
     return search
 
 
-def all_crossing_pairs(frame: pd.DataFrame) -> pd.DataFrame:
-    return crossing_pairs(frame, None)
-
-
-def candidates(nodes: DataFrame, between: bool, every: bool = False) -> DataFrame:
-    """Distinct candidate pairs (a < b) of nodes (node, n_shingles, keys, bits) over all sorted orders; between: of
-    different components only (comp, fine, heads), the best of each node or every one."""
-    rows = nodes.select("node", "n_shingles", *(["comp", "fine", "heads"] if between else []), F.col("bits")[0].alias("b0"), F.col("bits")[1].alias("b1"), F.posexplode("keys").alias("tree", "key"))
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Distinct candidate pairs (a < b) of near nodes (node, n_shingles, keys, bits) over all sorted orders."""
+    rows = nodes.select("node", "n_shingles", F.col("bits")[0].alias("b0"), F.col("bits")[1].alias("b1"), F.posexplode("keys").alias("tree", "key"))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    return order.mapInPandas(_neighbours(all_crossing_pairs if every else crossing_pairs, WIDE) if between else _neighbours(near_pairs, WINDOW), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    return order.mapInPandas(_neighbours(near_pairs, WINDOW), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
+
+
+def in_regions(nodes: DataFrame) -> DataFrame:
+    """(node, tree, head) of nodes (node, heads), for each region that has more than one of them."""
+    rows = nodes.select("node", "heads", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.select("node", "tree", F.expr("cast(conv(hex(substring(heads, 4 * tree + 1, 4)), 16, 10) as long)").alias("head"))
+    shared = rows.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return rows.join(shared, ["tree", "head"]).select("node", "tree", "head")
+
+
+def between(members: DataFrame, sketches: DataFrame, parts: DataFrame, best: int | None) -> DataFrame:
+    """Distinct candidate pairs (a < b) of nodes of different components that share a region.
+
+    members: (node, tree, head); sketches: (node, n_shingles, fine, heads); parts: (id, component) of linked nodes. Of
+    each region, all rows but those of its largest component meet all rows. Both are dealt to blocks by hashes of
+    nodes and repeated for each block of the other side, so a block has about BLOCK rows of a side at most.
+    """
+    rows = members.join(parts.withColumnRenamed("id", "node"), "node", "left").select("node", "tree", "head", F.coalesce("component", "node").alias("comp"))
+    counts = rows.groupBy("tree", "head", "comp").agg(F.count(F.lit(1)).alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    regions = counts.groupBy("tree", "head").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top")).filter("comps > 1")
+    regions = regions.select("tree", "head", F.col("top.comp").alias("largest"), blocks(F.col("n") - F.col("top.n")).alias("row_blocks"), blocks(F.col("n")).alias("col_blocks"))
+    active = rows.join(regions, ["tree", "head"]).join(sketches, "node")
+    of = F.xxhash64("node")
+    taken = ["node", "comp", "n_shingles", "fine", "heads", "tree", "head"]
+    sides = active.withColumn("side", F.explode(F.when(F.col("comp") != F.col("largest"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    own_row, own_col = F.pmod(of, F.col("row_blocks")).cast("int"), F.pmod(of, F.col("col_blocks")).cast("int")
+    dealt = sides.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("col_blocks")).otherwise(F.col("row_blocks")) - 1)))
+    dealt = dealt.select(*taken, "side", F.when(F.col("side") == 0, own_row).otherwise(F.col("other")).alias("row_block"), F.when(F.col("side") == 0, F.col("other")).otherwise(own_col).alias("col_block"))
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = dealt.repartition(n, *_BLOCK).sortWithinPartitions(*_BLOCK, "side", "node")
+    return order.mapInPandas(_in_blocks(best), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -287,6 +363,14 @@ def _crossing(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return out.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "differ")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+
+def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return stored(docs.join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id", "left_semi"), "texts")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id long, text).
 
@@ -305,35 +389,44 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     nodes = full.groupBy("set_hash").agg(first.alias("f")).filter("f is not null").select("set_hash", F.col("f.doc_id").alias("node"), "f.n_shingles", "f.keys", "f.bits", "f.fine", "f.heads")
     sets = stored(nodes, "sets")
 
-    pairs = stored(candidates(sets, False), "pairs")
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    # Texts are needed of candidates only: they are picked once, and all that follows moves these.
-    involved = stored(involved.withColumnRenamed("node", "doc_id"), "involved")
-    docs = stored(docs.join(F.broadcast(involved) if involved.count() <= SENT else involved, "doc_id", "left_semi"), "texts")
+    pairs = stored(candidates(sets), "pairs")
+    # Texts are needed of candidates only: each is picked once, and all that follows moves these.
+    involved = stored(_ends(pairs), "involved")
+    texts = _picked(docs, involved)
     to_best = pairs.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = stored(confirmed(to_best, docs, size, percent), "links")
+    links = stored(confirmed(to_best, texts, size, percent), "links")
     parts = stored(components(links, "a", "b"), "parts")
     rest = _crossing(pairs.join(to_best, ["a", "b"], "left_anti"), parts)
-    more = stored(confirmed(rest, docs, size, percent), "links")
+    more = stored(confirmed(rest, texts, size, percent), "links")
     if more.head(1):
         links = links.unionByName(more)
         parts = stored(components(links, "a", "b"), "parts")
     tried = pairs.select("a", "b")
-    close = stored(sets.join(involved.withColumnRenamed("doc_id", "node"), "node", "left_semi"), "close")
-    labelled = lambda: close.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    members = stored(in_regions(sets), "members")
+    sketches = stored(sets.select("node", "n_shingles", "fine", "heads").join(members.select("node").distinct(), "node", "left_semi"), "sketches")
+
+    def search(best: int | None) -> DataFrame:
+        """New candidates between components; texts that they need are picked."""
+        nonlocal involved, texts
+        wide = stored(between(members, sketches, parts, best).join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = stored(_ends(wide).join(involved, "doc_id", "left_anti"), "involved")
+        if new.head(1):
+            involved, texts = involved.unionByName(new), texts.unionByName(_picked(docs, new))
+        return wide
+
     while True:
-        wide = stored(candidates(labelled(), True).join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = stored(confirmed(wide, docs, size, percent), "links") if wide.head(1) else wide.select("a", "b").limit(0)
+        wide = search(BEST_FINE)
+        found = stored(confirmed(wide, texts, size, percent), "links") if wide.head(1) else wide.select("a", "b").limit(0)
         tried = tried.unionByName(wide.select("a", "b"))
         if not found.head(1):
             break
         links = links.unionByName(found)
         parts = stored(components(links, "a", "b"), "parts")
     # The best candidates give no more links; any other one still may, so none is left out now.
-    others = stored(candidates(labelled(), True, True).join(tried, ["a", "b"], "left_anti"), "pairs")
-    for least, most in zip((-1, *BANDS), BANDS):
+    others = search(None)
+    for least, most in zip((-1, *BANDS), BANDS) if others.head(1) else ():
         band = _crossing(others.filter((F.col("differ") > least) & (F.col("differ") <= most)), parts)
-        found = stored(confirmed(band, docs, size, percent), "links")
+        found = stored(confirmed(band, texts, size, percent), "links")
         if found.head(1):
             links = links.unionByName(found)
             parts = stored(components(links, "a", "b"), "parts")

@@ -94,6 +94,19 @@ def test_template_family(make, duck, table_rows):
     assert table_rows(neardup.near_duplicates(docs, 2, 80), NEAR) == want
 
 
+def test_links_across_partitions(spark, make, duck, table_rows):
+    """So many partitions that each row of an order is alone in one."""
+    docs = make(near_corpus(6, 8))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    try:
+        got = table_rows(neardup.near_duplicates(docs, 2, 80), NEAR)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = duck(neardup.ORACLE_SQL["op10_minhash_forest"], NEAR, documents=docs)
+    assert got == want and any(not r[3] for r in want)
+
+
 def test_near_edges(make, edge_rows):
     got = neardup.near_duplicates(make(edge_rows, clash=True), 5, 80).collect()
     assert len(got) == len(edge_rows)
