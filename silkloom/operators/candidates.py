@@ -5,11 +5,15 @@ All self-joins take each pair once, with ``src`` before ``dst`` in the order lon
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import jaccard, reverse_complement
+from ..plans.storage import stored
 from .kmers import kmer_counts, ranked, words
+from .wordsets import document_frequency, rare_first, shared_counts, word_sets, word_text
 
 
 def _postings(seqs: DataFrame, k: int) -> DataFrame:
@@ -23,7 +27,11 @@ def _sides(a: DataFrame, b: DataFrame, *cols: str) -> tuple[DataFrame, DataFrame
 
 
 def shared_words(seqs: DataFrame, k: int) -> DataFrame:
-    """(src, dst, shared, first_word): all pairs with a word in common, by brute force over the inverted index."""
+    """(src, dst, shared, first_word): all pairs with a word in common, by brute force over the inverted index.
+
+    A check for small tables: its result grows with the square of the rows. No other operator builds on it but
+    ``all_hits`` and the brute form of ``edges``.
+    """
     p = _postings(seqs, k)
     a, b = _sides(p, p, "seq_id", "ord", "word", "cnt")
     joined = a.join(b, (F.col("a_word") == F.col("b_word")) & (F.col("a_ord") < F.col("b_ord")))
@@ -32,52 +40,65 @@ def shared_words(seqs: DataFrame, k: int) -> DataFrame:
 
 
 def all_hits(seqs: DataFrame, k: int) -> DataFrame:
-    """One row: ordered pairs (a sequence with itself included) that share a word, and the sum of their shared counts."""
+    """One row: ordered pairs (a sequence with itself included) that share a word, and the sum of their shared counts. A check for small tables."""
     pairs = shared_words(seqs, k).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("shared"), F.lit(0)).alias("s"))
     own = kmer_counts(seqs, k).agg(F.countDistinct("seq_id").alias("own"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("own_s"))
     return pairs.crossJoin(own).select((2 * F.col("n") + F.col("own")).alias("hits"), (2 * F.col("s") + F.col("own_s")).alias("shared"))  # two single rows
 
 
-def prefix_pairs(p: DataFrame, q: DataFrame, tau: float, same: bool) -> DataFrame:
-    """Candidate pairs (src, dst) that can reach tau: no pair that does is missing.
+def least_shared(a: Column, b: Column, tau: float) -> Column:
+    """How many words multisets of two sizes must share for a similarity of tau (never too many)."""
+    return F.greatest(F.lit(1), F.ceil((a + b) * (tau / (1 + tau)) - 1e-6)).cast("long")
+
+
+def prefix_pairs(p: DataFrame, q: DataFrame | None, tau: float) -> DataFrame:
+    """Candidate pairs (src, dst, need) of word_sets() tables that can reach tau: no pair that does is missing. Without q, pairs of p with itself.
 
-    With words taken by ascending number of sequences that hold them, two multisets that share at least tau of the
-    larger one also share a word within their first total - ceil(tau * total) + 1 words. Only these rare words are joined.
+    Words are taken by ascending number of sequences that hold them. Of a pair that reaches tau, the first common word
+    in that order leaves at least ``need`` words from it on in both, so it lies within the first total -
+    ceil(tau * total) + 1 words of each. Only these rare words are joined, by word and by a class of sizes, as sizes
+    may differ by a factor of tau at most.
     """
-    both = p if same else p.select("word").unionByName(q.select("word"))
-    df = both.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    same = q is None
+    df = document_frequency(*([p] if same else [p, q]))
+    step = -log(min(tau, 0.95) * 0.999)
+    size_class = F.floor(F.log(F.col("total").cast("double")) / step).cast("int")
 
     def prefix(x: DataFrame) -> DataFrame:
-        before = F.coalesce(F.sum("cnt").over(Window.partitionBy("seq_id").orderBy("df", "word").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        keep = F.col("total") - F.ceil(F.col("total") * tau - 1e-9) + 1
-        return x.join(df, "word").withColumn("before", before).filter(F.col("before") < keep)
-
-    rare = prefix(p)
-    a, b = _sides(rare, rare if same else prefix(q), "seq_id", "ord", "word", "total")
-    ratio = F.least("a_total", "b_total") >= F.greatest("a_total", "b_total") * F.lit(tau) - 1e-6
-    on = (F.col("a_word") == F.col("b_word")) & ratio
+        keep = F.col("total") - F.ceil(F.col("total") * tau - 1e-6) + 1
+        return rare_first(x, df, "seq_id", "len", "total").filter(F.col("before") < keep).withColumn("size", size_class)
+
+    rare = stored(prefix(p), "prefix")
+    a, b = _sides(rare, rare if same else stored(prefix(q), "prefix"), "seq_id", "len", "total", "code", "before", "size")
+    near = [0, -1] if same else [1, 0, -1]
+    a = a.withColumn("a_size", F.explode(F.array(*[F.col("a_size") + i for i in near])))
+    need = least_shared(F.col("a_total"), F.col("b_total"), tau)
+    on = (F.col("a_code") == F.col("b_code")) & (F.col("a_size") == F.col("b_size")) & (F.least(F.col("a_total") - F.col("a_before"), F.col("b_total") - F.col("b_before")) >= need)
     if same:
-        on = on & (F.col("a_ord") < F.col("b_ord"))
-    return a.join(b, on).select(F.col("a_seq_id").alias("src"), F.col("b_seq_id").alias("dst")).distinct()
+        on = on & ((F.col("a_len") > F.col("b_len")) | ((F.col("a_len") == F.col("b_len")) & (F.col("a_seq_id") < F.col("b_seq_id"))))
+    return a.join(b, on).select(F.col("a_seq_id").alias("src"), F.col("b_seq_id").alias("dst"), need.alias("need")).distinct()
 
 
-def verified(pairs: DataFrame, p: DataFrame, q: DataFrame, tau: float) -> DataFrame:
-    """(src, dst, shared, jaccard) of the candidate pairs whose exact similarity is at least tau."""
-    a = p.select(F.col("seq_id").alias("src"), "word", F.col("cnt").alias("ca"), F.col("total").alias("ta"))
-    b = q.select(F.col("seq_id").alias("dst"), "word", F.col("cnt").alias("cb"), F.col("total").alias("tb"))
-    shared = pairs.join(a, "src").join(b, ["dst", "word"]).groupBy("src", "dst").agg(
-        F.sum(F.least("ca", "cb")).alias("shared"), F.max("ta").alias("ta"), F.max("tb").alias("tb"), F.min("word").alias("first_word"))
-    return shared.withColumn("jaccard", jaccard(F.col("shared"), F.col("ta"), F.col("tb"))).filter(F.col("jaccard") >= tau).select("src", "dst", "shared", "jaccard", "first_word")
+def _similar(pairs: DataFrame, p: DataFrame, q: DataFrame | None, k: int, tau: float) -> DataFrame:
+    """(src, dst, shared, jaccard, first_word) of the candidate pairs whose exact similarity is at least tau."""
+    shared = shared_counts(pairs, p, q)
+    shared = shared.join(p.select(F.col("seq_id").alias("src"), F.col("total").alias("ta")), "src")
+    shared = shared.join((p if q is None else q).select(F.col("seq_id").alias("dst"), F.col("total").alias("tb")), "dst")
+    out = shared.withColumn("jaccard", jaccard(F.col("shared"), F.col("ta"), F.col("tb"))).filter(F.col("jaccard") >= tau)
+    return out.select("src", "dst", "shared", "jaccard", word_text(F.col("first_code"), k).alias("first_word"))
 
 
 def edges(seqs: DataFrame, k: int, tau: float, exact: str = "prefix") -> DataFrame:
-    """(src, dst, shared, jaccard, first_word) with similarity at least tau > 0. exact: ``prefix`` or ``brute``; both give the same rows."""
+    """(src, dst, shared, jaccard, first_word) with similarity at least tau > 0. exact: ``prefix`` or ``brute``; both give the same rows.
+
+    Sequences are upper-case letters and #; any other characters count as one sign.
+    """
     if not tau > 0:
         raise ValueError("tau must be above 0")
-    p = _postings(seqs, k)
     if exact == "prefix":
-        return verified(prefix_pairs(p, p, tau, True), p, p, tau)
-    info = p.select("seq_id", "total").distinct()
+        p = stored(word_sets(seqs, k), "words")
+        return _similar(stored(prefix_pairs(p, None, tau), "candidates"), p, None, k, tau)
+    info = ranked(seqs).filter(F.col("len") >= k).select("seq_id", (F.col("len") - k + 1).alias("total"))
     out = shared_words(seqs, k).join(info.select(F.col("seq_id").alias("src"), F.col("total").alias("ta")), "src")
     out = out.join(info.select(F.col("seq_id").alias("dst"), F.col("total").alias("tb")), "dst")
     return out.withColumn("jaccard", jaccard(F.col("shared"), F.col("ta"), F.col("tb"))).filter(F.col("jaccard") >= tau).select("src", "dst", "shared", "jaccard", "first_word")
@@ -98,9 +119,9 @@ def small_pairs(seqs: DataFrame, k: int, tau: float, most: int = 10) -> DataFram
 
 
 def between(base: DataFrame, query: DataFrame, k: int, tau: float) -> DataFrame:
-    """(src of base, dst of query, shared, jaccard): pairs of two collections with similarity at least tau."""
-    p, q = _postings(base, k), _postings(query, k)
-    return verified(prefix_pairs(p, q, tau, False), p, q, tau)
+    """(src of base, dst of query, shared, jaccard, first_word): pairs of two collections with similarity at least tau."""
+    p, q = stored(word_sets(base, k), "words"), stored(word_sets(query, k), "words")
+    return _similar(stored(prefix_pairs(p, q, tau), "candidates"), p, q, k, tau)
 
 
 def redundant(base: DataFrame, query: DataFrame, k: int, tau: float) -> DataFrame:
@@ -119,16 +140,22 @@ def best_match(base: DataFrame, query: DataFrame, k: int, tau: float) -> DataFra
     return between(base, query, k, tau).groupBy(F.col("dst").alias("seq_id")).agg(best.alias("b")).select("seq_id", F.col("b.src").alias("root_id"), (-F.col("b.j")).alias("jaccard"))
 
 
-def length_bound(short: Column, long: Column, ratio: float, most_shorter: int = 99_999_999) -> Column:
-    """Whether lengths allow a representative: short >= ratio * long (whole number of long's quotient) and not too many letters less."""
-    return (long <= F.floor(short.cast("float") / F.lit(ratio).cast("float"))) & (long - short <= most_shorter)
+def most_length(length: Column, ratio: float = 0.0, most_shorter: int = 99_999_999, cover_long: float = 0.0, cover_control: int = 99_999_999) -> Column:
+    """The greatest length of a representative for a sequence of a length: the whole number of length / ratio, and so many letters more at most."""
+    r, fewer = max(ratio, cover_long), min(most_shorter, cover_control)
+    return F.least(F.floor(length.cast("float").cast("double") / r), length + fewer) if r > 0 else length + fewer
+
+
+def least_length(length: Column, ratio_2d: float = 1.0, most_longer: int = 0) -> Column:
+    """The least length of a representative between collections, where a query may be longer than it."""
+    return F.least(length - most_longer, F.floor(length * ratio_2d))
 
 
-def length_bound_pairs(seqs: DataFrame, ratio: float, within: DataFrame) -> DataFrame:
-    """The pairs (src longer, dst) of ``within`` that keep the length bound."""
+def length_bound_pairs(seqs: DataFrame, within: DataFrame, ratio: float = 0.0, most_shorter: int = 99_999_999) -> DataFrame:
+    """The pairs (src representative, dst) of ``within`` that keep the upper length bound, with both lengths."""
     n = seqs.select("seq_id", F.length("seq").cast("long").alias("len"))
     out = within.join(n.select(F.col("seq_id").alias("src"), F.col("len").alias("len_src")), "src").join(n.select(F.col("seq_id").alias("dst"), F.col("len").alias("len_dst")), "dst")
-    return out.filter((F.col("len_dst") >= F.col("len_src") * ratio)).select("src", "dst", "len_src", "len_dst")
+    return out.filter(F.col("len_src") <= most_length(F.col("len_dst"), ratio, most_shorter)).select("src", "dst", "len_src", "len_dst")
 
 
 def strand_hits(base: DataFrame, query: DataFrame, k: int) -> DataFrame:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import greedy_alphabet, nucleotides, masked, reverse_complement
 from ..plans.storage import stored
-from .align import alignments, nucleotide, protein, required, word_cut
-from .candidates import _sides, edges, length_bound, small_pairs
+from .align import alignments, nucleotide, protein, word_cut
+from .candidates import _sides, edges, least_length, most_length, small_pairs
 from .graph import assigned, components, greedy_commit
-from .kmers import kmer_counts, ranked, unmasked_words
+from .kmers import kmer_counts, ranked, words
 from .options import Options
 from .sketch import DIMS, sketches, votes
+from .wordsets import document_frequency, number_of, rare_first, shared_counts, word_sets
 
 
 def component_clusters(seqs: DataFrame, k: int = 5, tau: float = 0.36, small: bool = False, links: DataFrame | None = None) -> DataFrame:
@@ -41,81 +42,168 @@ def minhash_clusters(seqs: DataFrame, k: int = 5, tau: float = 0.36, dims: int =
     return greedy_clusters(seqs, k, tau, links)
 
 
-def _matches(seqs: DataFrame, o: Options) -> DataFrame:
-    """Verified matches (src representative, dst query, first_word, identity, distance, strand, span) for greedy clustering by identity."""
-    k, c = o.word, o.identity
+def words_needed(length: Column, skipped: Column, o: Options) -> Column:
+    """align.needs() for words of k letters, as a column."""
+    k, n = o.word, length.cast("double")
+    if o.distance is not None:
+        need = F.greatest(F.lit(1), F.least(F.lit(int(1.0 / (o.distance + 1e-9)) - k), length - k + 1))
+    else:
+        strict = F.greatest(F.lit(0.0), (n - k) - F.floor(F.lit(float(k)) * F.ceil((1.0 - o.identity) * n)))
+        empirical = F.floor(word_cut(k, o.identity, o.word_share) * n)
+        rest = (n - k) / (n * k)
+        part = F.greatest(F.lit(0.0), (o.identity - (1.0 - rest)) / rest)
+        need = F.when(length <= k, empirical).otherwise(F.floor(part * strict + (1.0 - part) * empirical))
+    need = need.cast("long")
+    return F.greatest(F.lit(1), need - skipped) if o.nucleotide else F.greatest(F.lit(1), need)
+
+
+def _coded(seqs: DataFrame, o: Options) -> DataFrame:
     alphabet = (lambda s: masked(nucleotides(s), o.mask)) if o.nucleotide else greedy_alphabet
-    coded = seqs.select("seq_id", alphabet(F.col("seq")).alias("seq"))
+    return seqs.select("seq_id", alphabet(F.col("seq")).alias("seq"))
+
+
+def _asked(queries: DataFrame, o: Options, shortest: int | None) -> DataFrame:
+    """Adds to a table of queries (len, total) what they ask for: eff, skipped, need, cover_q (letters to be aligned), most and least (lengths of a representative)."""
+    n = F.col("len")
+    eff = n
+    if shortest is not None:  # between collections a query may be longer than all representatives
+        eff = F.when(n > shortest, F.greatest(F.lit(shortest), F.floor(n * o.length_ratio_2d), n - o.most_longer_2d)).otherwise(n)
+    out = queries.withColumn("eff", eff.cast("long"))
+    out = out.withColumn("cover_q", F.greatest(F.floor(F.col("eff") * o.cover_short), F.col("eff") - o.cover_short_control, F.lit(o.cover_letters)).cast("long"))
+    if o.local:
+        out = out.withColumn("eff", F.col("cover_q"))
+    most = most_length(n, o.length_ratio, o.most_shorter, o.cover_long, o.cover_long_control)
+    least = least_length(n, o.length_ratio_2d, o.most_longer_2d) if shortest is not None else F.lit(0)
+    out = out.withColumn("skipped", n - o.word + 1 - F.col("total")).withColumns({"most": most.cast("long"), "least": least.cast("long")})
+    return out.withColumn("need", words_needed(F.col("eff"), F.col("skipped"), o)).filter(n >= o.cover_letters)
+
+
+def _fragment_pairs(refs: DataFrame, queries: DataFrame, asked: DataFrame, fits: Column, o: Options) -> DataFrame:
+    """(src, dst, shared, first_code) of pairs with enough shared words in a stretch of fragments of the representative that is as long as the query and the band.
+
+    A word counts anew in each fragment, so a pair may share more here than as a whole: all words are joined.
+    """
+    size = o.fragment
+    span = F.floor((F.col("b_len") - o.word + o.band) / size) + 2
+    a = words(refs, o.word).groupBy(F.col("seq_id").alias("src"), F.floor((F.col("pos") - 1) / size).alias("frag"), "word").agg(F.count(F.lit(1)).alias("ca"))
+    a = a.join(refs.select(F.col("seq_id").alias("src"), F.length("seq").cast("long").alias("a_len")), "src")
+    b = kmer_counts(queries, o.word).select(F.col("seq_id").alias("dst"), "word", F.col("cnt").alias("cb"))
+    b = b.join(asked.select(F.col("seq_id").alias("dst"), F.col("len").alias("b_len"), F.col("most").alias("b_most"), F.col("least").alias("b_least"), F.col("need").alias("b_need")), "dst")
+    joined = a.withColumn("a_seq_id", F.col("src")).join(b.withColumn("b_seq_id", F.col("dst")), "word").filter(fits)
+    code = number_of(F.col("word"), protein().letters)
+    per = joined.groupBy("src", "dst", "frag").agg(F.sum(F.least("ca", "cb")).alias("c"), F.min(code).alias("w"), F.first(span).alias("span"), F.first("b_need").alias("need"))
+    frags = per.groupBy("src", "dst", "span", "need").agg(F.array_sort(F.collect_list(F.struct("frag", "c"))).alias("f"), F.min("w").alias("first_code"))  # as many as a representative has fragments
+    best = F.array_max(F.transform("f", lambda x: F.aggregate(F.filter("f", lambda y: (y["frag"] <= x["frag"]) & (y["frag"] > x["frag"] - F.col("span"))), F.lit(0).cast("long"), lambda s, y: s + y["c"])))
+    return frags.withColumn("shared", best).filter(F.col("shared") >= F.col("need")).select("src", "dst", "shared", "first_code")
+
+
+def _matches(refs: DataFrame, others: DataFrame | None, o: Options) -> DataFrame:
+    """Verified matches (src representative, dst query, first_code, identity, distance, strand, span, len_r, len_q).
+
+    With others, these are the queries; else the sequences of refs that come later in the order longest first.
+    first_code numbers the smallest shared word in the order of the alphabet's codes, which decides which match comes first.
+    """
+    k, same, two_strands = o.word, others is None, o.nucleotide and o.both_strands
     scoring = nucleotide(o.match, o.mismatch, o.gap, o.gap_ext) if o.nucleotide else protein()
-    need = F.udf(lambda n: max(1, required(int(n), k, k, c, word_cut(k, c))), "int")  # per distinct length
-    lengths = ranked(coded).filter(F.col("len") >= k)
-    needs = lengths.select("len").distinct().withColumn("need", need("len"))
-    info = lengths.join(needs, "len")
-    if o.nucleotide:  # words with an N are not counted, so fewer need to be shared
-        info = info.join(unmasked_words(coded, k), "seq_id").withColumn("need", F.greatest(F.lit(1), F.col("need") - F.col("skipped")))
-    info = info.select("seq_id", "ord", "len", "need", (F.col("len") - k + 1).alias("total"))
-
-    def with_info(x: DataFrame) -> DataFrame:
-        counts = kmer_counts(x, k)
-        if o.nucleotide:
-            counts = counts.filter(~F.col("word").rlike("[^ACGT]"))
-        return counts.join(info, "seq_id")
-
-    reps = with_info(coded)
-    df = reps.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    only = 4 if o.nucleotide else None
+    base = stored(_coded(refs, o), "sequences")
+    query = base if same else stored(_coded(others, o), "sequences")
+    sets = stored(word_sets(base, k, scoring.letters, only), "words")
+    shortest = None if same else base.agg(F.min(F.length("seq"))).first()[0]
+    if shortest is None and not same:  # no representatives
+        shortest = 0
     out = None
-    for strand in ["+", "-"] if o.nucleotide and o.both_strands else ["+"]:
-        query = coded if strand == "+" else coded.select("seq_id", reverse_complement(F.col("seq")).alias("seq"))
-        asked = reps if strand == "+" else with_info(query)
-        # A query that shares `need` words shares one of its rarest total - need + 1: only these meet the representatives.
-        before = F.coalesce(F.sum("cnt").over(Window.partitionBy("seq_id").orderBy("df", "word").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rare = asked.join(df, "word").withColumn("before", before).filter(F.col("before") <= F.col("total") - F.col("need"))
-        a, b = _sides(reps, rare, "seq_id", "ord", "len", "word")
-        fits = length_bound(F.col("b_len"), F.col("a_len"), o.length_ratio, o.most_shorter) if o.length_ratio > 0 else F.col("a_len") - F.col("b_len") <= o.most_shorter
-        near = a.join(b, (F.col("a_word") == F.col("b_word")) & (F.col("a_ord") < F.col("b_ord")) & fits).select(F.col("a_seq_id").alias("src"), F.col("b_seq_id").alias("dst")).distinct()
-        left = reps.select(F.col("seq_id").alias("src"), "word", F.col("cnt").alias("ca"))
-        right = asked.select(F.col("seq_id").alias("dst"), "word", F.col("cnt").alias("cb"), "need")
-        pairs = near.join(left, "src").join(right, ["dst", "word"]).groupBy("src", "dst").agg(
-            F.sum(F.least("ca", "cb")).alias("shared"), F.min("word").alias("first_word"), F.max("need").alias("need"),
-        ).filter(F.col("shared") >= F.col("need"))
-        pairs = stored(pairs, "pairs")
-        texts = coded if strand == "+" else coded.select(F.struct(F.lit("+").alias("t"), "seq_id").alias("seq_id"), "seq").unionByName(query.select(F.struct(F.lit("-").alias("t"), "seq_id").alias("seq_id"), "seq"))
-        named = pairs if strand == "+" else pairs.select(F.struct(F.lit("+").alias("t"), F.col("src").alias("seq_id")).alias("src"), F.struct(F.lit("-").alias("t"), F.col("dst").alias("seq_id")).alias("dst"))
-        if strand == "-":  # the pair table names both by a text key, as a pair's two sequences are of different strands
-            key = lambda x: F.concat_ws(":", x["t"], x["seq_id"].cast("string"))
-            texts = texts.select(key(F.col("seq_id")).alias("seq_id"), "seq")
-            named = named.select(key(F.col("src")).alias("src"), key(F.col("dst")).alias("dst"))
-        got = alignments(named, texts, scoring, k, c, o.band, local=o.local, most_tail=o.tail)
-        if strand == "-":
-            kind = seqs.schema["seq_id"].dataType
-            got = got.withColumn("src", F.substring("src", 3, 1 << 30).cast(kind)).withColumn("dst", F.substring("dst", 3, 1 << 30).cast(kind))
-        got = got.withColumn("strand", F.lit(strand)).join(pairs.select("src", "dst", "first_word"), ["src", "dst"])
+    for strand in "+-" if two_strands else "+":
+        told = query if strand == "+" else query.select("seq_id", reverse_complement(F.col("seq")).alias("seq"))
+        own = sets if same and strand == "+" else stored(word_sets(told, k, scoring.letters, only), "words")
+        asked = _asked(own, o, shortest)
+        fits = (F.col("a_len") <= F.col("b_most")) & (F.col("a_len") >= F.col("b_least"))
+        if same:
+            fits = fits & ((F.col("a_len") > F.col("b_len")) | ((F.col("a_len") == F.col("b_len")) & (F.col("a_seq_id") < F.col("b_seq_id"))))
+        if o.fragment:
+            shared = _fragment_pairs(base, told, asked, fits, o)
+        else:
+            # Of a pair that shares `need` words, the first in the order rarest first leaves so many from it on in both.
+            df = document_frequency(*([sets] if own is sets else [sets, own]))
+            rest = F.col("total") - F.col("before")
+            rare_a = stored(rare_first(sets, df, "seq_id", "len", "total").withColumn("rest", rest), "rare")
+            rare_b = rare_a if own is sets else rare_first(own, df, "seq_id", "len", "total").withColumn("rest", rest)
+            rare_b = rare_b.join(asked.select("seq_id", "need", "most", "least"), "seq_id").filter(F.col("rest") >= F.col("need"))
+            a, b = _sides(rare_a, rare_b, "seq_id", "len", "code", "rest")[0], rare_b.select(*[F.col(c).alias(f"b_{c}") for c in ("seq_id", "len", "code", "need", "most", "least")])
+            near = a.join(b, (F.col("a_code") == F.col("b_code")) & (F.col("a_rest") >= F.col("b_need")) & fits)
+            near = stored(near.select(F.col("a_seq_id").alias("src"), F.col("b_seq_id").alias("dst"), F.col("b_need").alias("need")).distinct(), "candidates")
+            shared = shared_counts(near, sets, None if own is sets else own, (k, len(scoring.letters) + 1) if strand == "-" else None)
+        shared = stored(shared, "pairs")
+        todo = shared.join(asked.select(F.col("seq_id").alias("dst"), F.col("len").alias("len_q"), "eff", "skipped", "cover_q"), "dst")
+        got = alignments(todo, base, told, scoring, o, shorter=not same)
+        got = got.join(todo.select("src", "dst", "first_code", "len_q", "cover_q"), ["src", "dst"]).join(sets.select(F.col("seq_id").alias("src"), F.col("len").alias("len_r")), "src")
+        if o.covers:
+            cover_r = F.greatest(F.floor(F.col("len_r") * o.cover_long), F.col("len_r") - o.cover_long_control, F.lit(o.cover_letters))
+            got = got.filter((F.col("span")[1] - F.col("span")[0] + 1 >= F.col("cover_q")) & (F.col("span")[3] - F.col("span")[2] + 1 >= cover_r))
+        if strand == "-":  # places in the query as it was given
+            last = F.col("len_q").cast("int") - 1
+            got = got.withColumn("span", F.array(last - F.col("span")[0], last - F.col("span")[1], F.col("span")[2], F.col("span")[3]))
+        got = got.select("src", "dst", "first_code", "identity", "distance", F.lit(strand).alias("strand"), "span", "len_r", "len_q")
         out = got if out is None else out.unionByName(got)
-    size = info.select("seq_id", "len")
-    out = out.join(size.select(F.col("seq_id").alias("dst"), F.col("len").alias("len_q")), "dst").join(size.select(F.col("seq_id").alias("src"), F.col("len").alias("len_r")), "src")
-    on_query, on_rep = F.col("span")[1] - F.col("span")[0] + 1, F.col("span")[3] - F.col("span")[2] + 1
-    if o.distance is not None:
-        out = out.filter(F.col("distance") <= o.distance)
-    if max(o.cover_short, o.cover_long) > 0 or o.cover_letters:
-        out = out.filter((on_query >= F.greatest(F.lit(o.cover_letters), F.floor(F.col("len_q") * o.cover_short))) & (on_rep >= F.floor(F.col("len_r") * o.cover_long)))
     return out
 
 
+def _assigned(matches: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
+    """(seq_id, root_id, identity, distance, strand, span) of matched queries; reps: (seq_id, ord) of the representatives.
+
+    A query goes to the match with the smallest shared word, then the first representative; with ``best``, to that of
+    the highest identity (the least distance). Of nucleotides, a match on the other strand wins only if its
+    representative comes before that of the query's own strand; the best at ties has the first representative.
+    """
+    rows = matches.join(reps.select(F.col("seq_id").alias("src"), F.col("ord").alias("rep_ord")), "src")
+    told = F.struct("rep_ord", "src", "identity", "distance", "strand", "span")
+    value = -F.col("identity") if o.distance is None else F.col("distance")
+    seen = [F.col("first_code"), F.col("rep_ord")]
+    if o.best:
+        order = [value, *([F.col("rep_ord")] if o.nucleotide else seen)]
+        best = rows.groupBy(F.col("dst").alias("seq_id")).agg(F.min(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)], F.col("strand").alias("ks"), told.alias("m"))).alias("b")).select("seq_id", "b.m")
+    else:
+        first = lambda name: F.min(F.when(F.col("strand") == name, F.struct(*[c.alias(f"k{i}") for i, c in enumerate(seen)], told.alias("m"))))
+        best = rows.filter("strand = '+'").groupBy("dst").agg(first("+").alias("b")).select(F.col("dst").alias("seq_id"), "b.m")
+        if o.nucleotide and o.both_strands:
+            own = best.select(F.col("seq_id").alias("dst"), F.col("m").alias("own"))
+            other = rows.filter("strand = '-'").join(own, "dst", "left").filter(F.col("own").isNull() | (F.col("rep_ord") < F.col("own.rep_ord")))
+            other = other.groupBy(F.col("dst").alias("seq_id")).agg(first("-").alias("b")).select("seq_id", F.col("b.m").alias("o"))
+            best = best.join(other, "seq_id", "full").select("seq_id", F.coalesce("o", "m").alias("m"))
+    return best.select("seq_id", F.col("m.src").alias("root_id"), "m.identity", "m.distance", "m.strand", "m.span")
+
+
+def _longer_than(seqs: DataFrame, o: Options) -> DataFrame:
+    return seqs.select("seq_id", "seq").filter(F.length("seq") > o.min_length)
+
+
 def identity_clusters(seqs: DataFrame, options: Options = Options()) -> DataFrame:
-    """(seq_id, root_id, identity): greedy clustering by alignment identity, longest first.
+    """(seq_id, root_id, identity, distance, strand, span): greedy clustering by alignment identity (or distance), longest first.
 
     Sequences of at most min_length letters are left out. A sequence is a representative unless a longer one (or equal,
-    with a smaller id) that is a representative matches it. Members go to the match with the smallest shared word, then
-    the first representative; with ``best``, to that of the highest identity. identity is null for representatives.
+    with a smaller id) that is a representative matches it; _assigned() tells which match a member goes to. The last
+    four columns are null for representatives; span has the first and last letter in the member, then in the representative.
     """
     o = options.checked()
-    kept = seqs.filter(F.length("seq") > o.min_length)
-    matches = stored(_matches(kept, o), "matches")
+    kept = _longer_than(seqs, o)
+    matches = stored(_matches(kept, None, o), "matches")
     marked = stored(greedy_commit(ranked(kept).select("seq_id", "ord"), matches.select("src", "dst")), "marked")
-    by = [-F.col("identity"), F.col("first_word"), F.col("rep_ord")] if o.best else [F.col("first_word"), F.col("rep_ord")]
-    whole = assigned(marked, matches, by)
-    best = matches.groupBy(F.col("src").alias("root_id"), F.col("dst").alias("seq_id")).agg(F.max("identity").alias("identity"))
-    return whole.join(best, ["root_id", "seq_id"], "left").select("seq_id", "root_id", "identity")
+    reps = marked.filter("is_rep")
+    members = _assigned(matches.join(reps.select(F.col("seq_id").alias("dst")), "dst", "left_anti"), reps, o)
+    none = [F.lit(None).cast(members.schema[c].dataType).alias(c) for c in ("identity", "distance", "strand", "span")]
+    return reps.select("seq_id", F.col("seq_id").alias("root_id"), *none).unionByName(members)
+
+
+def identity_matches(base: DataFrame, query: DataFrame, options: Options = Options()) -> DataFrame:
+    """(seq_id, root_id, identity, distance, strand, span) for each query sequence: the sequence of base that it is assigned to, or nulls if it is novel.
+
+    Every sequence of base is a representative. A query may be longer than its representative as length_ratio_2d and
+    most_longer_2d allow. Sequences of at most min_length letters are left out on both sides.
+    """
+    o = options.checked()
+    base, query = _longer_than(base, o), _longer_than(query, o)
+    matches = stored(_matches(base, query, o), "matches")
+    return query.select("seq_id").join(_assigned(matches, ranked(base), o), "seq_id", "left")
 
 
 def parents(clusters: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -123,7 +211,10 @@ def parents(clusters: DataFrame, seqs: DataFrame) -> DataFrame:
     return seqs.select("seq_id").join(clusters.select("seq_id", "root_id"), "seq_id", "left").select("seq_id", F.coalesce("root_id", "seq_id").alias("root_id"))
 
 
-def distance_matrix(pairs: DataFrame) -> DataFrame:
-    """(src, dst, distance): the smaller distance of both orientations, from alignments of either."""
-    a = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "distance")
-    return a.groupBy("src", "dst").agg(F.min("distance").alias("distance"))
+def distance_matrix(pairs: DataFrame, seqs: DataFrame, options: Options = Options()) -> DataFrame:
+    """(src, dst, distance) of pairs (src, dst): the smaller distance of both orientations, each aligned."""
+    coded = _coded(seqs, options)
+    scoring = nucleotide(options.match, options.mismatch, options.gap, options.gap_ext) if options.nucleotide else protein()
+    both = pairs.select("src", "dst").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    got = alignments(both, coded, coded, scoring, options, filtered=False)
+    return got.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("distance").alias("distance"))

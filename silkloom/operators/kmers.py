@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import normalized, word_code
+from ..plans.numbering import numbered
+from ..plans.storage import stored
 
 #: Letters of a piece that words are cut from: cutting from short pieces keeps long sequences linear.
 PIECE = 512
+#: Postings of one list.
+POSTINGS = 100_000
 
 
 def sequences(df: DataFrame, id_col: str, text_col: str, spread: bool = True) -> DataFrame:
@@ -23,14 +27,10 @@ def ranked(seqs: DataFrame) -> DataFrame:
     return seqs.withColumn("len", n).withColumn("ord", F.struct((-n).alias("n"), F.col("seq_id")))
 
 
-def length_rank(seqs: DataFrame, buckets: int = 4096) -> DataFrame:
-    """(seq_id, len, rank): rank from 0 in the order longest first. Ranks are counted per length, then within it, so no task sorts all rows."""
+def length_rank(seqs: DataFrame) -> DataFrame:
+    """(seq_id, len, rank): rank from 0 in the order longest first. Rows are range-partitioned by (len, seq_id), so equal lengths are split too."""
     rows = seqs.select("seq_id", F.length("seq").cast("long").alias("len"))
-    counts = rows.groupBy("len").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy(F.desc("len")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("len", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("len").orderBy("seq_id")) - 1
-    return rows.join(starts, "len").select("seq_id", "len", (F.col("start") + rank).alias("rank"))
+    return numbered(rows, F.desc("len"), "seq_id", out="rank")
 
 
 def words(seqs: DataFrame, k: int) -> DataFrame:
@@ -67,11 +67,14 @@ def table_stats(seqs: DataFrame, k: int, letters: int = 21) -> DataFrame:
     )
 
 
-def posting_lists(seqs: DataFrame, k: int) -> DataFrame:
-    """(word, postings): for each word its sequences, longest first, with counts. Only for words that a list is wanted of; joins use rows."""
+def posting_lists(seqs: DataFrame, k: int, part: int = POSTINGS) -> DataFrame:
+    """(word, part, postings): for each word its sequences, longest first, with counts, in lists of ``part`` at most. Only for words that a list is wanted of; joins use rows."""
     rows = kmer_counts(seqs, k).join(ranked(seqs).select("seq_id", "len"), "seq_id")
-    lists = rows.groupBy("word").agg(F.array_sort(F.collect_list(F.struct((-F.col("len")).alias("n"), "seq_id", "cnt"))).alias("l"))
-    return lists.select("word", F.transform("l", lambda x: F.struct(x["seq_id"].alias("seq_id"), x["cnt"].alias("cnt"))).alias("postings"))
+    rows = stored(numbered(rows, "word", F.desc("len"), "seq_id", out="_n"), "postings")
+    first = rows.groupBy("word").agg(F.min("_n").alias("_first"))
+    rows = rows.join(first, "word").withColumn("part", F.floor((F.col("_n") - F.col("_first")) / part))
+    lists = rows.groupBy("word", "part").agg(F.array_sort(F.collect_list(F.struct("_n", "seq_id", "cnt"))).alias("l"))
+    return lists.select("word", "part", F.transform("l", lambda x: F.struct(x["seq_id"].alias("seq_id"), x["cnt"].alias("cnt"))).alias("postings"))
 
 
 def profile(seqs: DataFrame) -> DataFrame:

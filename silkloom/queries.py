@@ -26,17 +26,12 @@ def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.sequences(_table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.sequences(_table(spark, sf_dir, "part"), "p_partkey", "p_name")
-
-
 def _norm(col: str) -> str:
     return f"translate(upper(regexp_replace(coalesce({col}, ''), '[^A-Za-z]', '', 'g')), 'BJOUZ', 'AAAAA')"
 
 
 DOCS = f"seqs AS (SELECT doc_id AS seq_id, {_norm('text')} AS seq FROM documents)"
 ITEMS = f"items AS (SELECT item_id AS seq_id, {_norm('text')} AS seq FROM benchmark)"
-PARTS = f"seqs AS (SELECT p_partkey AS seq_id, {_norm('p_name')} AS seq FROM part)"
 
 
 def _words(of: str = "seqs", out: str = "km", k: int = K) -> str:
@@ -197,10 +192,11 @@ def word_table_stats(spark, sf_dir):
 
 
 @_query("posting_lists", f"""
-WITH {PARTS}, {_words(k=3)} SELECT word, string_agg(seq_id || ':' || cnt, ',' ORDER BY len DESC, seq_id) AS postings FROM km GROUP BY word""")
+WITH {DOCS}, {_words(k=3)} SELECT word, n // 1000 AS part, string_agg(seq_id || ':' || cnt, ',' ORDER BY n) AS postings
+FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY len DESC, seq_id) - 1 AS n FROM km) GROUP BY 1, 2""")
 def posting_lists(spark, sf_dir):
-    lists = kmers.posting_lists(_parts(spark, sf_dir), 3)
-    return lists.select("word", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["seq_id"].cast("string"), p["cnt"].cast("string"))), ",").alias("postings"))
+    lists = kmers.posting_lists(_docs(spark, sf_dir), 3, 1000)
+    return lists.select("word", "part", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["seq_id"].cast("string"), p["cnt"].cast("string"))), ",").alias("postings"))
 
 
 @_query("all_vs_all_hits", f"""
@@ -234,10 +230,11 @@ def small_set_pairs(spark, sf_dir):
 
 
 @_query("length_bound_pairs", f"""
-WITH {DOCS}, {_words()}, {SHARED}, {_edges(TAU)} SELECT src, dst, ta + 4 AS len_src, tb + 4 AS len_dst FROM sh JOIN e USING (src, dst) WHERE tb + 4 >= 0.8 * (ta + 4)""")
+WITH {DOCS}, {_words()}, {SHARED}, {_edges(TAU)} SELECT src, dst, ta + 4 AS len_src, tb + 4 AS len_dst FROM sh JOIN e USING (src, dst)
+WHERE ta + 4 <= floor((tb + 4)::FLOAT::DOUBLE / 0.8::DOUBLE) AND ta + 4 <= tb + 4 + 100""")
 def length_bound_pairs(spark, sf_dir):
     seqs = _docs(spark, sf_dir)
-    return candidates.length_bound_pairs(seqs, 0.8, candidates.edges(seqs, K, TAU).select("src", "dst"))
+    return candidates.length_bound_pairs(seqs, candidates.edges(seqs, K, TAU).select("src", "dst"), 0.8, 100)
 
 
 _TWO = f"""WITH {DOCS}, {ITEMS}, {_words()}, {_words('items', 'ki')},
@@ -383,12 +380,13 @@ def banded_alignment(spark, sf_dir):
     seqs = _docs(spark, sf_dir)
     pairs = candidates.edges(seqs, K, HIGH).select("src", "dst")
     coded = seqs.select("seq_id", fs.greedy_alphabet(F.col("seq")).alias("seq"))
-    return align.alignments(pairs, coded, align.protein(), K, HIGH, filtered=False)
+    return align.alignments(pairs, coded, coded, align.protein(), Options(identity=HIGH), filtered=False)
 
 
 @_query("distance_matrix")
 def distance_matrix(spark, sf_dir):
-    return cluster.distance_matrix(banded_alignment(spark, sf_dir))
+    seqs = _docs(spark, sf_dir)
+    return cluster.distance_matrix(candidates.edges(seqs, K, HIGH), seqs, Options(identity=HIGH))
 
 
 @_query("greedy_identity_first")

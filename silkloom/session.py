@@ -29,7 +29,7 @@ def ship(spark: SparkSession) -> None:
 def local(cores: int | str = 8, memory: str = "8g", **conf: str) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").config("spark.driver.memory", memory)
     settings = {
-        "spark.sql.shuffle.partitions": str(cores), "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": str(cores), "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true", "spark.sql.files.maxPartitionBytes": "16m",
     } | conf
     for key, value in settings.items():
