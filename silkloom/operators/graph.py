@@ -2,15 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..plans.storage import stored
+from ..plans.storage import Tables, stored, temporary
+
+
+#: Edges that a task contracts at a time.
+STRETCH = 1 << 19
+
+
+def _put(tables: Tables, e: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The stored table, and its count and sum of row hashes (equal for equal sets of rows), taken as it is written."""
+    seen = Observation()
+    out = tables(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*e.columns).cast("decimal(38,0)")).alias("h")), name)
+    got = seen.get
+    return out, (got["n"], got["h"])
+
+
+def _contracted(e: DataFrame) -> DataFrame:
+    """Fewer edges (u > v) with the same components: each task turns its stretches of edges into stars around their smallest ids."""
 
+    def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                size += len(batch)
+            if held and (batch is None or size >= STRETCH):
+                edges = pd.concat(held, ignore_index=True)
+                held, size = [], 0
+                ids, ends = np.unique(np.concatenate([edges["u"], edges["v"]]), return_inverse=True)
+                root = np.arange(len(ids))
+                u, v = ends[: len(edges)], ends[len(edges) :]
+                while True:  # both ends take the smaller root, then roots are followed to their own
+                    a, b = root[u], root[v]
+                    if (a == b).all():
+                        break
+                    np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                    while (root != root[root]).any():
+                        root = root[root]
+                at = np.flatnonzero(root != np.arange(len(ids)))
+                yield pd.DataFrame({"u": ids[at], "v": ids[root[at]]})
 
-def _state(df: DataFrame) -> tuple:
-    """A table's count and a sum of row hashes: equal for equal sets of rows."""
-    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
+    return e.mapInPandas(stars, e.schema)
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -30,27 +70,28 @@ def _small_star(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
     """(id, component) of each node of an edge: component is the smallest id that it is connected with.
 
-    Alternates large-star and small-star steps, which keep the edge count bounded and end in stars after about
+    Tasks contract their own edges first. Then large-star and small-star steps alternate, which keep the edge count bounded and end in stars after about
     log(nodes) rounds. Each round is written to shared storage, so lineage stays short and lost executors do no harm.
     Null ends and loops are dropped; repeated edges do not matter; no edges give no rows. Ids may be of any type
     with an order.
     """
     a, b = F.col(src), F.col(dst)
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(a.isNotNull() & b.isNotNull() & (a != b)).distinct()
-    e = stored(e, "edges")
-    before = _state(e)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
-        e = stored(_small_star(_large_star(e)), "edges")
-        now = _state(e)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = e.select(F.col("v").alias("id")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(a.isNotNull() & b.isNotNull() & (a != b))
+    with temporary(edges.sparkSession) as tables:
+        e, before = _put(tables, _contracted(e).distinct(), "edges")
+        for _ in range(most_rounds):
+            if not before[0]:
+                break
+            last = e
+            e, now = _put(tables, _small_star(_large_star(e)), "edges")
+            tables.drop(last)
+            if now == before:
+                break
+            before = now
+        else:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        roots = e.select(F.col("v").alias("id")).distinct()
+        return stored(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component"))), "components")
 
 
 def greedy_commit(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
@@ -59,21 +100,24 @@ def greedy_commit(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -
     edges: (src, dst), src before dst. That is the greedy scan, in rounds: nodes with no undecided neighbour before
     them become representatives, and their neighbours drop out. The first undecided node is always decided.
     """
-    live = stored(edges.select("src", "dst").distinct(), "edges")
-    dropped = None
-    for _ in range(most_rounds):
-        if not live.head(1):
-            break
-        reps = live.select(F.col("src").alias("id")).distinct().join(live.select(F.col("dst").alias("id")), "id", "left_anti")
-        out = stored(live.join(reps.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct(), "dropped")
-        dropped = out if dropped is None else dropped.unionByName(out)
-        left = live.join(out.withColumnRenamed("id", "src"), "src", "left_anti").join(out.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        live = stored(left.select("src", "dst"), "edges")
-    else:
-        raise RuntimeError(f"the greedy commit did not settle in {most_rounds} rounds")
-    if dropped is None:
-        return nodes.select("seq_id", "ord", F.lit(True).alias("is_rep"))
-    gone = dropped.select(F.col("id").alias("seq_id"), F.lit(False).alias("is_rep"))
+    with temporary(edges.sparkSession) as tables:
+        live, seen = _put(tables, edges.select("src", "dst").distinct(), "edges")
+        dropped = None
+        for _ in range(most_rounds):
+            if not seen[0]:
+                break
+            reps = live.select(F.col("src").alias("id")).distinct().join(live.select(F.col("dst").alias("id")), "id", "left_anti")
+            out = tables(live.join(reps.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct(), "dropped")
+            dropped = out if dropped is None else dropped.unionByName(out)
+            left = live.join(out.withColumnRenamed("id", "src"), "src", "left_anti").join(out.withColumnRenamed("id", "dst"), "dst", "left_anti")
+            last = live
+            live, seen = _put(tables, left.select("src", "dst"), "edges")
+            tables.drop(last)
+        else:
+            raise RuntimeError(f"the greedy commit did not settle in {most_rounds} rounds")
+        if dropped is None:
+            return nodes.select("seq_id", "ord", F.lit(True).alias("is_rep"))
+        gone = stored(dropped.select(F.col("id").alias("seq_id"), F.lit(False).alias("is_rep")), "dropped")
     return nodes.select("seq_id", "ord").join(gone, "seq_id", "left").select("seq_id", "ord", F.coalesce("is_rep", F.lit(True)).alias("is_rep"))
 
 
