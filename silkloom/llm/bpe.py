@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import begins, table, whole_texts
+from .common import begins, slices, table
 
 #: Results kept for white-space separated chunks and for pieces, per Python worker.
 CACHE = 120_000
@@ -358,7 +358,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
         for texts in batches:
             yield pd.Series([np.array(encoder.encode(t), np.int32) for t in texts])
 
-    return whole_texts(docs).withColumn(out, ids(F.col(text_col)))
+    return docs.withColumn(out, ids(F.col(text_col)))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -388,7 +388,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 texts = pa.array([decoder.decode(i.tolist()) for i in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), texts], names=["doc_id", "ids", "decoded"])
 
-    return whole_texts(docs).select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

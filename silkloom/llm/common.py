@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Callable
+import platform
+import sys
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import scratch, stored  # noqa: F401  operators take these from here
+from ..plans.storage import Tables, scratch, stored, temporary  # noqa: F401  operators take these from here
 
 #: A word is a maximal run of characters other than space, \t, \n, \x0b, \x0c and \r.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-#: Rows of texts that meet in one Arrow batch, unless the session sets a number of its own.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of texts that a task turns into Python objects at a time. Spark bounds an Arrow batch by its bytes.
+BATCH_ROWS = 256
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and platform.libc_ver()[0] == "glibc" else None
 _LEFT: dict[str, Callable[[], None]] = {}
 
 
@@ -33,16 +36,24 @@ def begins(operator: str, drop: Callable[[], None] | None = None) -> None:
     if others:
         gc.collect()
         pa.default_memory_pool().release_unused()
+        if _LIBC:
+            _LIBC.malloc_trim(0)  # freed memory goes back to the system
     if drop:
         _LEFT[operator] = drop
 
 
-def whole_texts(docs: DataFrame) -> DataFrame:
-    """docs, in a session whose Arrow batches are small enough for whole texts; a number that the user set stays."""
-    conf = docs.sparkSession.conf
-    if conf.get(_BATCH) == "10000":
-        conf.set(_BATCH, str(BATCH_ROWS))
-    return docs
+def slices(batches: Iterable[pa.RecordBatch | pa.Array], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch | pa.Array]:
+    """Arrow batches or arrays in slices of so many rows, which copy nothing."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
+def by_slices(arrays: Iterable[pa.Array], values: Callable[[list], list], kind: pa.DataType) -> Iterator[pa.Array]:
+    """For an Arrow UDF: values(list of Python values) for each slice, put together to one array per batch."""
+    for array in arrays:
+        parts = [pa.array(values(part.to_pylist()), kind) for part in slices([array])]
+        yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

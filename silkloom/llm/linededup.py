@@ -8,7 +8,8 @@ Positions are joined by fingerprint. Around those that are shared, a match is ex
 window (a shortest run of RUN words from a line on, or up to a line) that holds the fingerprint is joined with its own
 first occurrence, so an extension does not depend on which earlier place a fingerprint met first. Windows that
 occurred before are deleted. The rule that comes out is exact: a line goes if it lies in a run of at least RUN words
-that occurs earlier, in a document with a smaller id or before it in its own.
+that occurs earlier, in a document with a smaller id or before it in its own. Windows are told apart by 128-bit hashes
+of the 128-bit hashes of their lines, so a chance equality need not be looked for even among 10^15 of them.
 """
 
 from __future__ import annotations
@@ -16,16 +17,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import begins, stored, table, whole_texts, with_word_count
+from .common import begins, slices, stored, table, temporary, with_word_count
 
 #: Words of a fingerprint's gram, and words from which on a repeated run is deleted.
 GRAM, RUN = 25, 50
+#: A hash that more than one in so many rows holds is common. There are fewer common ones than that, so they are sent to all tasks.
+COMMON = 20_000
 
 
 def lines_of(text: str) -> list[tuple[int, str, int]]:
@@ -45,7 +48,7 @@ def reach(words: np.ndarray, least: int) -> np.ndarray:
 
 
 def select(hashes: np.ndarray, words: np.ndarray) -> list[tuple[int, int, int]]:
-    """Fingerprints (hash, start, end) of a document's lines."""
+    """Fingerprints (hash, start, end) of a document's lines; hashes: 16 bytes a line."""
     n = len(hashes)
     if not n or words.sum() < RUN:
         return []
@@ -60,7 +63,7 @@ def select(hashes: np.ndarray, words: np.ndarray) -> list[tuple[int, int, int]]:
     return [(grams[i], i, int(ends[i])) for i in sorted(chosen)]
 
 
-def windows(hashes: np.ndarray, words: np.ndarray, shared: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+def windows(hashes: np.ndarray, words: np.ndarray, shared: list[tuple[int, int]]) -> Iterator[tuple[bytes, int, int]]:
     """Windows (hash, start, end) of RUN words that hold one of the shared grams (start, end)."""
     n = len(hashes)
     upto = np.concatenate([[0], np.cumsum(words)])
@@ -68,52 +71,84 @@ def windows(hashes: np.ndarray, words: np.ndarray, shared: list[tuple[int, int]]
     back = [(int(np.searchsorted(upto, upto[e] - RUN, "right")) - 1, e) for e in range(1, n + 1) if upto[e] >= RUN]
     starts = np.array(sorted(s for s, _ in shared))
     least_end = np.minimum.accumulate(np.array([e for _, e in sorted(shared)])[::-1])[::-1]
-    out = []
     for s, e in sorted({*ahead, *back}):
         at = int(np.searchsorted(starts, s))
         if at < len(starts) and least_end[at] <= e:
-            out.append((xxhash.xxh64_intdigest(hashes[s:e].tobytes(), 1) - (1 << 63), s, e))
-    return out
+            yield xxhash.xxh3_128_digest(hashes[s:e].tobytes()), s, e
 
 
-_SPAN = T.StructType([T.StructField("hash", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-_SIGNED = T.StructType([T.StructField("hashes", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("prints", T.ArrayType(_SPAN))])
+_LINE = "V16"
 
 
-@F.pandas_udf(_SIGNED)
-def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, d, h, hashes, words, prints) of (key, d, h, text); texts without a fingerprint are left out."""
     begins("linededup")
-    for texts in batches:
-        rows = []
-        for text in texts:
+    span = pa.struct([("hash", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+    for batch in slices(batches):
+        at, rows = [], []
+        for i, text in enumerate(batch.column(3).to_pylist()):
             lines = lines_of(text or "")
-            hashes = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for _, x, _ in lines], np.uint64)
             words = np.array([n for *_, n in lines], np.int32)
-            rows.append((hashes.tobytes(), words.tobytes(), select(hashes, words)))
-        yield pd.DataFrame(rows, columns=["hashes", "words", "prints"])
+            if words.sum() < RUN:
+                continue
+            hashes = np.array([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for _, x, _ in lines], _LINE)
+            prints = select(hashes, words)
+            if prints:
+                at.append(i)
+                rows.append((hashes.tobytes(), words.tobytes(), [{"hash": h, "start": s, "end": e} for h, s, e in prints]))
+        hashes, words, prints = zip(*rows) if rows else ((), (), ())
+        kept = batch.take(pa.array(at, pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [kept.column(0), kept.column(1), kept.column(2), pa.array(hashes, pa.binary()), pa.array(words, pa.binary()), pa.array(prints, pa.list_(span))],
+            names=["key", "d", "h", "hashes", "words", "prints"],
+        )
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, d, h, hash, start, end): the windows around shared fingerprints of (key, d, h, hashes, words, shared)."""
+    begins("linededup")
+    for batch in slices(batches):
+        at, found = [], []
+        for i, (hashes, words, shared) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)))):
+            got = windows(np.frombuffer(hashes, _LINE), np.frombuffer(words, np.int32), [(g["start"], g["end"]) for g in shared])
+            before = len(found)
+            found.extend(got)
+            at.extend([i] * (len(found) - before))
+        hashes, starts, ends = zip(*found) if found else ((), (), ())
+        kept = batch.take(pa.array(at, pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [kept.column(0), kept.column(1), kept.column(2), pa.array(hashes, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
+            names=["key", "d", "h", "hash", "start", "end"],
+        )
 
 
-@F.pandas_udf(T.ArrayType(_SPAN))
-def extend(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for hashes, words, shared in batches:
-        yield pd.Series([
-            windows(np.frombuffer(h, np.uint64), np.frombuffer(w, np.int32), [(g["start"], g["end"]) for g in s]) for h, w, s in zip(hashes, words, shared)
-        ])
+_CUT = pa.struct([("text", pa.string()), ("lines", pa.int64()), ("deleted", pa.int64())])
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("lines", T.LongType()), T.StructField("deleted", T.LongType())]))
-def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+def _without(text: str | None, gone: list | None) -> dict:
     """A text without the lines of its deleted spans (line numbers among those with words); how many it had and lost."""
+    lines = lines_of(text or "")
+    drop = {i for g in gone or () for i in range(g["start"], g["end"])}
+    if drop:
+        numbers = {lines[i][0] for i in drop}
+        text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in numbers)
+    return {"text": text, "lines": len(lines), "deleted": len(drop)}
+
+
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("lines", T.LongType()), T.StructField("deleted", T.LongType())]))
+def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    begins("linededup")
     for texts, spans in batches:
-        rows = []
-        for text, gone in zip(texts, spans):
-            lines = lines_of(text or "")
-            drop = {i for g in (gone if gone is not None else ()) for i in range(g["start"], g["end"])}
-            if drop:
-                numbers = {lines[i][0] for i in drop}
-                text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in numbers)
-            rows.append((text, len(lines), len(drop)))
-        yield pd.DataFrame(rows, columns=["text", "lines", "deleted"])
+        parts = [pa.array([_without(t, g) for t, g in zip(a.to_pylist(), b.to_pylist())], _CUT) for a, b in zip(slices([texts]), slices([spans]))]
+        yield pa.concat_arrays(parts) if parts else pa.array([], _CUT)
+
+
+def _of_hash(rows: DataFrame, found: DataFrame, total: int, how: str) -> DataFrame:
+    """rows joined with ``found``, one row (hash, n, ...) per hash that n of all ``total`` rows hold. Common hashes are sent to all tasks, so no task gets all rows of one."""
+    least = max(256, total // COMMON)
+    common, others = F.broadcast(found.filter(F.col("n") > least)), found.filter(F.col("n") <= least)
+    rest = rows.join(common.select("hash"), "hash", "left_anti")
+    return rows.join(common, "hash", how).unionByName(rest.join(others, "hash", how))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -123,22 +158,28 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lose the same lines. Runs that overlap their own first occurrence stay. Null texts stay null; texts of any length
     are taken whole; an empty table gives an empty result. Columns of docs cannot clash, as they stay inside ``row``.
     """
-    docs = whole_texts(docs)
-    at = F.struct(F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).alias("at")
-    key = F.concat_ws(":", F.coalesce(F.col("at.d").cast("string"), F.lit("n")), F.col("at.h")).alias("key")
-    signed = stored(docs.select(at, sign(F.col("text")).alias("s")).select(key, "at", "s.hashes", "s.words", "s.prints").filter(F.size("prints") > 0), "lines")
-
-    prints = signed.select("key", "at", F.explode("prints").alias("p")).select("key", "at", "p.*")
-    met = prints.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    shared = prints.join(met, "hash", "left_semi").groupBy("key").agg(F.collect_set(F.struct("hash", "start", "end")).alias("shared"))
-    around = signed.join(shared, "key").select("key", "at", F.explode(extend("hashes", "words", "shared")).alias("w")).select("key", "at", "w.*")
-    around = stored(around.distinct(), "windows")
-    place = F.struct("at", "start", "end")
-    first = around.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first")
-    again = around.join(first, "hash").filter((F.col("at") != F.col("first.at")) | (F.col("start") >= F.col("first.end")))
-    spans = again.groupBy("key").agg(F.collect_set(F.struct(F.lit(0).cast("long").alias("hash"), "start", "end")).alias("gone"))
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), at).select("row", key)
+    at = [F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")]
+    key = F.concat_ws(":", F.coalesce(F.col("d").cast("string"), F.lit("n")), F.col("h")).alias("key")
+    with temporary(docs.sparkSession) as tables:
+        texts = docs.select(*at, "text").select(key, "d", "h", "text")
+        span = "struct<hash: long, start: int, end: int>"
+        signed = tables(texts.mapInArrow(_signed, f"key string, d long, h long, hashes binary, words binary, prints array<{span}>"), "lines")
+
+        prints = signed.select("key", F.explode("prints").alias("p")).select("key", "p.*")
+        met = tables(prints.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+        total = met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        shared = _of_hash(prints, met, total, "left_semi").groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("shared"))
+        around = signed.select("key", "d", "h", "hashes", "words").join(shared, "key")
+        around = tables(around.mapInArrow(_extended, "key string, d long, h long, hash binary, start int, end int").distinct(), "windows")
+        place = F.struct("d", "h", "start", "end")
+        first = tables(around.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "first")
+        total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        again = _of_hash(around, first, total, "inner")
+        same = F.col("d").eqNullSafe(F.col("first.d")) & (F.col("h") == F.col("first.h"))
+        spans = again.filter(~same | (F.col("start") >= F.col("first.end"))).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+        spans = stored(spans, "spans")
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *at).select("row", key)
     out = rows.join(spans, "key", "left").select("row", cut(F.col("row.text"), F.col("gone")).alias("c"))
     return out.select("row", "c.text", "c.lines", "c.deleted")
 

@@ -22,19 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.graph import components
-from .common import begins, stored, table, whole_texts
+from .common import begins, slices, stored, table, temporary
 
 TREES, DEPTH, LEAST = 16, 8, 3
 #: Neighbours looked at in each order at first, before and behind.
 WINDOW = 16
 #: Nodes of a region that meet in one block, of each side, and pairs of nodes that are compared at a time.
 BLOCK, PAIRS_AT_ONCE = 2048, 1 << 18
+#: Bytes of texts of one block on average, when pairs are confirmed, and the least number of blocks.
+BLOCK_BYTES, LEAST_BLOCKS = 1 << 23, 8
 #: Rows of an order that a task searches at a time, besides the window before them.
 STRETCH = 10_000
 #: Best candidates of a node that one order gives: at first, and in the search between components.
@@ -112,47 +114,49 @@ def _begin() -> None:
     begins("neardup", _drop)
 
 
+#: A signature: of the first TREES * DEPTH minhashes 16 bits each, the trees' keys; then the sketch, two bits of each of HASHES minhashes.
+KEYS, SKETCH = TREES * DEPTH * 2, HASHES // 4
+
+
+def signature(m: np.ndarray) -> bytes:
+    sketch = np.packbits(np.stack([m >> np.uint32(8) & np.uint32(1), m >> np.uint32(9) & np.uint32(1)], 1).astype(np.uint8).ravel())
+    return (m[: TREES * DEPTH] & np.uint32(0xFFFF)).astype(">u2").tobytes() + sketch.tobytes()
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, keys, bits, fine, heads): keys has one sortable binary key per tree, bits the sketch as two longs, fine
-    the finer one, heads a hash of each key's first LEAST values."""
-    kind = T.StructType([
-        T.StructField("n", T.LongType()), T.StructField("hash", T.BinaryType()), T.StructField("keys", T.ArrayType(T.BinaryType())),
-        T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("fine", T.BinaryType()), T.StructField("heads", T.BinaryType()),
-    ])
-
-    @F.pandas_udf(kind)
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """(doc_id, n_shingles, set_hash, sig): hash of the set and signature; null where there are no shingles."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("sig", pa.binary())])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _begin()
         shingler = _shingler(size)
-        for texts in batches:
-            rows = []
-            for text in texts:
+        for batch in slices(batches):
+            n, hashes, sigs = [], [], []
+            for text in batch.column(1).to_pylist():
                 s = shingler.set_of(text)
-                if not len(s):
-                    rows.append((0, None, None, None, None, None))
-                    continue
-                m = shingler.minhashes(s)
-                fine = np.packbits(np.stack([(m >> np.uint32(8)) & np.uint32(1), (m >> np.uint32(9)) & np.uint32(1)], 1).astype(np.uint8).ravel()).tobytes()
-                m = m[: TREES * DEPTH]
-                bits = np.packbits((m >> np.uint32(7)).astype(np.uint8) & 1).view(np.int64)
-                keys = m.astype(">u4").tobytes()
-                step = 4 * DEPTH
-                keys = [keys[i : i + step] for i in range(0, len(keys), step)]
-                heads = b"".join(xxhash.xxh32_digest(k[: 4 * LEAST]) for k in keys)
-                rows.append((len(s), xxhash.xxh128_digest(s.tobytes()), keys, bits, fine, heads))
-            yield pd.DataFrame(rows, columns=["n", "hash", "keys", "bits", "fine", "heads"])
+                n.append(len(s))
+                hashes.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
+                sigs.append(signature(shingler.minhashes(s)) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
 
-    signed = docs.select("doc_id", sign(F.col("text")).alias("s"))
-    return signed.select("doc_id", F.col("s.n").alias("n_shingles"), F.col("s.hash").alias("set_hash"), F.col("s.keys").alias("keys"), F.col("s.bits").alias("bits"), F.col("s.fine").alias("fine"), F.col("s.heads").alias("heads"))
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_hash binary, sig binary")
 
 
-PAIR = "a long, b long, differ int"
+def _unpacked(sigs) -> tuple[np.ndarray, np.ndarray]:
+    """Of signatures: the trees' keys (rows by TREES by 2 * DEPTH bytes) and the sketches (rows of 64-bit numbers)."""
+    raw = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, KEYS + SKETCH)
+    return raw[:, :KEYS].reshape(-1, TREES, 2 * DEPTH), np.ascontiguousarray(raw[:, KEYS:]).view(np.uint64)
+
+
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """Tree and first LEAST values of each key in one number (rows by TREES): the regions of a node."""
+    out = np.broadcast_to(np.arange(TREES, dtype=np.int64), keys.shape[:2])
+    for i in range(2 * LEAST):
+        out = out << 8 | keys[:, :, i]
+    return out
 
 
-def _regions(frame: pd.DataFrame) -> np.ndarray:
-    """Rows of a sorted order numbered by tree and first LEAST values of their keys."""
-    key = np.frombuffer(b"".join(t.to_bytes(4, "big") + k[: 4 * LEAST] for t, k in zip(frame["tree"].tolist(), frame["key"])), "V%d" % (4 + 4 * LEAST))
-    return np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(key) else np.empty(0, np.int64)
+PAIR = "a long, b long, differ int"
 
 
 def _frame(ids: np.ndarray, i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> pd.DataFrame:
@@ -169,7 +173,7 @@ _NONE = np.empty(0, np.int64)
 
 def near_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     """Of a stretch of a sorted order: near rows that share LEAST values and pass the sketch and the size bound, BEST of each row, the most alike first."""
-    ids, n, region = frame["node"].to_numpy(), frame["n_shingles"].to_numpy(), _regions(frame)
+    ids, n, region = frame["node"].to_numpy(), frame["n_shingles"].to_numpy(), frame["region"].to_numpy()
     low, high = frame["b0"].to_numpy().view(np.uint64), frame["b1"].to_numpy().view(np.uint64)
     found = []
     for step in range(1, min(WINDOW, len(ids) - 1) + 1):
@@ -196,11 +200,9 @@ def _differ(x: np.ndarray) -> np.ndarray:
 
 def crossing_pairs(frame: pd.DataFrame, best: int | None) -> Iterator[pd.DataFrame]:
     """Of whole blocks, sorted by block and side: for each row of side 0 the ``best`` rows of side 1 (None: all) that are
-    of other components and pass the finer sketch and the size bound. Pairs that share a region of an earlier tree are
-    compared in a block of that region, and left to it."""
-    ids, n, comp, trees = (frame[c].to_numpy() for c in ("node", "n_shingles", "comp", "tree"))
+    of other components and pass the finer sketch and the size bound."""
+    ids, n, comp = (frame[c].to_numpy() for c in ("node", "n_shingles", "comp"))
     fine = np.frombuffer(b"".join(frame["fine"]), np.uint64).reshape(len(frame), -1)
-    heads = np.frombuffer(b"".join(frame["heads"]), np.uint32).reshape(len(frame), TREES)
     side, start = frame["side"].to_numpy(), _block_starts(frame)
     block = np.cumsum(start) - 1
     firsts = np.append(np.flatnonzero(start), len(frame))
@@ -222,8 +224,6 @@ def crossing_pairs(frame: pd.DataFrame, best: int | None) -> Iterator[pd.DataFra
         by = by + _differ(fine[i, 3:] ^ fine[j, 3:])
         ok = by <= MOST_FINE
         i, j, by = i[ok], j[ok], by[ok]
-        ok = ~((heads[i] == heads[j]) & (np.arange(TREES) < trees[i, None])).any(1)
-        i, j, by = i[ok], j[ok], by[ok]
         if best is not None:
             order = np.lexsort((ids[j], by, i))
             i, j, by = i[order], j[order], by[order]
@@ -238,7 +238,7 @@ def crossing_pairs(frame: pd.DataFrame, best: int | None) -> Iterator[pd.DataFra
         yield pd.concat(found, ignore_index=True)
 
 
-_BLOCK = ["tree", "head", "row_block", "col_block"]
+_BLOCK = ["region", "row_block", "col_block"]
 
 
 def _block_starts(frame: pd.DataFrame) -> np.ndarray:
@@ -289,37 +289,51 @@ def _neighbours(pairs, window: int):
     return search
 
 
+def _orders(nodes: DataFrame) -> DataFrame:
+    """(region, key, node, n_shingles, b0, b1) of nodes (node, n_shingles, sig): a row for each tree. The region begins with the tree."""
+    schema = pa.schema([("region", pa.int64()), ("key", pa.binary()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("b0", pa.int64()), ("b1", pa.int64())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            keys, fine = _unpacked(batch.column(2).to_pylist())
+            bits = fine[:, : TREES * DEPTH // 32] & np.uint64(0x5555555555555555)  # one bit of each minhash of the keys
+            bits = (bits[:, ::2] | bits[:, 1::2] << np.uint64(1)).view(np.int64)
+            again = lambda x: pa.array(np.repeat(np.asarray(x), TREES))
+            named = pa.array(keys.reshape(-1, 2 * DEPTH).copy().view(f"V{2 * DEPTH}").ravel().tolist(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(_heads(keys).ravel()), named, *map(again, (batch.column(0), batch.column(1), bits[:, 0], bits[:, 1]))], schema=schema)
+
+    return nodes.select("node", "n_shingles", "sig").mapInArrow(rows, "region long, key binary, node long, n_shingles long, b0 long, b1 long")
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a < b) of near nodes (node, n_shingles, keys, bits) over all sorted orders."""
-    rows = nodes.select("node", "n_shingles", F.col("bits")[0].alias("b0"), F.col("bits")[1].alias("b1"), F.posexplode("keys").alias("tree", "key"))
+    """Distinct candidate pairs (a < b) of near nodes over all sorted orders."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    order = _orders(nodes).repartitionByRange(parts, "region", "key", "node").sortWithinPartitions("region", "key", "node")
     return order.mapInPandas(_neighbours(near_pairs, WINDOW), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
 def in_regions(nodes: DataFrame) -> DataFrame:
-    """(node, tree, head) of nodes (node, heads), for each region that has more than one of them."""
-    rows = nodes.select("node", "heads", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = rows.select("node", "tree", F.expr("cast(conv(hex(substring(heads, 4 * tree + 1, 4)), 16, 10) as long)").alias("head"))
-    shared = rows.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return rows.join(shared, ["tree", "head"]).select("node", "tree", "head")
+    """(node, region), for each region that has more than one node."""
+    rows = _orders(nodes).select("node", "region")
+    shared = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return rows.join(shared, "region").select("node", "region")
 
 
 def between(members: DataFrame, sketches: DataFrame, parts: DataFrame, best: int | None) -> DataFrame:
     """Distinct candidate pairs (a < b) of nodes of different components that share a region.
 
-    members: (node, tree, head); sketches: (node, n_shingles, fine, heads); parts: (id, component) of linked nodes. Of
+    members: (node, region); sketches: (node, n_shingles, fine); parts: (id, component) of linked nodes. Of
     each region, all rows but those of its largest component meet all rows. Both are dealt to blocks by hashes of
     nodes and repeated for each block of the other side, so a block has about BLOCK rows of a side at most.
     """
-    rows = members.join(parts.withColumnRenamed("id", "node"), "node", "left").select("node", "tree", "head", F.coalesce("component", "node").alias("comp"))
-    counts = rows.groupBy("tree", "head", "comp").agg(F.count(F.lit(1)).alias("n"))
+    rows = members.join(parts.withColumnRenamed("id", "node"), "node", "left").select("node", "region", F.coalesce("component", "node").alias("comp"))
+    counts = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    regions = counts.groupBy("tree", "head").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top")).filter("comps > 1")
-    regions = regions.select("tree", "head", F.col("top.comp").alias("largest"), blocks(F.col("n") - F.col("top.n")).alias("row_blocks"), blocks(F.col("n")).alias("col_blocks"))
-    active = rows.join(regions, ["tree", "head"]).join(sketches, "node")
+    regions = counts.groupBy("region").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top")).filter("comps > 1")
+    regions = regions.select("region", F.col("top.comp").alias("largest"), blocks(F.col("n") - F.col("top.n")).alias("row_blocks"), blocks(F.col("n")).alias("col_blocks"))
+    active = rows.join(regions, "region").join(sketches, "node")
     of = F.xxhash64("node")
-    taken = ["node", "comp", "n_shingles", "fine", "heads", "tree", "head"]
+    taken = ["node", "comp", "n_shingles", "fine", "region"]
     sides = active.withColumn("side", F.explode(F.when(F.col("comp") != F.col("largest"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
     own_row, own_col = F.pmod(of, F.col("row_blocks")).cast("int"), F.pmod(of, F.col("col_blocks")).cast("int")
     dealt = sides.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("col_blocks")).otherwise(F.col("row_blocks")) - 1)))
@@ -329,30 +343,50 @@ def between(members: DataFrame, sketches: DataFrame, parts: DataFrame, best: int
     return order.mapInPandas(_in_blocks(best), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. texts: (doc_id, text).
 
-    Only texts of candidates move: once to meet their pairs as b, and with them to a. Within a task rows come by a, so
-    a's set is made once for its run of rows.
+    Nodes are dealt to blocks by hash, and a pair belongs to the pair of its blocks: a text moves once for each of
+    these that it is needed in, however many pairs a hub has there, and its set is made once.
     """
-    texts = docs.select("doc_id", "text")
-    with_b = pairs.select("a", "b").join(texts.withColumnRenamed("doc_id", "b").withColumnRenamed("text", "text_b"), "b")
-    both = with_b.join(texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "text_a"), "a")
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sizes = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(LEAST_BLOCKS, -(-sizes["n"] // BLOCK), -(-sizes["bytes"] // BLOCK_BYTES))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    dealt = pairs.select("a", "b", F.least(of("a"), of("b")).alias("x"), F.greatest(of("a"), of("b")).alias("y"))
+    ends = dealt.select("x", "y", "a").unionByName(dealt.select("x", "y", F.col("b").alias("a"))).distinct()
+    told = ends.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("x", "y", F.lit(0).alias("tag"), "a", F.lit(None).cast("long").alias("b"), "text")
+    asked = dealt.select("x", "y", F.lit(1).alias("tag"), "a", "b", F.lit(None).cast("string").alias("text"))
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = told.unionByName(asked).repartition(n, "x", "y").sortWithinPartitions("x", "y", "tag", "a")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _begin()
-        shingler, text, mine = _shingler(size), None, None
-        for batch in batches:
-            ok = []
-            for text_a, text_b in zip(batch["text_a"], batch["text_b"]):
-                if mine is None or text_a is not text and text_a != text:
-                    text, mine = text_a, shingler.set_of(text_a)
-                other = shingler.set_of(text_b)
-                shared = len(np.intersect1d(mine, other, assume_unique=True))
-                ok.append(100 * shared >= percent * (len(mine) + len(other) - shared))
-            yield batch.loc[ok, ["a", "b"]]
+        shingler, now, sets = _shingler(size), None, {}
+        for batch in slices(batches):
+            left, right = [], []
+            for x, y, tag, a, b, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (x, y) != now:
+                    now, sets = (x, y), {}
+                if not tag:
+                    sets.setdefault(a, []).append(shingler.set_of(text))
+                    continue
+                # an id that rows repeat with several texts is linked by any of them
+                if any(_linked(s, t, percent) for s in sets.get(a, ()) for t in sets.get(b, ())):
+                    left.append(a)
+                    right.append(b)
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return both.mapInPandas(check, "a long, b long").distinct()
+    return rows.mapInArrow(check, "a long, b long").distinct()
+
+
+def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    if len(s) > len(t):
+        s, t = t, s
+    if not len(s) or 100 * len(s) < percent * len(t):
+        return False
+    shared = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    return 100 * shared >= percent * (len(s) + len(t) - shared)
 
 
 def _crossing(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -367,10 +401,6 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
 
-def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return stored(docs.join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id", "left_semi"), "texts")
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id long, text).
 
@@ -382,60 +412,65 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     if not 80 <= percent <= 100:
         raise ValueError("the percentage must be from 80 to 100")
-    docs = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(signatures(docs, size), "signatures")
-    full = signed.filter("n_shingles > 0")
-    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n_shingles", "keys", "bits", "fine", "heads")))
-    nodes = full.groupBy("set_hash").agg(first.alias("f")).filter("f is not null").select("set_hash", F.col("f.doc_id").alias("node"), "f.n_shingles", "f.keys", "f.bits", "f.fine", "f.heads")
-    sets = stored(nodes, "sets")
-
-    pairs = stored(candidates(sets), "pairs")
-    # Texts are needed of candidates only: each is picked once, and all that follows moves these.
-    involved = stored(_ends(pairs), "involved")
-    texts = _picked(docs, involved)
-    to_best = pairs.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = stored(confirmed(to_best, texts, size, percent), "links")
-    parts = stored(components(links, "a", "b"), "parts")
-    rest = _crossing(pairs.join(to_best, ["a", "b"], "left_anti"), parts)
-    more = stored(confirmed(rest, texts, size, percent), "links")
-    if more.head(1):
-        links = links.unionByName(more)
-        parts = stored(components(links, "a", "b"), "parts")
-    tried = pairs.select("a", "b")
-    members = stored(in_regions(sets), "members")
-    sketches = stored(sets.select("node", "n_shingles", "fine", "heads").join(members.select("node").distinct(), "node", "left_semi"), "sketches")
-
-    def search(best: int | None) -> DataFrame:
-        """New candidates between components; texts that they need are picked."""
-        nonlocal involved, texts
-        wide = stored(between(members, sketches, parts, best).join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = stored(_ends(wide).join(involved, "doc_id", "left_anti"), "involved")
-        if new.head(1):
-            involved, texts = involved.unionByName(new), texts.unionByName(_picked(docs, new))
-        return wide
-
-    while True:
-        wide = search(BEST_FINE)
-        found = stored(confirmed(wide, texts, size, percent), "links") if wide.head(1) else wide.select("a", "b").limit(0)
-        tried = tried.unionByName(wide.select("a", "b"))
-        if not found.head(1):
-            break
-        links = links.unionByName(found)
-        parts = stored(components(links, "a", "b"), "parts")
-    # The best candidates give no more links; any other one still may, so none is left out now.
-    others = search(None)
-    for least, most in zip((-1, *BANDS), BANDS) if others.head(1) else ():
-        band = _crossing(others.filter((F.col("differ") > least) & (F.col("differ") <= most)), parts)
-        found = stored(confirmed(band, texts, size, percent), "links")
-        if found.head(1):
-            links = links.unionByName(found)
-            parts = stored(components(links, "a", "b"), "parts")
-
-    label = sets.select("set_hash", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
-    label = label.select("set_hash", F.coalesce("component", "node").alias("c"))
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(label, "set_hash", "left")
-    component = F.coalesce("c", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with temporary(docs.sparkSession) as tables:
+        signed = tables(signatures(docs, size), "signatures")
+        first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n_shingles", "sig")))
+        nodes = signed.filter("n_shingles > 0").groupBy("set_hash").agg(first.alias("f")).filter("f is not null")
+        sets = tables(nodes.select("set_hash", F.col("f.doc_id").alias("node"), "f.n_shingles", "f.sig"), "sets")
+
+        def picked(ids: DataFrame) -> DataFrame:
+            return tables(docs.join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id", "left_semi"), "texts")
+
+        pairs = tables(candidates(sets), "pairs")
+        # Texts are needed of candidates only: each is picked once, and all that follows moves these.
+        involved = tables(_ends(pairs), "involved")
+        texts = picked(involved)
+        to_best = pairs.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+        parts = components(confirmed(to_best, texts, size, percent), "a", "b")
+
+        def joined(found: DataFrame) -> DataFrame:
+            """Components after more links."""
+            return components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found.select("a", "b")), "a", "b")
+
+        rest = _crossing(pairs.join(to_best, ["a", "b"], "left_anti"), parts)
+        more = tables(confirmed(rest, texts, size, percent), "links")
+        if more.head(1):
+            parts = joined(more)
+        tried = pairs.select("a", "b")
+        members = tables(in_regions(sets), "members")
+        fine = F.substring("sig", KEYS + 1, SKETCH).alias("fine")
+        sketches = tables(sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", fine), "sketches")
+
+        def search(best: int | None) -> DataFrame:
+            """New candidates between components; texts that they need are picked."""
+            nonlocal involved, texts
+            wide = tables(between(members, sketches, parts, best).join(tried, ["a", "b"], "left_anti"), "pairs")
+            new = tables(_ends(wide).join(involved, "doc_id", "left_anti"), "involved")
+            if new.head(1):
+                involved, texts = involved.unionByName(new), texts.unionByName(picked(new))
+            return wide
+
+        while True:
+            wide = search(BEST_FINE)
+            found = tables(confirmed(wide, texts, size, percent), "links") if wide.head(1) else wide.select("a", "b").limit(0)
+            tried = tried.unionByName(wide.select("a", "b"))
+            if not found.head(1):
+                break
+            parts = joined(found)
+        # The best candidates give no more links; any other one still may, so none is left out now.
+        others = search(None)
+        for least, most in zip((-1, *BANDS), BANDS) if others.head(1) else ():
+            band = _crossing(others.filter((F.col("differ") > least) & (F.col("differ") <= most)), parts)
+            found = tables(confirmed(band, texts, size, percent), "links")
+            if found.head(1):
+                parts = joined(found)
+
+        label = sets.select("set_hash", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
+        label = label.select("set_hash", F.coalesce("component", "node").alias("c"))
+        out = signed.select("doc_id", "n_shingles", "set_hash").join(label, "set_hash", "left")
+        component = F.coalesce("c", "doc_id")
+        return stored(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")), "near")
 
 
 def op10_minhash_forest(spark, sf_dir):

@@ -13,12 +13,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import begins, table, whole_texts
+from .common import begins, by_slices, scratch, table
 
 #: Fixed values of the contract.
 WINDOW = 8
@@ -91,11 +91,13 @@ def measured(text: str | None) -> tuple[int, ...]:
     )
 
 
-@F.pandas_udf(T.StructType([T.StructField(name, T.LongType()) for name in MEASURES]))
-def measure(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+_MEASURED = pa.struct([(name, pa.int64()) for name in MEASURES])
+
+
+@F.arrow_udf(T.StructType([T.StructField(name, T.LongType()) for name in MEASURES]))
+def measure(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     begins("quality")
-    for batch in texts:
-        yield pd.DataFrame([measured(t) for t in batch], columns=list(MEASURES), dtype="int64")
+    yield from by_slices(texts, lambda part: [dict(zip(MEASURES, measured(t))) for t in part], _MEASURED)
 
 
 def failure_bits(m: str) -> Column:
@@ -110,7 +112,7 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null, empty and blank texts measure 0 and fail few_words. Texts of any length are measured whole. Repeated rows
     give repeated rows, an empty table none; columns of docs cannot clash, as they stay inside ``row``.
     """
-    rows = whole_texts(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), measure(F.col(text_col)).alias("m"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), measure(F.col(text_col)).alias("m"))
     return rows.withColumn("failed", failure_bits("m"))
 
 
