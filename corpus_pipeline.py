@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silkloom.llm import bpe, linededup, mix, neardup, quality
-from silkloom.plans.storage import stored
+from silkloom.plans.storage import stored, temporary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy of the rule ledger keeps."""
+    """Documents that the current policy of the rule ledger keeps. Null and blank texts fail it; repeated rows stay; an empty table stays empty; no column is touched."""
     return quality.apply_policy(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeats of line runs; those that lose their last words go."""
+    """Documents without later repeats of line runs; those that lose their last words go. Null texts and ids are allowed (a null id comes first); rows alike in id and text keep the same lines."""
     return linededup.without_repeats(docs)
 
 
@@ -34,12 +34,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as systematic sampling to the sources' target weights takes it."""
+    """Each document as often as systematic sampling to the sources' target weights takes it. A null source is a source; texts without words are not taken; an empty table stays empty."""
     return mix.emitted(docs)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of the token ids and of the text decoded from them, for each row."""
+    """doc_id, n_tokens, and digests of the token ids and of the text decoded from them, for each row. A null text is an empty one; null and repeated ids stay as they are."""
     return bpe.digests(docs, bpe.default_path())
 
 
@@ -57,9 +57,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return docs
+    with temporary(spark) as tables:
+        for name, stage in STAGES[:-1]:
+            last, docs = docs, tables(stage(spark, docs, sf_dir), name)
+            tables.drop(last)
+        name, stage = STAGES[-1]
+        return stored(stage(spark, docs, sf_dir), name)
 
 
 def queries():
