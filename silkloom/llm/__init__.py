@@ -1,16 +1,21 @@
 """Training-data operators: each module holds one operator, its query and, where SQL can express it, its SQL.
 
-``queries()`` and ``oracle_sql()`` gather what the modules register.
+``queries()`` and ``oracle_sql()`` gather what the modules register. Modules are imported as they are asked for, so a
+Python worker loads only those that its task needs.
 """
 
-from . import ann, bpe, chat, cotrain, linededup, mix, neardup, quality, shards, warc
+from importlib import import_module
 
-_MODULES = (warc, mix, quality, bpe, chat, ann, shards, linededup, cotrain, neardup)
+MODULES = ("warc", "mix", "quality", "bpe", "chat", "ann", "shards", "linededup", "cotrain", "neardup")
+
+
+def _modules():
+    return [import_module(f".{name}", __name__) for name in MODULES]
 
 
 def queries():
-    return {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
+    return {name: fn for m in _modules() for name, fn in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
+    return {name: sql for m in _modules() for name, sql in getattr(m, "ORACLE_SQL", {}).items()}

@@ -20,14 +20,13 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import begins, slices, table
+from .common import by_slices, freeing, slices, table, task
 
 #: Results kept for white-space separated chunks and for pieces, per Python worker.
 CACHE = 120_000
@@ -340,10 +339,6 @@ def _drop() -> None:
     decoder_of.cache_clear()
 
 
-def _begin() -> None:
-    begins("bpe", _drop)
-
-
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """docs with the column ``out`` of token ids (array<int>; empty for null or empty texts).
 
@@ -351,12 +346,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
     columns change nothing; a column that is already named ``out`` is replaced.
     """
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        _begin()
-        encoder = encoder_of(path)
-        for texts in batches:
-            yield pd.Series([np.array(encoder.encode(t), np.int32) for t in texts])
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with task(_drop):
+            encoder = encoder_of(path)
+            yield from by_slices(batches, lambda texts: [np.array(encoder.encode(t), np.int32) for t in texts], pa.list_(pa.int32()))
 
     return docs.withColumn(out, ids(F.col(text_col)))
 
@@ -364,12 +358,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with the text of their token ids; null ids give an empty text."""
 
-    @F.pandas_udf(T.StringType())
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        _begin()
-        decoder = decoder_of(path)
-        for ids in batches:
-            yield pd.Series([decoder.decode(() if i is None else i) for i in ids])
+    @F.arrow_udf(T.StringType())
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with task(_drop):
+            decoder = decoder_of(path)
+            yield from by_slices(batches, lambda rows: [decoder.decode(i or ()) for i in rows], pa.string())
 
     return docs.withColumn(out, text(F.col(ids_col)))
 
@@ -379,16 +372,13 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _begin()
         encoder, decoder = encoder_of(path), decoder_of(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                ids = [np.array(encoder.encode(t), np.int32) for t in part.column(1).to_pylist()]
-                texts = pa.array([decoder.decode(i.tolist()) for i in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), texts], names=["doc_id", "ids", "decoded"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+        for part in slices(batches, rows):
+            ids = [np.array(encoder.encode(t), np.int32) for t in part.column(1).to_pylist()]
+            texts = pa.array([decoder.decode(i.tolist()) for i in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), texts], names=["doc_id", "ids", "decoded"])
+
+    return docs.select(id_col, text_col).mapInArrow(freeing(run, _drop), schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

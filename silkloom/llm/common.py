@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import platform
 import sys
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,25 +21,33 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Rows of texts that a task turns into Python objects at a time. Spark bounds an Arrow batch by its bytes.
 BATCH_ROWS = 256
 _LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and platform.libc_ver()[0] == "glibc" else None
-_LEFT: dict[str, Callable[[], None]] = {}
 
 
-def begins(operator: str, drop: Callable[[], None] | None = None) -> None:
-    """A task of an operator begins in this Python worker: what tasks of other operators left in it is dropped first.
+@contextmanager
+def task(drop: Callable[[], None] | None = None) -> Iterator[None]:
+    """A task in a Python worker, which drops its tables and returns its memory when it ends.
 
-    Workers serve many stages, and tables of several operators at once would not fit beside an executor's heap.
-    ``drop`` frees the operator's own tables when another one begins.
+    Spark keeps more workers than tasks run at once and gives tasks to them in turn, so what idle ones hold adds up
+    beside an executor's heap.
     """
-    others = [name for name in _LEFT if name != operator]
-    for name in others:
-        _LEFT.pop(name)()
-    if others:
-        gc.collect()
+    try:
+        yield
+    finally:
+        if drop:
+            drop()
         pa.default_memory_pool().release_unused()
         if _LIBC:
-            _LIBC.malloc_trim(0)  # freed memory goes back to the system
-    if drop:
-        _LEFT[operator] = drop
+            _LIBC.malloc_trim(0)
+
+
+def freeing(run: Callable, drop: Callable[[], None] | None = None) -> Callable:
+    """A function of batches for mapInArrow, run as a task()."""
+
+    def freed(batches):
+        with task(drop):
+            yield from run(batches)
+
+    return freed
 
 
 def slices(batches: Iterable[pa.RecordBatch | pa.Array], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch | pa.Array]:

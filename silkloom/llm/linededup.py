@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import begins, slices, stored, table, temporary, with_word_count
+from .common import freeing, slices, stored, table, task, temporary, with_word_count
 
 #: Words of a fingerprint's gram, and words from which on a repeated run is deleted.
 GRAM, RUN = 25, 50
@@ -82,7 +82,6 @@ _LINE = "V16"
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, d, h, hashes, words, prints) of (key, d, h, text); texts without a fingerprint are left out."""
-    begins("linededup")
     span = pa.struct([("hash", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
     for batch in slices(batches):
         at, rows = [], []
@@ -106,7 +105,6 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, d, h, hash, start, end): the windows around shared fingerprints of (key, d, h, hashes, words, shared)."""
-    begins("linededup")
     for batch in slices(batches):
         at, found = [], []
         for i, (hashes, words, shared) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)))):
@@ -137,10 +135,10 @@ def _without(text: str | None, gone: list | None) -> dict:
 
 @F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("lines", T.LongType()), T.StructField("deleted", T.LongType())]))
 def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    begins("linededup")
-    for texts, spans in batches:
-        parts = [pa.array([_without(t, g) for t, g in zip(a.to_pylist(), b.to_pylist())], _CUT) for a, b in zip(slices([texts]), slices([spans]))]
-        yield pa.concat_arrays(parts) if parts else pa.array([], _CUT)
+    with task():
+        for texts, spans in batches:
+            parts = [pa.array([_without(t, g) for t, g in zip(a.to_pylist(), b.to_pylist())], _CUT) for a, b in zip(slices([texts]), slices([spans]))]
+            yield pa.concat_arrays(parts) if parts else pa.array([], _CUT)
 
 
 def _of_hash(rows: DataFrame, found: DataFrame, total: int, how: str) -> DataFrame:
@@ -163,14 +161,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     with temporary(docs.sparkSession) as tables:
         texts = docs.select(*at, "text").select(key, "d", "h", "text")
         span = "struct<hash: long, start: int, end: int>"
-        signed = tables(texts.mapInArrow(_signed, f"key string, d long, h long, hashes binary, words binary, prints array<{span}>"), "lines")
+        signed = tables(texts.mapInArrow(freeing(_signed), f"key string, d long, h long, hashes binary, words binary, prints array<{span}>"), "lines")
 
         prints = signed.select("key", F.explode("prints").alias("p")).select("key", "p.*")
         met = tables(prints.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
         total = met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         shared = _of_hash(prints, met, total, "left_semi").groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("shared"))
         around = signed.select("key", "d", "h", "hashes", "words").join(shared, "key")
-        around = tables(around.mapInArrow(_extended, "key string, d long, h long, hash binary, start int, end int").distinct(), "windows")
+        around = tables(around.mapInArrow(freeing(_extended), "key string, d long, h long, hash binary, start int, end int").distinct(), "windows")
         place = F.struct("d", "h", "start", "end")
         first = tables(around.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "first")
         total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -19,16 +19,17 @@ places in an order.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import suppress
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import begins, slices, stored, table, temporary
+from .common import freeing, slices, stored, table, temporary
 
 TREES, DEPTH, LEAST = 16, 8, 3
 #: Neighbours looked at in each order at first, before and behind.
@@ -52,7 +53,7 @@ HASHES, MOST_FINE = 256, 62
 #: Differing bits up to which the last search's candidates are verified at a time: the links of one band join components
 #: and spare candidates of the next.
 BANDS = (40, 48, 54, 58, MOST_FINE)
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 class Shingler:
@@ -110,10 +111,6 @@ def _drop() -> None:
     _SHINGLERS.clear()
 
 
-def _begin() -> None:
-    begins("neardup", _drop)
-
-
 #: A signature: of the first TREES * DEPTH minhashes 16 bits each, the trees' keys; then the sketch, two bits of each of HASHES minhashes.
 KEYS, SKETCH = TREES * DEPTH * 2, HASHES // 4
 
@@ -128,7 +125,6 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("sig", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _begin()
         shingler = _shingler(size)
         for batch in slices(batches):
             n, hashes, sigs = [], [], []
@@ -139,7 +135,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 sigs.append(signature(shingler.minhashes(s)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_hash binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(freeing(sign, _drop), "doc_id long, n_shingles long, set_hash binary, sig binary")
 
 
 def _unpacked(sigs) -> tuple[np.ndarray, np.ndarray]:
@@ -159,9 +155,17 @@ def _heads(keys: np.ndarray) -> np.ndarray:
 PAIR = "a long, b long, differ int"
 
 
-def _frame(ids: np.ndarray, i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> pd.DataFrame:
+Frame = dict[str, np.ndarray]
+
+
+def _columns(held: list[pa.RecordBatch]) -> Frame:
+    whole = pa.Table.from_batches(held)
+    return {name: whole.column(name).to_numpy() for name in whole.column_names}
+
+
+def _frame(ids: np.ndarray, i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> pa.RecordBatch:
     a, b = ids[i], ids[j]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "differ": differ.astype(np.int32)})
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(a, b), np.maximum(a, b), differ.astype(np.int32))], names=["a", "b", "differ"])
 
 
 def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -171,10 +175,10 @@ def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 _NONE = np.empty(0, np.int64)
 
 
-def near_pairs(frame: pd.DataFrame) -> pd.DataFrame:
+def near_pairs(frame: Frame) -> pa.RecordBatch:
     """Of a stretch of a sorted order: near rows that share LEAST values and pass the sketch and the size bound, BEST of each row, the most alike first."""
-    ids, n, region = frame["node"].to_numpy(), frame["n_shingles"].to_numpy(), frame["region"].to_numpy()
-    low, high = frame["b0"].to_numpy().view(np.uint64), frame["b1"].to_numpy().view(np.uint64)
+    ids, n, region = frame["node"], frame["n_shingles"], frame["region"]
+    low, high = frame["b0"].view(np.uint64), frame["b1"].view(np.uint64)
     found = []
     for step in range(1, min(WINDOW, len(ids) - 1) + 1):
         i = np.flatnonzero(region[:-step] == region[step:])
@@ -198,20 +202,19 @@ def _differ(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1).astype(np.int32)
 
 
-def crossing_pairs(frame: pd.DataFrame, best: int | None) -> Iterator[pd.DataFrame]:
+def crossing_pairs(frame: Frame, best: int | None) -> Iterator[pa.RecordBatch]:
     """Of whole blocks, sorted by block and side: for each row of side 0 the ``best`` rows of side 1 (None: all) that are
     of other components and pass the finer sketch and the size bound."""
-    ids, n, comp = (frame[c].to_numpy() for c in ("node", "n_shingles", "comp"))
-    fine = np.frombuffer(b"".join(frame["fine"]), np.uint64).reshape(len(frame), -1)
-    side, start = frame["side"].to_numpy(), _block_starts(frame)
+    ids, n, comp = (frame[c] for c in ("node", "n_shingles", "comp"))
+    fine = np.frombuffer(b"".join(frame["fine"]), np.uint64).reshape(len(ids), -1)
+    side, start = frame["side"], _block_starts(frame)
     block = np.cumsum(start) - 1
-    firsts = np.append(np.flatnonzero(start), len(frame))
+    firsts = np.append(np.flatnonzero(start), len(ids))
     n_rows = np.bincount(block, side == 0, len(firsts) - 1).astype(np.int64)
     first, count = firsts[:-1] + n_rows, np.diff(firsts) - n_rows
     rows = np.flatnonzero(side == 0)
     counts = count[block[rows]]
     chunk = np.cumsum(counts) // PAIRS_AT_ONCE
-    found, size = [], 0
     for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(chunk)) + 1):
         c = counts[at]
         i = np.repeat(rows[at], c)
@@ -229,62 +232,60 @@ def crossing_pairs(frame: pd.DataFrame, best: int | None) -> Iterator[pd.DataFra
             i, j, by = i[order], j[order], by[order]
             ok = np.arange(len(i)) - np.searchsorted(i, i) < best
             i, j, by = i[ok], j[ok], by[ok]
-        found.append(_frame(ids, i, j, by))
-        size += len(i)
-        if size >= PAIRS_AT_ONCE:
-            yield pd.concat(found, ignore_index=True)
-            found, size = [], 0
-    if size:
-        yield pd.concat(found, ignore_index=True)
+        if len(i):
+            yield _frame(ids, i, j, by)
 
 
 _BLOCK = ["region", "row_block", "col_block"]
 
 
-def _block_starts(frame: pd.DataFrame) -> np.ndarray:
+def _block_starts(frame: Frame) -> np.ndarray:
     """Whether each row is the first of its block."""
-    start = np.zeros(len(frame), bool)
+    start = np.zeros(len(frame["node"]), bool)
     start[:1] = True
     for c in _BLOCK:
-        x = frame[c].to_numpy()
-        start[1:] |= x[1:] != x[:-1]
+        start[1:] |= frame[c][1:] != frame[c][:-1]
     return start
 
 
-def _in_blocks(best: int | None):
-    """Runs crossing_pairs() over the sorted rows of a task in stretches of whole blocks of STRETCH rows."""
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, new = [], 0
-        for batch in batches:
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
+    """The sorted rows of a task in stretches of STRETCH rows or more, and whether each is the last; what is sent back comes before the next."""
+    held, new = [], 0
+    for batch in chain(slices(batches, STRETCH), [None]):
+        if batch is not None:
             held.append(batch)
             new += len(batch)
-            if new >= STRETCH:
-                frame = pd.concat(held, ignore_index=True)
-                last = int(np.flatnonzero(_block_starts(frame))[-1])
-                if last:
-                    yield from crossing_pairs(frame.iloc[:last], best)
-                held, new = [frame.iloc[last:]], 0
-        if held:
-            yield from crossing_pairs(pd.concat(held, ignore_index=True), best)
+        if held and (batch is None or new >= STRETCH):
+            back = yield pa.Table.from_batches(held), batch is None
+            held, new = back.to_batches() if back is not None else [], 0
+
+
+def _in_blocks(best: int | None):
+    """Runs crossing_pairs() over the sorted rows of a task in stretches of whole blocks."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretches, back = _stretches(batches), None
+        with suppress(StopIteration):
+            while True:
+                rows, last = stretches.send(back)
+                end = len(rows) if last else int(np.flatnonzero(_block_starts(_columns(rows.to_batches())))[-1])
+                if end:
+                    yield from crossing_pairs(_columns(rows.slice(0, end).to_batches()), best)
+                back = rows.slice(end)
 
     return search
 
 
 def _neighbours(pairs, window: int):
-    """Runs pairs() over the sorted rows of a task in stretches of STRETCH rows, with the last rows of each before the next."""
+    """Runs pairs() over the sorted rows of a task in stretches, with the last rows of each before the next."""
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, new = [], 0
-        for batch in batches:
-            held.append(batch)
-            new += len(batch)
-            if new >= STRETCH:
-                frame = pd.concat(held, ignore_index=True)
-                yield pairs(frame)
-                held, new = [frame.tail(window)], 0
-        if new:
-            yield pairs(pd.concat(held, ignore_index=True))
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretches, back = _stretches(batches), None
+        with suppress(StopIteration):
+            while True:
+                rows, _ = stretches.send(back)
+                yield pairs(_columns(rows.to_batches()))
+                back = rows.slice(max(0, len(rows) - window))
 
     return search
 
@@ -302,14 +303,14 @@ def _orders(nodes: DataFrame) -> DataFrame:
             named = pa.array(keys.reshape(-1, 2 * DEPTH).copy().view(f"V{2 * DEPTH}").ravel().tolist(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(_heads(keys).ravel()), named, *map(again, (batch.column(0), batch.column(1), bits[:, 0], bits[:, 1]))], schema=schema)
 
-    return nodes.select("node", "n_shingles", "sig").mapInArrow(rows, "region long, key binary, node long, n_shingles long, b0 long, b1 long")
+    return nodes.select("node", "n_shingles", "sig").mapInArrow(freeing(rows), "region long, key binary, node long, n_shingles long, b0 long, b1 long")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
     """Distinct candidate pairs (a < b) of near nodes over all sorted orders."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = _orders(nodes).repartitionByRange(parts, "region", "key", "node").sortWithinPartitions("region", "key", "node")
-    return order.mapInPandas(_neighbours(near_pairs, WINDOW), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    return order.mapInArrow(freeing(_neighbours(near_pairs, WINDOW)), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
 def in_regions(nodes: DataFrame) -> DataFrame:
@@ -340,7 +341,7 @@ def between(members: DataFrame, sketches: DataFrame, parts: DataFrame, best: int
     dealt = dealt.select(*taken, "side", F.when(F.col("side") == 0, own_row).otherwise(F.col("other")).alias("row_block"), F.when(F.col("side") == 0, F.col("other")).otherwise(own_col).alias("col_block"))
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = dealt.repartition(n, *_BLOCK).sortWithinPartitions(*_BLOCK, "side", "node")
-    return order.mapInPandas(_in_blocks(best), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    return order.mapInArrow(freeing(_in_blocks(best)), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -360,7 +361,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     rows = told.unionByName(asked).repartition(n, "x", "y").sortWithinPartitions("x", "y", "tag", "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _begin()
         shingler, now, sets = _shingler(size), None, {}
         for batch in slices(batches):
             left, right = [], []
@@ -377,7 +377,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(check, "a long, b long").distinct()
+    return rows.mapInArrow(freeing(check, _drop), "a long, b long").distinct()
 
 
 def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:

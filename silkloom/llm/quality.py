@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import begins, by_slices, scratch, table
+from .common import by_slices, stored, table, task
 
 #: Fixed values of the contract.
 WINDOW = 8
@@ -96,8 +96,8 @@ _MEASURED = pa.struct([(name, pa.int64()) for name in MEASURES])
 
 @F.arrow_udf(T.StructType([T.StructField(name, T.LongType()) for name in MEASURES]))
 def measure(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    begins("quality")
-    yield from by_slices(texts, lambda part: [dict(zip(MEASURES, measured(t))) for t in part], _MEASURED)
+    with task():
+        yield from by_slices(texts, lambda part: [dict(zip(MEASURES, measured(t))) for t in part], _MEASURED)
 
 
 def failure_bits(m: str) -> Column:

@@ -3,6 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import numpy as np
+import pyarrow as pa
 from silkloom.llm import linededup, neardup
 
 LINES = ["doc_id", "text", "lines", "deleted"]
@@ -121,3 +123,20 @@ def test_near_edges(make, edge_rows):
 def test_low_similarity_is_refused(make):
     with pytest.raises(ValueError):
         neardup.near_duplicates(make([(1, "a b c")]), 2, 60)
+
+
+@pytest.mark.parametrize("stretch", [3, 7, 10_000])
+def test_stretches_lose_no_block(stretch, monkeypatch):
+    """Rows come whole to the blocks, wherever stretches and batches end."""
+    monkeypatch.setattr(neardup, "STRETCH", stretch)
+    rng = np.random.default_rng(3)
+    blocks = np.sort(rng.integers(0, 12, 60))
+    n = len(blocks)
+    names = ["node", "comp", "n_shingles", "region", "row_block", "col_block", "side"]
+    side = np.concatenate([np.arange(c) % 2 for c in np.bincount(blocks)])
+    order = np.lexsort((side, blocks))
+    columns = [np.arange(n), np.arange(n), np.full(n, 9), blocks, np.zeros(n, int), np.zeros(n, int), side[order]]
+    table = pa.table({**{k: v for k, v in zip(names, columns)}, "fine": [bytes(neardup.SKETCH)] * n})
+    got = {(a, b) for out in neardup._in_blocks(None)(iter(table.to_batches(max_chunksize=4))) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+    rows = list(zip(*(c.tolist() for c in columns)))
+    assert got == {(min(x[0], y[0]), max(x[0], y[0])) for x in rows for y in rows if x[3] == y[3] and x[6] == 0 and y[6] == 1}
