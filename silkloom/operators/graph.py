@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -28,18 +28,18 @@ def _put(tables: Tables, e: DataFrame, name: str) -> tuple[DataFrame, tuple]:
 def _contracted(e: DataFrame) -> DataFrame:
     """Fewer edges (u > v) with the same components: each task turns its stretches of edges into stars around their smallest ids."""
 
-    def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in chain(batches, [None]):
             if batch is not None:
                 held.append(batch)
                 size += len(batch)
-            if held and (batch is None or size >= STRETCH):
-                edges = pd.concat(held, ignore_index=True)
-                held, size = [], 0
-                ids, ends = np.unique(np.concatenate([edges["u"], edges["v"]]), return_inverse=True)
+            if size and (batch is None or size >= STRETCH):
+                both = [np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in (0, 1)]
+                kind, held, size = held[0].column(0).type, [], 0
+                ids, ends = np.unique(np.concatenate(both), return_inverse=True)
                 root = np.arange(len(ids))
-                u, v = ends[: len(edges)], ends[len(edges) :]
+                u, v = ends[: len(both[0])], ends[len(both[0]) :]
                 while True:  # both ends take the smaller root, then roots are followed to their own
                     a, b = root[u], root[v]
                     if (a == b).all():
@@ -48,9 +48,9 @@ def _contracted(e: DataFrame) -> DataFrame:
                     while (root != root[root]).any():
                         root = root[root]
                 at = np.flatnonzero(root != np.arange(len(ids)))
-                yield pd.DataFrame({"u": ids[at], "v": ids[root[at]]})
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at], kind), pa.array(ids[root[at]], kind)], names=["u", "v"])
 
-    return e.mapInPandas(stars, e.schema)
+    return e.mapInArrow(stars, e.schema)
 
 
 def _large_star(e: DataFrame) -> DataFrame:
