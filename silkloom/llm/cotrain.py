@@ -1,37 +1,42 @@
 """A quality classifier by co-training.
 
-Two logistic classifiers see different views of a document: its text (hashed words and word shapes, repetition) and its
-metadata (source, language, length). Over rounds each labels, among all documents, some that it is confident about,
-and these become training rows of the other. At last both are calibrated on held-out labels and combined.
-
-Fitting uses bounded samples: at most LABELLED labelled rows, and GIVEN pseudo-labels per view, class and round. They
-are the rows with the smallest seeded hashes among all rows that qualify, so every document has a part in it. Only
-their sparse features reach the driver. Scoring covers all documents.
+Two logistic classifiers see different views of a document: its text (hashed words and word shapes, and shares of
+lines, signs, digits and capitals) and its metadata (source, language, length). Both are calibrated on held-out labels.
+Over rounds each labels, among all documents, some that its calibrated probability is sure of, and these become
+training rows of the other; a view that is sure of nothing gives nothing. At last the calibrated views are combined.
+
+Features are made once and stored; rounds and scoring read them. Fitting uses bounded samples: at most LABELLED
+labelled rows, and GIVEN pseudo-labels per view, class and round. They are the rows with the smallest seeded hashes
+among all rows that qualify, so every document has a part in it: counts of hash ranges find where the GIVEN smallest
+end, and only the rows below are ranked. Only their sparse features reach the driver. Scoring covers all documents.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import freeing, slices, stored, table, task, temporary
 
 LABELLED, GIVEN, ROUNDS, CONFIDENT = 6000, 250, 2, 0.95
 #: One of so many labelled rows is held out for calibration.
 HELD_OUT = 4
-WORDS, SHAPES, EXTRA, META = 1 << 13, 1 << 10, 8, 1 << 9
+WORDS, SHAPES, EXTRA, META = 1 << 13, 1 << 10, 12, 1 << 9
 KEEP = 0.5
-_CACHE = 300_000
+#: Ranges of hashes that candidates for pseudo-labels are counted by.
+RANGES = 1 << 16
+_CACHE = 100_000
+_DIGITS, _CAPITALS = b"0123456789", bytes(range(65, 91))
+_SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 class Views:
@@ -44,7 +49,7 @@ class Views:
 
     def _word(self, w: str) -> int:
         """A word's hash and that of its shape, in one number."""
-        shape = self._DIGITS.sub("9", self._UPPER.sub("X", self._LETTERS.sub("x", w[:64])))
+        shape = self._DIGITS.sub("9", self._UPPER.sub("X", self._LETTERS.sub("x", w)))
         got = xxhash.xxh32_intdigest(w.lower()) % WORDS * SHAPES + xxhash.xxh32_intdigest(shape, 1) % SHAPES + 1
         if len(self.words) >= _CACHE:
             self.words.clear()
@@ -60,11 +65,17 @@ class Views:
         n = np.bincount(ids // SHAPES, minlength=WORDS + SHAPES)
         n[WORDS:] = np.bincount(ids % SHAPES, minlength=SHAPES)
         at = np.flatnonzero(n)
-        n = n[at]
-        lines = [x for x in text.split("\n") if x]
-        extra = [(1, 1 - len(set(lines)) / max(1, len(lines))), (2, 1 - len(set(words)) / len(words)), (3, min(1.0, np.log2(len(words)) / 20))]
-        at = np.concatenate([at, np.array([WORDS + SHAPES + i for i, _ in extra], np.int32)])
-        return at.astype(np.int32), np.concatenate([np.sqrt(n / len(words)), [v for _, v in extra]]).astype(np.float32)
+        lines = [x for x in map(str.rstrip, text.split("\n")) if x]
+        raw = text.encode("utf-8", "surrogatepass")
+        share = lambda which: 1 - len(raw.translate(None, which)) / len(raw)
+        extra = [
+            1 - len(set(lines)) / max(1, len(lines)), 1 - len(set(words)) / len(words), min(1.0, math.log2(len(words)) / 20),
+            min(2.0, len(text) / len(words) / 10), 4 * share(_DIGITS), 4 * share(_CAPITALS), 4 * share(_SIGNS),
+            min(1.0, len(words) / max(1, len(lines)) / 50), sum(x[-1] in ".!?" for x in lines) / max(1, len(lines)),
+            sum(map(str.isalpha, words)) / len(words), sum(map(str.isupper, words)) / len(words),
+        ]
+        at = np.concatenate([at, np.arange(WORDS + SHAPES + 1, WORDS + SHAPES + 1 + len(extra))])
+        return at.astype(np.int32), np.concatenate([np.sqrt(n[n > 0] / len(words)), extra]).astype(np.float32)
 
     def meta(self, source, lang, n_chars) -> tuple[np.ndarray, np.ndarray]:
         size = "none" if n_chars is None or n_chars != n_chars else str(int(math.log2(max(0, n_chars) + 1) * 2))
@@ -102,8 +113,8 @@ class Logistic:
             self.b -= rate * err.sum() / np.sqrt(seen_b)
         return self
 
-    def logit(self, row: tuple[np.ndarray, np.ndarray]) -> float:
-        return float(self.w[row[0]] @ row[1] + self.b)
+    def logits(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return np.array([self.w[at] @ val + self.b for at, val in rows], float)
 
 
 def calibration(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -120,112 +131,144 @@ def calibration(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray
     return w
 
 
-def sigmoid(z: float) -> float:
-    return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
-
-
-_FEATURES = "doc_id long, y double, at_t array<int>, val_t array<float>, at_m array<int>, val_m array<float>"
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _view_rows(frame: pd.DataFrame, views: Views) -> tuple[list, list]:
-    return [views.text(t) for t in frame["text"]], [views.meta(s, x, n) for s, x, n in zip(frame["source"], frame["lang"], frame["n_chars"])]
+Rows = list[tuple[np.ndarray, np.ndarray]]
 
 
-def _collect(features: DataFrame):
-    """The rows of a bounded feature table: text rows, metadata rows, labels and ids."""
-    rows = features.collect()
-    pick = lambda a, v: [(np.array(r[a], np.int32), np.array(r[v], np.float32)) for r in rows]
-    return pick("at_t", "val_t"), pick("at_m", "val_m"), np.array([r["y"] for r in rows]), [r["doc_id"] for r in rows]
+def _rows(at: list[bytes], val: list[bytes]) -> Rows:
+    return [(np.frombuffer(a, np.uint16), np.frombuffer(v, np.float32)) for a, v in zip(at, val)]
 
 
-def _featured(rows: DataFrame) -> DataFrame:
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        views = Views()
-        for b in batches:
-            t, m = _view_rows(b, views)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "at_t": [x for x, _ in t], "val_t": [x for _, x in t], "at_m": [x for x, _ in m], "val_m": [x for _, x in m]})
+_FEATURES = ("at_t", "val_t", "at_m", "val_m")
 
-    return rows.select("doc_id", "y", "text", "source", "lang", "n_chars").mapInPandas(make, _FEATURES)
 
+def features(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """(``row``: struct of the carried columns, all by default; doc_id; at_t, val_t, at_m, val_m): sparse features of both views as bytes, one row per row of docs."""
+    kind = T.StructType([T.StructField(n, T.BinaryType()) for n in _FEATURES])
 
-def _confident(docs: DataFrame, text: Logistic, meta: Logistic, used: frozenset, seed: int) -> DataFrame:
-    """Features of documents that one view is sure of, as training rows of the other: (view, y) with up to GIVEN each, by seeded hash.
+    @F.arrow_udf(kind)
+    def made(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        with task():
+            views = Views()
+            for columns in batches:
+                parts = []
+                for part in zip(*(slices([c]) for c in columns)):
+                    texts, sources, langs, sizes = (c.to_pylist() for c in part)
+                    t, m = [views.text(x) for x in texts], [views.meta(*x) for x in zip(sources, langs, sizes)]
+                    told = [[x.astype(np.uint16).tobytes() for x, _ in t], [x.tobytes() for _, x in t], [x.astype(np.uint16).tobytes() for x, _ in m], [x.tobytes() for _, x in m]]
+                    parts.append(pa.StructArray.from_arrays([pa.array(x, pa.binary()) for x in told], _FEATURES))
+                yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(n, pa.binary()) for n in _FEATURES]))
 
-    Each task keeps its GIVEN smallest hashes per view and class, so little is left to rank.
-    """
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        views, kept = Views(), {}
-        for b in batches:
-            for ident, t, m in zip(b["doc_id"].tolist(), *_view_rows(b, views)):
-                if ident is None or ident != ident or ident in used:
-                    continue
-                order = None
-                for view, p in (("meta", sigmoid(text.logit(t))), ("text", sigmoid(meta.logit(m)))):
-                    if max(p, 1 - p) >= CONFIDENT:
-                        order = order or xxhash.xxh64_intdigest(str(int(ident)), seed) >> 1
-                        heap = kept.setdefault((view, float(p > 0.5)), [])
-                        item = (-order, int(ident), t, m)
-                        if len(heap) < GIVEN:
-                            heapq.heappush(heap, item) if (-order, int(ident)) not in {(h[0], h[1]) for h in heap} else None
-                        elif item[:2] > heap[0][:2] and (-order, int(ident)) not in {(h[0], h[1]) for h in heap}:
-                            heapq.heapreplace(heap, item)
-        for (view, y), heap in kept.items():
-            yield pd.DataFrame([(view, -o, i, y, t[0], t[1], m[0], m[1]) for o, i, t, m in heap], columns=["view", "order", "doc_id", "y", "at_t", "val_t", "at_m", "val_m"])
-
-    found = docs.mapInPandas(best, "view string, order long, " + _FEATURES)
-    rank = F.row_number().over(Window.partitionBy("view", "y").orderBy("order", "doc_id"))
-    return found.withColumn("r", rank).filter(F.col("r") <= GIVEN).drop("r", "order")
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("row")
+    out = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), made("text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("double")).alias("f"))
+    return out.select("row", "doc_id", "f.*")
 
 
 class CoTrained:
-    """The fitted views, their calibrations and the combination."""
+    """The fitted views, their calibrations and the combination. Without held-out labels the raw scores count."""
 
-    def __init__(self, text: Logistic, meta: Logistic, held: tuple | None):
+    def __init__(self, text: Logistic, meta: Logistic, held: tuple[Rows, Rows, np.ndarray]):
         self.text, self.meta = text, meta
-        if held and len(held[2]):
-            zt, zm, y = np.array([text.logit(r) for r in held[0]]), np.array([meta.logit(r) for r in held[1]]), held[2]
-        else:
-            zt = zm = y = np.empty(0)
+        zt, zm, y = text.logits(held[0]), meta.logits(held[1]), held[2]
         self.of_text, self.of_meta = calibration(zt[:, None], y), calibration(zm[:, None], y)
         self.both = calibration(np.column_stack([zt * self.of_text[0] + self.of_text[1], zm * self.of_meta[0] + self.of_meta[1]]), y)
 
-    def score(self, t, m) -> tuple[float, float, float]:
-        zt = self.text.logit(t) * self.of_text[0] + self.of_text[1]
-        zm = self.meta.logit(m) * self.of_meta[0] + self.of_meta[1]
-        return float(sigmoid(zt)), float(sigmoid(zm)), float(sigmoid(zt * self.both[0] + zm * self.both[1] + self.both[2]))
-
-
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rounds: int = ROUNDS, seed: int = 9) -> CoTrained:
-    """Fits on documents (doc_id, text, source, lang, n_chars) and labels (doc_id, 0/1).
-
-    Null labels and ids are left out; of several labels of a document the mean decides. Without labels of both classes
-    the scores are the same for all documents.
+    def scores(self, t: Rows, m: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Calibrated probabilities by text, by metadata, and combined."""
+        zt = self.text.logits(t) * self.of_text[0] + self.of_text[1]
+        zm = self.meta.logits(m) * self.of_meta[0] + self.of_meta[1]
+        return sigmoid(zt), sigmoid(zm), sigmoid(zt * self.both[0] + zm * self.both[1] + self.both[2])
+
+
+def _confident(feats: DataFrame, model: CoTrained, used: list[int], seed: int) -> DataFrame:
+    """(view, y, doc_id, features) of documents that one view is sure of, as training rows of the other: up to GIVEN ids of each view and class, those with the smallest seeded hashes. Of several rows of an id one counts."""
+
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = set(used)
+        for batch in slices(batches):
+            ids, (at_t, val_t, at_m, val_m) = batch.column(0).to_pylist(), (batch.column(i).to_pylist() for i in range(1, 5))
+            p_text, p_meta, _ = model.scores(_rows(at_t, val_t), _rows(at_m, val_m))
+            views, classes, names, orders = [], [], [], []
+            for view, p in (("meta", p_text), ("text", p_meta)):
+                for i in np.flatnonzero(np.maximum(p, 1 - p) >= CONFIDENT).tolist():
+                    if ids[i] is not None and ids[i] not in taken:
+                        views.append(view)
+                        classes.append(float(p[i] > 0.5))
+                        names.append(ids[i])
+                        orders.append(xxhash.xxh64_intdigest(str(ids[i]), seed) >> 1)
+            yield pa.RecordBatch.from_arrays([pa.array(views, pa.string()), pa.array(classes, pa.float64()), pa.array(names, pa.int64()), pa.array(orders, pa.int64())], names=["view", "y", "doc_id", "o"])
+
+    with temporary(feats.sparkSession) as tables:
+        found = feats.select("doc_id", *_FEATURES).mapInArrow(freeing(sure), "view string, y double, doc_id long, o long")
+        found = tables(found.withColumn("range", F.floor(F.col("o") / F.lit((1 << 63) // RANGES)).cast("int")), "sure")
+        counts = found.groupBy("view", "y", "range").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).collect()  # at most 4 * RANGES rows
+        cuts, room = {}, {}
+        for r in sorted(counts, key=lambda r: r["range"]):
+            key = r["view"], r["y"]
+            if room.get(key, 0) < 2 * GIVEN:
+                room[key], cuts[key] = room.get(key, 0) + r["n"], r["range"]
+        if not cuts:
+            return found.limit(0).select("view", "y", "doc_id").join(feats.select("doc_id", *_FEATURES), "doc_id").limit(0)
+        below = [(F.col("view") == v) & (F.col("y") == y) & (F.col("range") <= cut) for (v, y), cut in cuts.items()]
+        few = found.filter(reduce(lambda a, b: a | b, below)).dropDuplicates(["view", "y", "doc_id"])
+        chosen = None
+        for v, y in cuts:
+            part = few.filter((F.col("view") == v) & (F.col("y") == y)).orderBy("o", "doc_id").limit(GIVEN)
+            chosen = part if chosen is None else chosen.unionByName(part)
+        one = feats.select("doc_id", F.struct(*_FEATURES).alias("f")).join(F.broadcast(chosen.select("view", "y", "doc_id")), "doc_id")  # 4 * GIVEN rows
+        return stored(one.groupBy("view", "y", "doc_id").agg(F.min("f").alias("f")).select("view", "y", "doc_id", "f.*"), "given")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rounds: int = ROUNDS, seed: int = 9, feats: DataFrame | None = None) -> CoTrained:
+    """Fits on documents (doc_id, text, source, lang, n_chars) and labels (doc_id, 0/1). feats: features() of docs, if they are at hand.
+
+    Null labels and ids are left out; of several labels of a document the mean decides, and of several rows of a
+    labelled document one is taken, the same in each run. Without labels of both classes the scores are the same for
+    all documents.
     """
-    docs = docs.select("doc_id", "text", "source", "lang", "n_chars")
-    marked = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.avg(label_col).alias("y"))
-    marked = marked.select("doc_id", (F.col("y") >= 0.5).cast("double").alias("y"), F.xxhash64("doc_id", F.lit(seed)).alias("o")).orderBy("o", "doc_id").limit(LABELLED)
-    t, m, y, ids = _collect(_featured(docs.join(F.broadcast(marked), "doc_id")))  # LABELLED rows at most
-    order = sorted(range(len(ids)), key=lambda i: (xxhash.xxh64_intdigest(str(ids[i]), seed), i))
-    held, train = order[::HELD_OUT], [i for k, i in enumerate(order) if k % HELD_OUT]
-    take = lambda rows, at: [rows[i] for i in at]
-    rows_t, rows_m, y_t, y_m = take(t, train), take(m, train), [*y[train]] if len(y) else [], [*y[train]] if len(y) else []
-    used = set(ids)
-    for r in range(rounds + 1):
-        text = Logistic(WORDS + SHAPES + EXTRA).fit(rows_t, np.array(y_t))
-        meta = Logistic(META).fit(rows_m, np.array(y_m))
-        if r == rounds or not y_t or min(y_t) == max(y_t):
-            break
-        given = _confident(docs, text, meta, frozenset(used), seed + 1 + r).collect()
-        for row in given:
-            used.add(row["doc_id"])
-            if row["view"] == "meta":
-                rows_m.append((np.array(row["at_m"], np.int32), np.array(row["val_m"], np.float32)))
-                y_m.append(row["y"])
-            else:
-                rows_t.append((np.array(row["at_t"], np.int32), np.array(row["val_t"], np.float32)))
-                y_t.append(row["y"])
-    return CoTrained(text, meta, (take(t, held), take(m, held), y[held]) if len(y) else None)
+    with temporary(docs.sparkSession) as tables:
+        if feats is None:
+            feats = tables(features(docs.select("doc_id", "text", "source", "lang", "n_chars"), ["doc_id"]), "features")
+        marked = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.avg(label_col).alias("y"))
+        marked = marked.select("doc_id", (F.col("y") >= 0.5).cast("double").alias("y"), F.xxhash64("doc_id", F.lit(seed)).alias("o")).orderBy("o", "doc_id").limit(LABELLED)
+        known = feats.select("doc_id", F.struct(*_FEATURES).alias("f")).join(F.broadcast(marked.select("doc_id", "y")), "doc_id")  # LABELLED ids at most
+        rows = known.groupBy("doc_id", "y").agg(F.min("f").alias("f")).select("doc_id", "y", "f.*").collect()
+        rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"]), seed), r["doc_id"]))
+        held, train = rows[::HELD_OUT], [r for k, r in enumerate(rows) if k % HELD_OUT]
+        of = lambda some: (_rows([r["at_t"] for r in some], [r["val_t"] for r in some]), _rows([r["at_m"] for r in some], [r["val_m"] for r in some]), np.array([r["y"] for r in some]))
+        kept, used = of(held), [r["doc_id"] for r in rows]
+        by = {"text": list(train), "meta": list(train)}
+        for r in range(rounds + 1):
+            t, m = of(by["text"]), of(by["meta"])
+            model = CoTrained(Logistic(WORDS + SHAPES + EXTRA).fit(t[0], t[2]), Logistic(META).fit(m[1], m[2]), kept)
+            if r == rounds or len({x["y"] for x in train}) < 2:
+                return model
+            given = _confident(feats, model, used, seed + 1 + r).collect()  # 4 * GIVEN rows at most
+            for row in sorted(given, key=lambda x: x["doc_id"]):
+                used.append(row["doc_id"])
+                by[row["view"]].append(row)
+        return model
+
+
+def scored(feats: DataFrame, model: CoTrained) -> DataFrame:
+    """``row``, p_text, p_meta (calibrated), score (combined) and kept for each row of features()."""
+    names = ("p_text", "p_meta", "score")
+
+    @F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        with task():
+            for columns in batches:
+                parts = []
+                for part in zip(*(slices([c]) for c in columns)):
+                    at_t, val_t, at_m, val_m = (c.to_pylist() for c in part)
+                    parts.append(pa.StructArray.from_arrays([pa.array(p, pa.float64()) for p in model.scores(_rows(at_t, val_t), _rows(at_m, val_m))], names))
+                yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(n, pa.float64()) for n in names]))
+
+    out = feats.select("row", run(*_FEATURES).alias("s"))
+    return out.select("row", "s.p_text", "s.p_meta", "s.score", (F.col("s.score") >= KEEP).alias("kept"))
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:
@@ -234,22 +277,15 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
     Null texts and metadata have features of their own. Repeated rows score alike; columns of docs cannot clash, as
     they stay inside ``row``; an empty table gives an empty result.
     """
-    kind = T.StructType([T.StructField(n, T.DoubleType()) for n in ("p_text", "p_meta", "score")])
-
-    @F.pandas_udf(kind)
-    def scored(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        views = Views()
-        for text, source, lang, n_chars in batches:
-            t, m = _view_rows({"text": text, "source": source, "lang": lang, "n_chars": n_chars}, views)
-            yield pd.DataFrame([model.score(a, b) for a, b in zip(t, m)], columns=["p_text", "p_meta", "score"])
-
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), scored("text", "source", "lang", "n_chars").alias("s"))
-    return out.select("row", "s.p_text", "s.p_meta", "s.score", (F.col("s.score") >= KEEP).alias("kept"))
+    return scored(features(docs), model)
 
 
 def op9_cotraining_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).select("row.doc_id", "p_text", "p_meta", "score", "kept")
+    with temporary(spark) as tables:
+        feats = tables(features(docs, ["doc_id"]), "features")
+        out = scored(feats, fit(docs, table(spark, sf_dir, "labels"), feats=feats))
+        return stored(out.select("row.doc_id", "p_text", "p_meta", "score", "kept"), "scores")
 
 
 QUERIES = {"op9_cotraining_quality": op9_cotraining_quality}

@@ -204,9 +204,12 @@ def _differ(x: np.ndarray) -> np.ndarray:
 
 def crossing_pairs(frame: Frame, best: int | None) -> Iterator[pa.RecordBatch]:
     """Of whole blocks, sorted by block and side: for each row of side 0 the ``best`` rows of side 1 (None: all) that are
-    of other components and pass the finer sketch and the size bound."""
+    of other components and pass the finer sketch and the size bound. Pairs that share a region of an earlier tree are
+    left to it: all pairs of a region are compared, so that one is compared there."""
     ids, n, comp = (frame[c] for c in ("node", "n_shingles", "comp"))
     fine = np.frombuffer(b"".join(frame["fine"]), np.uint64).reshape(len(ids), -1)
+    heads = np.frombuffer(b"".join(frame["heads"]), np.int64).reshape(len(ids), TREES)
+    trees = frame["region"] >> (16 * LEAST)
     side, start = frame["side"], _block_starts(frame)
     block = np.cumsum(start) - 1
     firsts = np.append(np.flatnonzero(start), len(ids))
@@ -227,6 +230,8 @@ def crossing_pairs(frame: Frame, best: int | None) -> Iterator[pa.RecordBatch]:
         by = by + _differ(fine[i, 3:] ^ fine[j, 3:])
         ok = by <= MOST_FINE
         i, j, by = i[ok], j[ok], by[ok]
+        ok = ~((heads[i] == heads[j]) & (np.arange(TREES) < trees[i, None])).any(1)
+        i, j, by = i[ok], j[ok], by[ok]
         if best is not None:
             order = np.lexsort((ids[j], by, i))
             i, j, by = i[order], j[order], by[order]
@@ -313,6 +318,18 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return order.mapInArrow(freeing(_neighbours(near_pairs, WINDOW)), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
+def _regions_of(sets: DataFrame) -> DataFrame:
+    """(node, n_shingles, fine, heads) of (node, n_shingles, sig): the sketch, and the regions of all trees as 64-bit numbers."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            keys, fine = _unpacked(batch.column(2).to_pylist())
+            told = [pa.array([x.tobytes() for x in part], pa.binary()) for part in (fine, _heads(keys))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *told], names=["node", "n_shingles", "fine", "heads"])
+
+    return sets.select("node", "n_shingles", "sig").mapInArrow(freeing(rows), "node long, n_shingles long, fine binary, heads binary")
+
+
 def in_regions(nodes: DataFrame) -> DataFrame:
     """(node, region), for each region that has more than one node."""
     rows = _orders(nodes).select("node", "region")
@@ -323,7 +340,7 @@ def in_regions(nodes: DataFrame) -> DataFrame:
 def between(members: DataFrame, sketches: DataFrame, parts: DataFrame, best: int | None) -> DataFrame:
     """Distinct candidate pairs (a < b) of nodes of different components that share a region.
 
-    members: (node, region); sketches: (node, n_shingles, fine); parts: (id, component) of linked nodes. Of
+    members: (node, region); sketches: (node, n_shingles, fine, heads); parts: (id, component) of linked nodes. Of
     each region, all rows but those of its largest component meet all rows. Both are dealt to blocks by hashes of
     nodes and repeated for each block of the other side, so a block has about BLOCK rows of a side at most.
     """
@@ -334,7 +351,7 @@ def between(members: DataFrame, sketches: DataFrame, parts: DataFrame, best: int
     regions = regions.select("region", F.col("top.comp").alias("largest"), blocks(F.col("n") - F.col("top.n")).alias("row_blocks"), blocks(F.col("n")).alias("col_blocks"))
     active = rows.join(regions, "region").join(sketches, "node")
     of = F.xxhash64("node")
-    taken = ["node", "comp", "n_shingles", "fine", "region"]
+    taken = ["node", "comp", "n_shingles", "fine", "heads", "region"]
     sides = active.withColumn("side", F.explode(F.when(F.col("comp") != F.col("largest"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
     own_row, own_col = F.pmod(of, F.col("row_blocks")).cast("int"), F.pmod(of, F.col("col_blocks")).cast("int")
     dealt = sides.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("col_blocks")).otherwise(F.col("row_blocks")) - 1)))
@@ -439,8 +456,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             parts = joined(more)
         tried = pairs.select("a", "b")
         members = tables(in_regions(sets), "members")
-        fine = F.substring("sig", KEYS + 1, SKETCH).alias("fine")
-        sketches = tables(sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", fine), "sketches")
+        sketches = tables(_regions_of(sets.join(members.select("node").distinct(), "node", "left_semi")), "sketches")
 
         def search(best: int | None) -> DataFrame:
             """New candidates between components; texts that they need are picked."""
