@@ -65,11 +65,17 @@ class Hashing:
         slots = first[:, None] + np.arange(int(8 * self.spread / WIDTH) + 2)
         edges = np.concatenate([slots, slots[:, -1:] + 1], 1) * WIDTH - self.shift[t][:, None]
         chance = np.diff(_phi((edges - mean[:, None]) / self.spread), axis=1)
-        p, code = np.ones(1), np.zeros(1, np.int64)
-        for k in range(HASHES):
-            keep = chance[k] > 1e-3
-            p = (p[:, None] * chance[k][keep]).ravel()
-            code = (code[:, None] + slots[k][keep] * self.mix[k]).ravel()
+        best = np.append(np.cumprod(chance.max(1)[::-1])[::-1], 1.0)  # the most that the slots from k on can give
+        floor = best[0]
+        while True:  # buckets from a chance on; that is lowered until they suffice
+            floor /= 8
+            p, code = np.ones(1), np.zeros(1, np.int64)
+            for k in range(HASHES):
+                more = p[:, None] * chance[k]
+                at, slot = np.nonzero(more * best[k + 1] >= floor)
+                p, code = more[at, slot], code[at] + slots[k][slot] * self.mix[k]
+            if p.sum() >= CHANCE or floor < 1e-12:
+                break
         order = np.argsort(-p, kind="stable")
         return code[order[: int(np.searchsorted(np.cumsum(p[order]), CHANCE)) + 1]]
 

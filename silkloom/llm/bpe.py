@@ -2,10 +2,10 @@
 
 A sequence of tokens is the BPE encoding of its string exactly if every token encodes to itself and every two
 neighbours are compatible: no merge across their boundary would come before the merges that consume its two sides. So
-the encoding of each prefix ends in one definite token, found from the prefixes before it, and the encodings of all
-prefixes form a tree. What the paths to all positions that a future token can start from have in common cannot change
-any more: it is emitted, and its memory released. The merge list bounds how far that point lags (``Merges.lookahead``),
-so a piece of any length takes constant memory.
+the encoding of each prefix ends in one definite token, found from the prefixes before it. The merge list bounds how
+many symbols behind a token can still change it (``Merges.lookahead``, computed once per file): tokens that lie so far
+back are emitted, and their memory released, so a piece of any length takes constant memory. Every piece goes through
+this transducer once; results of short ones are kept.
 
 Pieces (runs of letters, single digits, runs of other signs) and their normal form are those of the tokenizer file.
 """
@@ -18,6 +18,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,7 @@ class Merges:
         self.longest = max((len(t.removesuffix(suffix)) if suffix else len(t) for t in vocab), default=1)
         self.good = {t: i for t, i in vocab.items() if self.whole(t)}
         self.names = {i: t for t, i in self.good.items()}
+        self.ahead = self.lookahead
 
     def spine(self, token: str, side: int) -> list[tuple[str, int]]:
         """The parts of a token at one of its ends (0: left, 1: right), outermost first, each with the rank of the merge that consumes it."""
@@ -164,7 +166,7 @@ class Merges:
         raise ValueError(f"no token ends {string!r}")
 
     def short(self, piece: str) -> tuple[int, ...]:
-        """The same as stream() for a piece that is at hand whole, as ids."""
+        """The same as stream() for a piece that is at hand whole, backwards from its end: a check of the transducer."""
         known: dict[int, tuple[int, int]] = {}
         token, at = self.last(piece + self.suffix, known)
         out = [token]
@@ -173,53 +175,67 @@ class Merges:
             out.append(token)
         return tuple(out[::-1])
 
-    def stream(self, symbols: Iterable[str]) -> Iterator[str]:
-        """Tokens of a stream of symbols (the last with the suffix), each emitted once no future symbol can change it."""
-        ends: dict[int, tuple[str, int]] = {}  # position: (last token of the prefix that ends there, where it starts)
-        base, last, window, n, bare = 0, "", "", 0, len(self.suffix)
-        check = 4 * self.longest
+    def stream(self, symbols: Iterable[str]) -> Iterator[int]:
+        """Token ids of a stream of symbols (the last with the suffix), each emitted once no future symbol can change it.
+
+        After each symbol, the encoding of what was read ends in one definite token. Tokens of it that end
+        ``lookahead`` symbols back or more are stable: they are emitted and what was kept of their symbols is dropped.
+        """
+        get, pairs, longest = self.good.get, self._pairs, self.longest
+        ahead, due = self.ahead, self.ahead + 4 * longest
+        window, n, before = "", 0, -1  # symbols since the last emitted token, and that token
+        last, begin = [-1], [0]  # by the number of symbols: the last token of the encoding, and where it starts
         for symbol in symbols:
-            n += 1
             window += symbol
-            final = bare if bare and symbol.endswith(self.suffix) and len(symbol) > bare else 0
-            for size in range(min(self.longest, n - base), 0, -1):
-                token = window[len(window) - size - final :]
-                if token in self.vocab and self.whole(token):
-                    at = n - size
-                    before = last if at == base else ends[at][0]
-                    if not before or self.fits(before, token):
-                        ends[n] = (token, at)
-                        break
+            n += 1
+            for at in range(n - longest if n > longest else 0, n):
+                token = get(window[at:])
+                if token is None:
+                    continue
+                left = last[at] if at else before
+                if left >= 0:
+                    pair = left << 32 | token
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        if len(pairs) > 400_000:
+                            pairs.clear()
+                        fits = pairs[pair] = not self._crosses(self.spine(self.names[left], 1), self.spine(self.names[token], 0))
+                    if not fits:
+                        continue
+                last.append(token)
+                begin.append(at)
+                break
             else:
                 raise ValueError(f"no token for the symbol {symbol!r}")
-            if n - base >= check:
-                live = set(range(max(base, n - self.longest + 1), n + 1))
-                while len(live) > 1:
-                    live.remove(top := max(live))
-                    live.add(ends[top][1])
-                stable = live.pop()
-                if stable > base:
-                    yield from self._path(ends, base, stable)
-                    last = ends[stable][0]
-                    window = window[stable - base :]
-                    for p in range(base, stable + 1):
-                        ends.pop(p, None)
-                    base = stable
-                check = n - base + self.longest
-        yield from self._path(ends, base, n)
+            if n >= due:
+                stable = n
+                while stable > n - ahead:
+                    stable = begin[stable]
+                if stable:
+                    yield from self._path(last, begin, stable)
+                    before, window, n = last[stable], window[stable:], n - stable
+                    last, begin = last[stable:], [x - stable for x in begin[stable:]]
+                due = n + 4 * longest
+        yield from self._path(last, begin, n)
 
     @staticmethod
-    def _path(ends, base: int, to: int) -> list[str]:
+    def _path(last: list[int], begin: list[int], to: int) -> list[int]:
         out = []
-        while to > base:
-            token, to = ends[to]
-            out.append(token)
+        while to:
+            out.append(last[to])
+            to = begin[to]
         return out[::-1]
 
 
 class Encoder:
     """Encodes texts like the tokenizer of a file: same normal form, pieces, special tokens and merges."""
 
+    # The normal form and the pieces of the files that can be used; others are refused.
+    NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    CUT = {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]}
     #: Up to here lower case, composition and the classes of characters are the same in all versions of Unicode.
     PLAIN = re.compile("[^\x00-ɏ]")
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
@@ -229,6 +245,11 @@ class Encoder:
 
         file = json.load(open(path, encoding="utf-8"))
         model = file["model"]
+        for part, known in (("normalizer", self.NORMAL), ("pre_tokenizer", self.CUT)):
+            if file.get(part) != known:
+                raise ValueError(f"{path}: this {part} is not supported")
+        if file.get("truncation") or file.get("padding") or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            raise ValueError(f"{path}: this model is not supported")
         self.vocab = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.merges = Merges((tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]), self.vocab, self.suffix)
@@ -249,13 +270,11 @@ class Encoder:
         return [p.encode().decode("latin-1").translate(self.symbols) for p in self.PIECES.findall(chunk.lower())]
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        whole = piece + self.suffix
-        if whole in self.vocab and self.merges.whole(whole):
-            return (self.vocab[whole],)
-        if len(piece) < 64:
-            return self.merges.short(piece)
-        symbols = (c + self.suffix * (i == len(piece)) for i, c in enumerate(piece, 1))
-        return tuple(map(self.vocab.__getitem__, self.merges.stream(symbols)))
+        """Ids of a piece, by the transducer; a piece that is a token of its own is its only state."""
+        whole = self.merges.good.get(piece + self.suffix)
+        if whole is not None:
+            return (whole,)
+        return tuple(self.merges.stream(chain(piece[:-1], (piece[-1] + self.suffix,))))
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
         ids: list[int] = []
@@ -368,7 +387,11 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
-    """(doc_id, ids, decoded): encode() and decode() in one pass over a batch, ``rows`` rows at a time, so a task holds few of them."""
+    """(doc_id, ids, decoded): encode() and decode() in one pass over a batch, ``rows`` rows at a time, so a task holds few of them.
+
+    One row per row of docs, repeated rows and null ids too; a null text is an empty one and gives no ids. Other
+    columns are left out, so none can clash. An empty table gives an empty result.
+    """
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +405,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of the documents' texts."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of the documents' texts, for each row as in round_trip()."""
     numbers = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return round_trip(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -73,7 +73,8 @@ def render(messages: DataFrame, stretch: int = STRETCH) -> DataFrame:
 
     ``formatted`` joins <turn>role<says>text</turn>\\n over the messages by (seq, role, text); role and text are escaped.
     In each turn, ``head`` characters are masked out, the next ``loss`` count for the loss (0 but for assistants), and
-    ``tail`` are masked out.
+    ``tail`` are masked out. A null role or text is an empty one, a null seq comes first, an empty table gives no rows.
+    A conversation is one row here, so its text must stay under Spark's 2 GB a value.
     """
     role, text = escape(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
     turns = messages.select(
@@ -93,7 +94,7 @@ def render(messages: DataFrame, stretch: int = STRETCH) -> DataFrame:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """What ``formatted`` and ``loss_mask`` say: conv_id, turns (role, text, loss_text), formatted."""
+    """What ``formatted`` and ``loss_mask`` say: conv_id, turns (role, text, loss_text), formatted; empty texts where they were null or empty, no rows for none."""
     shown = F.filter(F.split("formatted", f"{END}\n"), lambda x: x != "")
     turn = lambda x, i: F.struct(
         unescape(F.substring_index(F.substring(x, F.lit(len(TURN) + 1), F.length(x)), SAYS, 1)).alias("role"),
@@ -106,16 +107,19 @@ def read_back(rendered: DataFrame) -> DataFrame:
 def as_events(conversations: DataFrame) -> DataFrame:
     """The log that a service would have streamed for finished conversations (conv_id, turn, role, text).
 
-    A user's message comes as two deltas. Any other has a draft that a regeneration drops, then its text in two
-    deltas. Each row is a message of its own, so repeated rows stay.
+    A user's message is typed, its first half edited, and then continued. Any other has a draft that a regeneration
+    drops, then its text in two deltas. Each row is a message of its own, so repeated rows stay. Null texts are empty,
+    a null turn comes first, and an empty table gives no events.
     """
     text, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", text.alias("text"), half.alias("half"), F.monotonically_increasing_id().alias("n"))
     event = lambda at, kind, text: F.struct(F.lit(at).alias("step"), F.lit(kind).alias("kind"), text.alias("text"))
     rest = F.col("text").substr(F.col("half") + 1, F.length("text"))
-    says = [event(2, "delta", F.col("text").substr(F.lit(1), F.col("half"))), event(3, "delta", rest)]
+    first = F.col("text").substr(F.lit(1), F.col("half"))
+    says = [event(2, "delta", first), event(3, "delta", rest)]
+    typed = [event(0, "delta", F.lit("(typing)")), event(1, "edit", F.lit("(edited)")), event(2, "edit", first), event(3, "delta", rest)]
     draft = [event(0, "delta", F.lit("(draft)")), event(1, "regenerate", F.lit(""))]
-    log = F.when(F.col("role") == "user", F.array(*says)).otherwise(F.array(*draft, *says))
+    log = F.when(F.col("role") == "user", F.array(*typed)).otherwise(F.array(*draft, *says))
     return rows.select("conv_id", "turn", "role", "n", F.explode(log).alias("e")).select(
         "conv_id", F.struct("turn", "n").alias("message_id"), (F.coalesce("turn", F.lit(-1)) * 4 + F.col("e.step")).alias("seq"), F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"),
     )

@@ -106,13 +106,13 @@ def failure_bits(m: str) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), fails).cast("long")
 
 
-def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per row of docs: ``row`` (struct of docs' columns), ``m`` (struct of measurements), ``failed`` (bits).
+def ledger(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: ``row`` (struct of the carried columns; all, by default), ``m`` (struct of measurements), ``failed`` (bits).
 
     Null, empty and blank texts measure 0 and fail few_words. Texts of any length are measured whole. Repeated rows
     give repeated rows, an empty table none; columns of docs cannot clash, as they stay inside ``row``.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), measure(F.col(text_col)).alias("m"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("row"), measure(F.col(text_col)).alias("m"))
     return rows.withColumn("failed", failure_bits("m"))
 
 
@@ -142,16 +142,21 @@ def ablations(book: DataFrame, policy: str = CURRENT) -> DataFrame:
     )
 
 
+def book_of(docs: DataFrame) -> DataFrame:
+    """The stored ledger of documents: doc_id in ``row``, measurements and failure bits. Policies and ablations read it and no texts."""
+    return stored(ledger(docs.select("doc_id", "text"), carry=["doc_id"]), "ledger")
+
+
 def op3_quality_ledger(spark, sf_dir):
-    book = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    book = book_of(table(spark, sf_dir, "documents"))
     return book.select(
         "row.doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words",
-        (F.col("failed").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), (~rejected(CURRENT)).alias("kept"), "failed",
+        (F.col("failed").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), (~rejected(CURRENT)).alias("kept"), "failed", *[(~rejected(p)).alias(f"kept_{p}") for p in POLICIES],
     )
 
 
 def quality_ablations(spark, sf_dir):
-    return ablations(ledger(table(spark, sf_dir, "documents").select("text")))
+    return ablations(book_of(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op3_quality_ledger": op3_quality_ledger, "quality_ablations": quality_ablations}
@@ -177,7 +182,7 @@ f AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_wo
 """
 
 ORACLE_SQL = {
-    "op3_quality_ledger": _LEDGER + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f",
+    "op3_quality_ledger": _LEDGER + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed, failed & 15 = 0 AS kept_v1, failed = 0 AS kept_v2 FROM f",
     "quality_ablations": _LEDGER + """
 SELECT rule, CAST(count(*) FILTER (failed & bit <> 0) AS BIGINT) AS failed, CAST(count(*) FILTER (failed = bit) AS BIGINT) AS rejected_alone,
        CAST(count(*) FILTER (failed = 0 OR failed = bit) AS BIGINT) AS kept_without

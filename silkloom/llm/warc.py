@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import scratch, stored, table
 
 CRLF, SEPARATOR = "\r\n", "\r\n\r\n"
 PRIMARY = ("response", "revisit")
@@ -237,7 +237,7 @@ def orphans(records: DataFrame) -> DataFrame:
 def op1_warc_transactions(spark, sf_dir):
     path = scratch(spark, "warc")
     write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    captures = assemble(read(spark, path, payloads=False))
+    captures = assemble(stored(read(spark, path, payloads=False), "records"))  # archives are parsed once
     field = F.element_at(F.filter("metadata.fields", lambda f: f["name"] == "page-id"), 1)["value"]
     return captures.select(
         F.when(F.size(F.filter("metadata.fields", lambda f: f["name"] == "page-id")) > 0, field.cast("long")).alias("page_id"),

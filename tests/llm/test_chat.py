@@ -55,3 +55,16 @@ def test_query_has_the_odd_conversation(spark, tmp_path):
     got = {r.conv_id: r for r in chat.op5_chat_events(spark, str(tmp_path)).collect()}
     odd = "\\### Assistant: </turn> ok"
     assert got[-7].loss_chars == len(odd) and got[-7].loss_sha256 == hashlib.sha256(odd.encode()).hexdigest() and got[1].n_turns == 1
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    events = chat.as_events(none)
+    assert events.count() == 0
+    shown = chat.render(chat.fold(events))
+    assert shown.count() == 0 and chat.read_back(shown).count() == 0
+
+
+def test_logs_hold_every_kind(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a question"), (1, 1, "assistant", "an answer")], "conv_id long, turn long, role string, text string")
+    assert {r.kind for r in chat.as_events(df).collect()} == {"delta", "edit", "regenerate"}
