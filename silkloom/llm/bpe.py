@@ -4,8 +4,8 @@ A sequence of tokens is the BPE encoding of its string exactly if every token en
 neighbours are compatible: no merge across their boundary would come before the merges that consume its two sides. So
 the encoding of each prefix ends in one definite token, found from the prefixes before it. The merge list bounds how
 many symbols behind a token can still change it (``Merges.lookahead``, computed once per file): tokens that lie so far
-back are emitted, and their memory released, so a piece of any length takes constant memory. Every piece goes through
-this transducer once; results of short ones are kept.
+back are emitted, and their memory released, so a piece of any length takes constant memory. Pieces within the
+lookahead end before anything could be emitted; of their end tokens only those on the path are computed.
 
 Pieces (runs of letters, single digits, runs of other signs) and their normal form are those of the tokenizer file.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import by_slices, freeing, slices, table, task
 
 #: Results kept for white-space separated chunks and for pieces, per Python worker.
-CACHE = 120_000
+CACHE = 150_000
 NEVER = 1 << 60
 
 
@@ -166,7 +166,7 @@ class Merges:
         raise ValueError(f"no token ends {string!r}")
 
     def short(self, piece: str) -> tuple[int, ...]:
-        """The same as stream() for a piece that is at hand whole, backwards from its end: a check of the transducer."""
+        """The same as stream() for a piece that is at hand whole: of the same end tokens only those on the path are found, backwards from its end."""
         known: dict[int, tuple[int, int]] = {}
         token, at = self.last(piece + self.suffix, known)
         out = [token]
@@ -270,10 +270,12 @@ class Encoder:
         return [p.encode().decode("latin-1").translate(self.symbols) for p in self.PIECES.findall(chunk.lower())]
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of a piece, by the transducer; a piece that is a token of its own is its only state."""
+        """Ids of a piece. One that is not longer than the lookahead ends before its first token could be emitted, so its path is read off backwards from its end."""
         whole = self.merges.good.get(piece + self.suffix)
         if whole is not None:
             return (whole,)
+        if len(piece) <= self.merges.ahead:
+            return self.merges.short(piece)
         return tuple(self.merges.stream(chain(piece[:-1], (piece[-1] + self.suffix,))))
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
