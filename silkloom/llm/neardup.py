@@ -7,18 +7,17 @@ neighbours share long prefixes and in sparse ones short prefixes, so the depth a
 range-partitioned, which splits regions of any size.
 
 Candidates pass a sketch of one bit per minhash and the size bound, and are confirmed on full sets. To verify few
-pairs, each node's best candidate comes first; then, of all others, those between nodes not yet connected; then the
-regions are searched for links between different components, until the best candidates give none. At last all other
-candidates between different components are verified, the most alike first.
+pairs, each node's best candidate comes first; then, of all others, those between nodes not yet connected.
 
-A region is all nodes that share a tree's first LEAST values. The search between components compares each pair of its
-nodes that are of different components: regions are dealt out in blocks of both sides, whatever their size, and not by
-places in an order.
+A region is all nodes that share a tree's first LEAST values. At last each pair of nodes of a region that are of
+different components is compared: regions are dealt out in blocks of both sides, whatever their size, and not by places
+in an order. What passes the sketches is confirmed on full sets inside the block, so only links leave it, and no pairs
+that fail are written, however many a family of similar texts has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 from itertools import chain
 
@@ -38,10 +37,12 @@ WINDOW = 16
 BLOCK, PAIRS_AT_ONCE = 2048, 1 << 18
 #: Bytes of texts of one block on average, when pairs are confirmed, and the least number of blocks.
 BLOCK_BYTES, LEAST_BLOCKS = 1 << 23, 8
+#: Shingles of the nodes of one block, of each side, in the search between components.
+BLOCK_SHINGLES = 1 << 21
 #: Rows of an order that a task searches at a time, besides the window before them.
-STRETCH = 10_000
-#: Best candidates of a node that one order gives: at first, and in the search between components.
-BEST, BEST_FINE = 3, 32
+STRETCH, STRETCH_BYTES = 10_000, 32 << 20
+#: Best candidates of a node that one order gives at first.
+BEST = 3
 #: Up to so many candidates (their ids take 16 MB) are sent to all tasks to pick texts; more are joined.
 SENT = 2_000_000
 #: Of TREES * DEPTH bits, those that two sketches may differ in. At a similarity of 0.8 they differ in 12.8 on average
@@ -50,9 +51,6 @@ MOST_BITS = 28
 #: The search between components is of few nodes and has a finer sketch, two bits of each of HASHES minhashes. At a similarity of 0.8
 #: 38.4 of them differ on average with a deviation of 5.7, so 63 or more come once in 50,000 pairs.
 HASHES, MOST_FINE = 256, 62
-#: Differing bits up to which the last search's candidates are verified at a time: the links of one band join components
-#: and spare candidates of the next.
-BANDS = (40, 48, 54, 58, MOST_FINE)
 _CACHE = 200_000
 
 
@@ -202,10 +200,13 @@ def _differ(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1).astype(np.int32)
 
 
-def crossing_pairs(frame: Frame, best: int | None) -> Iterator[pa.RecordBatch]:
-    """Of whole blocks, sorted by block and side: for each row of side 0 the ``best`` rows of side 1 (None: all) that are
-    of other components and pass the finer sketch and the size bound. Pairs that share a region of an earlier tree are
-    left to it: all pairs of a region are compared, so that one is compared there."""
+def crossing_links(frame: Frame, text: Callable[[int], str | None], shingler: Shingler, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of whole blocks, sorted by block and side: the links between rows of side 0 and of side 1 that are of other components.
+
+    Pairs pass the size bound and the finer sketch, then their full sets are compared, the most alike first; those whose
+    components links of this stretch have joined meanwhile are spared. Pairs that share a region of an earlier tree are
+    left to it: all pairs of a region are compared, so that one is compared there. text gives a row's text.
+    """
     ids, n, comp = (frame[c] for c in ("node", "n_shingles", "comp"))
     fine = np.frombuffer(b"".join(frame["fine"]), np.uint64).reshape(len(ids), -1)
     heads = np.frombuffer(b"".join(frame["heads"]), np.int64).reshape(len(ids), TREES)
@@ -218,6 +219,20 @@ def crossing_pairs(frame: Frame, best: int | None) -> Iterator[pa.RecordBatch]:
     rows = np.flatnonzero(side == 0)
     counts = count[block[rows]]
     chunk = np.cumsum(counts) // PAIRS_AT_ONCE
+    joined: dict[int, int] = {}
+    known: dict[int, np.ndarray] = {}
+
+    def root(c: int) -> int:
+        while c in joined:
+            joined[c] = joined.get(joined[c], joined[c])
+            c = joined[c]
+        return c
+
+    def set_at(i: int) -> np.ndarray:
+        if i not in known:
+            known[i] = shingler.set_of(text(i))
+        return known[i]
+
     for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(chunk)) + 1):
         c = counts[at]
         i = np.repeat(rows[at], c)
@@ -232,13 +247,18 @@ def crossing_pairs(frame: Frame, best: int | None) -> Iterator[pa.RecordBatch]:
         i, j, by = i[ok], j[ok], by[ok]
         ok = ~((heads[i] == heads[j]) & (np.arange(TREES) < trees[i, None])).any(1)
         i, j, by = i[ok], j[ok], by[ok]
-        if best is not None:
-            order = np.lexsort((ids[j], by, i))
-            i, j, by = i[order], j[order], by[order]
-            ok = np.arange(len(i)) - np.searchsorted(i, i) < best
-            i, j, by = i[ok], j[ok], by[ok]
-        if len(i):
-            yield _frame(ids, i, j, by)
+        order = np.lexsort((j, i, by))
+        found = []
+        for x, y in zip(i[order].tolist(), j[order].tolist()):
+            p, q = root(int(comp[x])), root(int(comp[y]))
+            if p != q and _linked(set_at(x), set_at(y), percent):
+                joined[max(p, q)] = min(p, q)
+                found.append((x, y))
+        if found:
+            x, y = np.array(found).T
+            yield _frame(ids, x, y, np.zeros(len(x)))
+        if len(at) and len(known) > 2 * BLOCK:
+            known.clear()
 
 
 _BLOCK = ["region", "row_block", "col_block"]
@@ -254,28 +274,31 @@ def _block_starts(frame: Frame) -> np.ndarray:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
-    """The sorted rows of a task in stretches of STRETCH rows or more, and whether each is the last; what is sent back comes before the next."""
-    held, new = [], 0
-    for batch in chain(slices(batches, STRETCH), [None]):
+    """The sorted rows of a task in stretches of STRETCH rows or STRETCH_BYTES or more, and whether each is the last; what is sent back comes before the next."""
+    held, new, size = [], 0, 0
+    for batch in chain(slices(batches, min(STRETCH, 1024)), [None]):
         if batch is not None:
             held.append(batch)
             new += len(batch)
-        if held and (batch is None or new >= STRETCH):
+            size += batch.nbytes
+        if held and (batch is None or new >= STRETCH or size >= STRETCH_BYTES):
             back = yield pa.Table.from_batches(held), batch is None
-            held, new = back.to_batches() if back is not None else [], 0
+            held, new, size = back.to_batches() if back is not None else [], 0, 0
 
 
-def _in_blocks(best: int | None):
-    """Runs crossing_pairs() over the sorted rows of a task in stretches of whole blocks."""
+def _in_blocks(size: int, percent: int):
+    """Runs crossing_links() over the sorted rows of a task in stretches of whole blocks."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretches, back = _stretches(batches), None
+        stretches, back, shingler = _stretches(batches), None, _shingler(size)
         with suppress(StopIteration):
             while True:
                 rows, last = stretches.send(back)
-                end = len(rows) if last else int(np.flatnonzero(_block_starts(_columns(rows.to_batches())))[-1])
+                numbers = rows.drop_columns(["text", "fine", "heads"])
+                end = len(rows) if last else int(np.flatnonzero(_block_starts(_columns(numbers.to_batches())))[-1])
                 if end:
-                    yield from crossing_pairs(_columns(rows.slice(0, end).to_batches()), best)
+                    texts = rows.column("text")
+                    yield from crossing_links(_columns(rows.slice(0, end).drop_columns(["text"]).to_batches()), lambda i: texts[i].as_py(), shingler, percent)
                 back = rows.slice(end)
 
     return search
@@ -331,34 +354,43 @@ def _regions_of(sets: DataFrame) -> DataFrame:
 
 
 def in_regions(nodes: DataFrame) -> DataFrame:
-    """(node, region), for each region that has more than one node."""
-    rows = _orders(nodes).select("node", "region")
+    """(node, region, n_shingles), for each region that has more than one node."""
+    rows = _orders(nodes).select("node", "region", "n_shingles")
     shared = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return rows.join(shared, "region").select("node", "region")
+    return rows.join(shared, "region").select("node", "region", "n_shingles")
+
+
+def mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, region, comp, largest, row_blocks, col_blocks) of in_regions() rows in regions with several components; parts: (id, component) of linked nodes.
+
+    Of each region, all rows but those of its largest component are to meet all rows, in blocks of about BLOCK rows and
+    BLOCK_SHINGLES shingles of each side at most.
+    """
+    rows = members.join(parts.withColumnRenamed("id", "node"), "node", "left").select("node", "region", "n_shingles", F.coalesce("component", "node").alias("comp"))
+    counts = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    regions = counts.groupBy("region").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "s", "comp")).alias("top")).filter("comps > 1")
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    regions = regions.select("region", F.col("top.comp").alias("largest"), blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("row_blocks"), blocks(F.col("n"), F.col("s")).alias("col_blocks"))
+    return rows.join(regions, "region").drop("n_shingles")
 
 
-def between(members: DataFrame, sketches: DataFrame, parts: DataFrame, best: int | None) -> DataFrame:
-    """Distinct candidate pairs (a < b) of nodes of different components that share a region.
+def between(active: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a < b) of nodes of different components that share a region, enough to join all that are linked.
 
-    members: (node, region); sketches: (node, n_shingles, fine, heads); parts: (id, component) of linked nodes. Of
-    each region, all rows but those of its largest component meet all rows. Both are dealt to blocks by hashes of
-    nodes and repeated for each block of the other side, so a block has about BLOCK rows of a side at most.
+    active: mixed(); sketches: (node, n_shingles, fine, heads); texts: (doc_id, text). Rows of both sides are dealt to
+    blocks by hashes of nodes and repeated for each block of the other side. Pairs are compared in the blocks, and
+    only links leave them.
     """
-    rows = members.join(parts.withColumnRenamed("id", "node"), "node", "left").select("node", "region", F.coalesce("component", "node").alias("comp"))
-    counts = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    regions = counts.groupBy("region").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top")).filter("comps > 1")
-    regions = regions.select("region", F.col("top.comp").alias("largest"), blocks(F.col("n") - F.col("top.n")).alias("row_blocks"), blocks(F.col("n")).alias("col_blocks"))
-    active = rows.join(regions, "region").join(sketches, "node")
+    rows = active.join(sketches, "node").join(texts.withColumnRenamed("doc_id", "node"), "node")
     of = F.xxhash64("node")
-    taken = ["node", "comp", "n_shingles", "fine", "heads", "region"]
-    sides = active.withColumn("side", F.explode(F.when(F.col("comp") != F.col("largest"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    taken = ["node", "comp", "n_shingles", "fine", "heads", "region", "text"]
+    sides = rows.withColumn("side", F.explode(F.when(F.col("comp") != F.col("largest"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
     own_row, own_col = F.pmod(of, F.col("row_blocks")).cast("int"), F.pmod(of, F.col("col_blocks")).cast("int")
     dealt = sides.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("col_blocks")).otherwise(F.col("row_blocks")) - 1)))
     dealt = dealt.select(*taken, "side", F.when(F.col("side") == 0, own_row).otherwise(F.col("other")).alias("row_block"), F.when(F.col("side") == 0, F.col("other")).otherwise(own_col).alias("col_block"))
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = dealt.repartition(n, *_BLOCK).sortWithinPartitions(*_BLOCK, "side", "node")
-    return order.mapInArrow(freeing(_in_blocks(best)), PAIR).groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    return order.mapInArrow(freeing(_in_blocks(size, percent), _drop), PAIR).select("a", "b").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -441,8 +473,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
         pairs = tables(candidates(sets), "pairs")
         # Texts are needed of candidates only: each is picked once, and all that follows moves these.
-        involved = tables(_ends(pairs), "involved")
-        texts = picked(involved)
+        texts = picked(tables(_ends(pairs), "ends"))
         to_best = pairs.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
         parts = components(confirmed(to_best, texts, size, percent), "a", "b")
 
@@ -454,33 +485,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         more = tables(confirmed(rest, texts, size, percent), "links")
         if more.head(1):
             parts = joined(more)
-        tried = pairs.select("a", "b")
+        # Every other pair of a region whose nodes are of different components by now.
         members = tables(in_regions(sets), "members")
-        sketches = tables(_regions_of(sets.join(members.select("node").distinct(), "node", "left_semi")), "sketches")
-
-        def search(best: int | None) -> DataFrame:
-            """New candidates between components; texts that they need are picked."""
-            nonlocal involved, texts
-            wide = tables(between(members, sketches, parts, best).join(tried, ["a", "b"], "left_anti"), "pairs")
-            new = tables(_ends(wide).join(involved, "doc_id", "left_anti"), "involved")
-            if new.head(1):
-                involved, texts = involved.unionByName(new), texts.unionByName(picked(new))
-            return wide
-
-        while True:
-            wide = search(BEST_FINE)
-            found = tables(confirmed(wide, texts, size, percent), "links") if wide.head(1) else wide.select("a", "b").limit(0)
-            tried = tried.unionByName(wide.select("a", "b"))
-            if not found.head(1):
-                break
+        active = tables(mixed(members, parts), "mixed")
+        nodes = tables(active.select(F.col("node").alias("doc_id")).distinct(), "mixed_nodes")
+        tables.drop(members, pairs, texts)
+        sketches = _regions_of(sets.join(nodes.withColumnRenamed("doc_id", "node"), "node", "left_semi"))
+        found = tables(between(active, sketches, picked(nodes), size, percent), "links")
+        if found.head(1):
             parts = joined(found)
-        # The best candidates give no more links; any other one still may, so none is left out now.
-        others = search(None)
-        for least, most in zip((-1, *BANDS), BANDS) if others.head(1) else ():
-            band = _crossing(others.filter((F.col("differ") > least) & (F.col("differ") <= most)), parts)
-            found = tables(confirmed(band, texts, size, percent), "links")
-            if found.head(1):
-                parts = joined(found)
 
         label = sets.select("set_hash", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
         label = label.select("set_hash", F.coalesce("component", "node").alias("c"))
