@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import sequences as fs
 from .operators import align, candidates, cluster, kmers, report, sketch
 from .operators.options import Options
-from .plans.storage import stored
+from .plans.storage import scratch, stored
 from .sources import records
 
 K, TAU, HIGH = 5, 0.5, 0.9
@@ -135,6 +135,48 @@ def header_identifier(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq_id"), fs.identifier(F.concat(F.lit(">"), "url")).alias("identifier"))
 
 
+def _written(spark, sf_dir, name: str, line, **options):
+    """The documents as a file of records in the shared folder."""
+    path = scratch(spark, name)
+    _table(spark, sf_dir, "documents").select(line.alias("value")).write.options(**options).text(path)
+    return path
+
+
+_PLAIN = "upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'))"
+
+
+@_query("fasta_records", f"SELECT 'd' || doc_id AS name, coalesce(lang, '') || ' x' AS comment, {_PLAIN} AS sequence FROM documents")
+def fasta_records(spark, sf_dir):
+    seq = fs.letters(F.coalesce("text", F.lit("")))
+    path = _written(spark, sf_dir, "fasta", F.concat(F.lit(">d"), "doc_id", F.lit(" "), F.coalesce("lang", F.lit("")), F.lit(" x\n"), F.regexp_replace(seq, "(.{60})", "$1\n")), compression="gzip")
+    return records.read_fasta(spark, path).select("name", "comment", "sequence")
+
+
+@_query("fastq_records", f"SELECT 'd' || doc_id AS name, {_PLAIN} AS sequence, repeat('@', length({_PLAIN})) AS quality FROM documents WHERE length({_PLAIN}) > 10")
+def fastq_records(spark, sf_dir):
+    seq = fs.letters(F.coalesce("text", F.lit("")))
+    path = _written(spark, sf_dir, "fastq", F.concat(F.lit("@d"), "doc_id", F.lit("\n"), seq, F.lit("\n+\n"), F.repeat(F.lit("@"), F.length(seq))))
+    return records.read_fastq(spark, path).filter(F.length("sequence") > 10).select("name", "sequence", "quality")
+
+
+@_query("read_limit", f"SELECT count(*) AS n, CAST(sum(length({_PLAIN})) > 0 AS INT) AS some FROM (SELECT * FROM documents WHERE length({_PLAIN}) > 10 AND doc_id IS NOT NULL ORDER BY doc_id LIMIT 50)")
+def read_limit(spark, sf_dir):
+    seq = fs.letters(F.coalesce("text", F.lit("")))
+    path = scratch(spark, "limit")
+    rows = _table(spark, sf_dir, "documents").filter(F.length(seq) > 10)
+    rows.select(F.concat(F.lit(">"), "doc_id", F.lit("\n"), seq).alias("value")).write.text(path)
+    return records.kept_records(records.read_fasta(spark, path), most=50).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.length("seq")) > 0).cast("int").alias("some"))
+
+
+@_query("member_lines", """SELECT p_partkey AS seq_id, p_size || chr(9) || p_size * 7 || 'aa, >' || p_name || '...' ||
+  CASE WHEN p_size % 5 = 0 THEN ' *' ELSE ' at ' || p_size || ':' || p_size + 9 || ':1:10/+/' || printf('%.2f%%', 80 + p_size / 4.0) END AS line FROM part""")
+def member_lines(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_size").alias("member_no"), (F.col("p_size") * 7).alias("length"))
+    identity = F.when(F.col("member_no") % 5 != 0, (80 + F.col("member_no") / 4.0) / 100)
+    span = F.array(F.col("member_no") - 1, F.col("member_no") + 8, F.lit(0), F.lit(9))
+    return rows.select(F.col("p_partkey").alias("seq_id"), report.member_line(F.col("p_name"), identity, strand=F.lit("+"), span=span).alias("line"))
+
+
 @_query("in_memory_source", "SELECT p_partkey AS seq_id, p_name AS seq FROM part WHERE length(p_name) > 10")
 def in_memory_source(spark, sf_dir):
     return records.in_memory(_table(spark, sf_dir, "part"), "p_partkey", "p_name")
@@ -399,9 +441,37 @@ def greedy_identity_best(spark, sf_dir):
     return cluster.identity_clusters(seq_normalize(spark, sf_dir).repartition("seq_id"), Options(identity=HIGH, best=True))
 
 
+def _bases(spark, sf_dir):
+    """Nucleotide sequences of the documents: each letter stands for one of four bases."""
+    bases = F.translate(fs.letters(F.coalesce("text", F.lit(""))), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC")
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), bases.alias("seq")).repartition("seq_id")
+
+
 @_query("greedy_nucleotide")
 def greedy_nucleotide(spark, sf_dir):
-    return cluster.identity_clusters(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), fs.letters(F.col("text")).alias("seq")), Options(identity=HIGH, nucleotide=True, word=5))
+    return cluster.identity_clusters(_bases(spark, sf_dir), Options(identity=HIGH, nucleotide=True, word=10))
+
+
+@_query("greedy_distance")
+def greedy_distance(spark, sf_dir):
+    return cluster.identity_clusters(seq_normalize(spark, sf_dir).repartition("seq_id"), Options(distance=0.05, best=True))
+
+
+def _two(spark, sf_dir):
+    """Two collections: documents of two halves of the ids."""
+    rows = seq_normalize(spark, sf_dir).repartition("seq_id")
+    return rows.filter("seq_id % 2 = 0"), rows.filter("seq_id % 2 = 1")
+
+
+@_query("two_db_identity")
+def two_db_identity(spark, sf_dir):
+    return cluster.identity_matches(*_two(spark, sf_dir), Options(identity=HIGH, length_ratio_2d=0.9, most_longer_2d=50))
+
+
+@_query("two_db_report")
+def two_db_report(spark, sf_dir):
+    base, query = _two(spark, sf_dir)
+    return report.report_2d(stored(cluster.identity_matches(base, query, Options(identity=HIGH)), "matched"), base, query)
 
 
 @_query("parent_table", f"WITH RECURSIVE {_greedy(HIGH)} SELECT seq_id, root_id FROM greedy")

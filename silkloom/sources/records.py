@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import identifier, letters, merged_pair
-from ..plans.numbering import numbered
+from ..plans.numbering import numbered, numbered_in_files
 
 
 def _named(header: Column) -> list[Column]:
@@ -17,10 +17,16 @@ def _named(header: Column) -> list[Column]:
     return [F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.trim(F.regexp_extract(head, r"^\S*\s?(.*)$", 1)).alias("comment")]
 
 
+def _pieces(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """(value, file, start): what lies between separators, with the file and the offset of the split that it was read from."""
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    return spark.read.option("lineSep", sep).text(path).select("value", *at)
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(ordinal, name, comment, sequence, quality null): one row per record. Records are split at a > that begins a line; sequences may span lines."""
-    raw = spark.read.option("lineSep", "\n>").text(path).filter(F.length(F.regexp_replace("value", r"\s", "")) > 0)
-    raw = numbered(raw.select(F.regexp_replace("value", "^>", "").alias("value")))
+    raw = _pieces(spark, path, "\n>").filter(F.length(F.regexp_replace("value", r"\s", "")) > 0)
+    raw = numbered_in_files(raw.withColumn("value", F.regexp_replace("value", "^>", "")))
     head, body = F.substring_index("value", "\n", 1), F.regexp_replace(F.col("value"), r"^[^\n]*\n?", "")
     return raw.select("ordinal", *_named(head), F.regexp_replace(body, r"\s", "").alias("sequence"), F.lit(None).cast("string").alias("quality"))
 
@@ -29,8 +35,9 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(ordinal, name, comment, sequence, quality). Sequence and quality may span lines; a quality ends by its length.
 
     A quality line may begin with @: pieces between line starts with @ are put together, in file order, until the
-    quality is as long as the sequence. One of another length is an error. Large files should be gzip, which is not
-    split; a plain file is read in splits, and a split that begins within a quality is an error too.
+    quality is as long as the sequence. One of another length is an error. As only the records before tell which @
+    begins one, a file's pieces are put together by one task: a compressed file is read by one anyway, the splits of a
+    plain one are sorted back to it.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,13 +60,14 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
                     continue
                 if len(quality) > len(sequence):
                     raise ValueError(f"{file}: the quality of {head!r} is longer than its sequence")
-                out.append((head, sequence, quality))
-            yield pd.DataFrame(out, columns=["head", "sequence", "quality"])
+                out.append((head, sequence, quality, at, 0))
+            yield pd.DataFrame(out, columns=["head", "sequence", "quality", "file", "start"])
         if held.strip():
             raise ValueError(f"{file}: a record's quality is shorter than its sequence")
 
-    raw = spark.read.option("lineSep", "\n@").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    rows = numbered(raw.mapInPandas(parse, "head string, sequence string, quality string"))
+    raw = _pieces(spark, path, "\n@").withColumn("_m", F.monotonically_increasing_id()).repartition("file").sortWithinPartitions("file", "start", "_m")
+    rows = raw.select("file", "value").mapInPandas(parse, "head string, sequence string, quality string, file string, start long")
+    rows = numbered_in_files(rows)
     return rows.select("ordinal", *_named(F.col("head")), "sequence", "quality")
 
 
