@@ -446,15 +446,10 @@ def greedy_nucleotide(spark, sf_dir):
     return cluster.identity_clusters(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), fs.letters(F.col("text")).alias("seq")), Options(identity=HIGH, nucleotide=True, word=5))
 
 
-@_query("greedy_distance")
-def greedy_distance(spark, sf_dir):
-    return cluster.identity_clusters(seq_normalize(spark, sf_dir).repartition("seq_id"), Options(distance=0.05, best=True))
-
-
 def _two(spark, sf_dir):
-    """Two collections: documents of two halves of the ids."""
-    rows = seq_normalize(spark, sf_dir).repartition("seq_id")
-    return rows.filter("seq_id % 2 = 0"), rows.filter("seq_id % 2 = 1")
+    """Two collections: benchmark items as representatives, documents as queries."""
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), fs.letters(F.coalesce("text", F.lit(""))).alias("seq"))
+    return items, seq_normalize(spark, sf_dir).repartition("seq_id")
 
 
 @_query("two_db_identity")
