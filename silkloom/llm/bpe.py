@@ -16,7 +16,7 @@ import codecs
 import json
 import re
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -30,8 +30,10 @@ from pyspark.sql import types as T
 from .common import by_slices, freeing, slices, table, task
 
 #: Results kept for white-space separated chunks and for pieces, per Python worker.
-CACHE = 150_000
+CACHE = 300_000
 NEVER = 1 << 60
+#: So many last symbols of a string tell how long a token at its end can be (``Merges.reach``).
+TAIL = 3
 
 
 def byte_symbols() -> list[str]:
@@ -57,11 +59,21 @@ class Merges:
         self._left: dict[str, list[tuple[str, int]]] = {}
         self._fits: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
-        self.longest = max((len(t.removesuffix(suffix)) if suffix else len(t) for t in vocab), default=1)
+        self.longest = max(map(self.size, vocab), default=1)
         self.good = {t: i for t, i in vocab.items() if self.whole(t)}
         self.names = {i: t for t, i in self.good.items()}
+        self.reach: dict[str, int] = {}
+        for t in self.good:
+            n = self.size(t)
+            if n >= TAIL:
+                tail = t[n - TAIL :]
+                self.reach[tail] = max(n, self.reach.get(tail, TAIL))
         self.ahead = self.lookahead
 
+    def size(self, token: str) -> int:
+        """Symbols of a token."""
+        return len(token.removesuffix(self.suffix)) if self.suffix else len(token)
+
     def spine(self, token: str, side: int) -> list[tuple[str, int]]:
         """The parts of a token at one of its ends (0: left, 1: right), outermost first, each with the rank of the merge that consumes it."""
         kept = self._right if side else self._left
@@ -117,7 +129,7 @@ class Merges:
         """
         ranks: dict[str, list[int]] = {}
         needs: dict[str, list[int]] = {}
-        most, size = 0, lambda t: len(t.removesuffix(self.suffix)) if self.suffix else len(t)
+        most = 0
         for (u, v), i in self.rank.items():
             need = 0
             for s, until in self.spine(v, 1):
@@ -128,7 +140,7 @@ class Merges:
             before = needs.setdefault(u, [0])
             if len(before) == len(ranks[u]) and before == [0]:
                 before.clear()
-            before.append(max(before[-1] if before else 0, size(v) + need))
+            before.append(max(before[-1] if before else 0, self.size(v) + need))
         return most
 
     def last(self, string: str, known: dict[int, tuple[int, int]]) -> tuple[int, int]:
@@ -142,7 +154,8 @@ class Merges:
         to, get, pairs = len(string), self.good.get, self._pairs
         if self.suffix and string.endswith(self.suffix):
             to -= len(self.suffix)
-        for at in range(max(0, to - self.longest), to):
+        longest = self.reach.get(string[to - TAIL :], TAIL - 1) if to >= TAIL else to
+        for at in range(to - longest if longest < to else 0, to):
             token = get(string[at:])
             if token is None:
                 continue
@@ -227,6 +240,28 @@ class Merges:
         return out[::-1]
 
 
+class Kept(dict):
+    """A function's results for short strings. Those missing are looked for in the generation before, then the function is asked.
+
+    When half of CACHE is reached, this generation becomes the one before, so strings in use stay and rare ones go.
+    """
+
+    def __init__(self, of: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.of, self.before = of, {}
+
+    def keep(self, key: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        if len(key) < 64:
+            if len(self) >= CACHE // 2:
+                self.before = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        return self.keep(key, self.before.get(key) or self.of(key))
+
+
 class Encoder:
     """Encodes texts like the tokenizer of a file: same normal form, pieces, special tokens and merges."""
 
@@ -257,13 +292,15 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.symbols = {i: c for i, c in enumerate(byte_symbols())}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.words = Kept(self.chunk)
+        self.known = Kept(self.piece)
 
     def pieces(self, chunk: str) -> list[str]:
         """The pieces of a chunk without white space, as byte symbols."""
         if chunk.isascii() and chunk.isalpha():
             return [chunk.lower()]
+        if chunk.isascii() and chunk.isprintable():
+            return self.PIECES.findall(chunk.lower())
         if self.PLAIN.search(chunk):
             normal = self.library.normalizer.normalize_str(chunk)
             return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
@@ -278,40 +315,40 @@ class Encoder:
             return self.merges.short(piece)
         return tuple(self.merges.stream(chain(piece[:-1], (piece[-1] + self.suffix,))))
 
+    def piece_kept(self, piece: str) -> tuple[int, ...]:
+        """piece() with results kept. An ASCII piece stands for itself as a chunk, so both share a table; other pieces are in byte symbols."""
+        if piece.isascii():
+            return self.words.get(piece) or self.words.keep(piece, self.words.before.get(piece) or self.piece(piece))
+        return self.known[piece]
+
     def chunk(self, chunk: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for p in self.pieces(chunk):
-            got = self.known.get(p)
-            if got is None:
-                got = self.piece(p)
-                if len(p) < 64:
-                    if len(self.known) >= CACHE:
-                        self.known.clear()
-                    self.known[p] = got
-            ids += got
-        got = tuple(ids)
-        if len(chunk) < 64:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[chunk] = got
-        return got
+        """Ids of a chunk without white space."""
+        pieces = self.pieces(chunk)
+        if pieces == [chunk] and chunk.isascii():
+            return self.piece(chunk)
+        return tuple(chain.from_iterable(map(self.piece_kept, pieces)))
 
     #: str.split() cuts at white space and at these, which are signs here.
-    NOT_SPACE = re.compile("[\x1c-\x1f]")
+    NOT_SPACE = "\x1c\x1d\x1e\x1f"
+
+    def chunks(self, text: str) -> list[str]:
+        if any(c in text for c in self.NOT_SPACE):
+            return re.findall(r"(?:[\x1c-\x1f]|\S)+", text)
+        return text.split()
 
     def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
-        split = str.split if not self.NOT_SPACE.search(text or "") else lambda x: re.findall(r"(?:[\x1c-\x1f]|\S)+", x)
-        words, at = self.words, 0
-        for m in [*self.specials.finditer(text or ""), None]:
-            for chunk in split((text or "")[at : m.start() if m else None]):
-                got = words.get(chunk)
-                ids += self.chunk(chunk) if got is None else got
-            if m:
-                ids.append(self.special[m[0]])
-                at = m.end()
+        text, ids, at = text or "", [], 0
+        for m in self.specials.finditer(text) if any(t in text for t in self.special) else ():
+            ids += self.plain(text[at : m.start()])
+            ids.append(self.special[m[0]])
+            at = m.end()
+        ids += self.plain(text[at:])
         return ids
 
+    def plain(self, text: str) -> Iterator[int]:
+        """Ids of a text without special tokens."""
+        return chain.from_iterable(map(self.words.__getitem__, self.chunks(text)))
+
 
 class Decoder:
     """Turns ids into text, block by block. State: whether anything was written, and the bytes of an unfinished character."""
