@@ -33,7 +33,7 @@ from .common import by_slices, freeing, slices, table, task
 CACHE = 300_000
 NEVER = 1 << 60
 #: So many last symbols of a string tell how long a token at its end can be (``Merges.reach``).
-TAIL = 3
+TAIL = 4
 
 
 def byte_symbols() -> list[str]:
@@ -63,11 +63,13 @@ class Merges:
         self.good = {t: i for t, i in vocab.items() if self.whole(t)}
         self.names = {i: t for t, i in self.good.items()}
         self.reach: dict[str, int] = {}
-        for t in self.good:
+        self.shorter: dict[int, tuple[int, int]] = {}
+        for t, i in self.good.items():
             n = self.size(t)
             if n >= TAIL:
                 tail = t[n - TAIL :]
                 self.reach[tail] = max(n, self.reach.get(tail, TAIL))
+            self.shorter[i] = next(((self.good[t[k:]], n - k) for k in range(1, n) if t[k:] in self.good), (-1, 0))
         self.ahead = self.lookahead
 
     def size(self, token: str) -> int:
@@ -155,10 +157,10 @@ class Merges:
         if self.suffix and string.endswith(self.suffix):
             to -= len(self.suffix)
         longest = self.reach.get(string[to - TAIL :], TAIL - 1) if to >= TAIL else to
-        for at in range(to - longest if longest < to else 0, to):
-            token = get(string[at:])
-            if token is None:
-                continue
+        at = to - longest if longest < to else 0
+        while at < to and (token := get(string[at:])) is None:
+            at += 1
+        while at < to:
             if at:
                 before = self.last(string[:at], known)[0]
                 pair = before << 32 | token
@@ -168,6 +170,8 @@ class Merges:
                         pairs.clear()
                     fits = pairs[pair] = not self._crosses(self.spine(self.names[before], 1), self.spine(self.names[token], 0))
                 if not fits:
+                    token, size = self.shorter[token]
+                    at = to - size
                     continue
             if to < 9 and to == len(string):
                 if len(self._ends) >= CACHE:
