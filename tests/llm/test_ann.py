@@ -43,3 +43,15 @@ def test_odd_rows(spark):
     assert got == [(0, 1, 6, 3.0), (0, 2, 20, 0.0), (20, 1, 6, 8.0), (20, 2, 0, 0.0)]
     assert ann.search(frame(spark, []), lambda i: i % 20 == 0).count() == 0
     assert ann.search(frame(spark, [(1, [1.0], 1, "x")]), lambda i: i % 20 == 0).count() == 0
+
+
+def test_recall_on_embeddings(spark):
+    """The registered query on the whole table against brute force."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").filter("vec_id is not null").select("vec_id", "embedding").collect()
+    rows = [r for r in rows if r.embedding and any(r.embedding) and all(c is not None and np.isfinite(c) for c in r.embedding)]
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows])
+    got = {}
+    for r in ann.op6_multiprobe_ann(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len({i for i, _ in brute(x, ids, q)} & got[ids[q]]) / 20 for q in range(len(ids)) if ids[q] % 20 == 0]
+    assert len(hits) == len(got) and np.mean(hits) >= 0.9
