@@ -30,6 +30,8 @@ TABLES, HASHES, WIDTH = 2, 8, 2.2
 CHANCE, SAMPLE, NEAREST = 0.78, 64, 20
 #: Vectors of a shard, about, and the share of all vectors from which on a bucket is split: at most this many buckets can be.
 SHARD, HOT = 1 << 16, 10_000
+#: Products of a block with queries that are held at once.
+DENSE = 1 << 22
 _ROW = "tab int, shard int, tag int, bucket long, id long, vec binary, probes binary"
 
 
@@ -66,7 +68,7 @@ class Hashing:
         edges = np.concatenate([slots, slots[:, -1:] + 1], 1) * WIDTH - self.shift[t][:, None]
         chance = np.diff(_phi((edges - mean[:, None]) / self.spread), axis=1)
         best = np.append(np.cumprod(chance.max(1)[::-1])[::-1], 1.0)  # the most that the slots from k on can give
-        floor = best[0]
+        floor = best[0] / 16
         while True:  # buckets from a chance on; that is lowered until they suffice
             floor /= 8
             p, code = np.ones(1), np.zeros(1, np.int64)
@@ -98,19 +100,19 @@ def _top(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))
 
 
-def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int):
-    """The k best (ids, scores) of rows x for a query. Fast products choose, sums in one fixed order decide, so equal vectors tie."""
-    rough = x @ q
+def _nearest(x: np.ndarray, ids: np.ndarray, rough: np.ndarray, q: np.ndarray, own: int, k: int):
+    """The k best (ids, scores) of rows x for a query. Fast products (rough) choose, sums in one fixed order decide, so equal vectors tie."""
     rough[ids == own] = -np.inf
-    if len(rough) > k:
-        cut = np.partition(rough, len(rough) - k)[len(rough) - k]
-        at = np.flatnonzero(rough >= cut - 1e-9 * max(1.0, abs(cut)))
-    else:
-        at = np.arange(len(rough))
-    at = at[ids[at] != own]
-    score = (x[at] * q).sum(1)
-    best = _top(ids[at], score, k)
-    return ids[at][best], score[best]
+    take = k
+    while True:
+        cut = np.partition(rough, len(rough) - take)[len(rough) - take] if len(rough) > take else -np.inf
+        at = np.flatnonzero(rough >= cut - 1e-9 * max(1.0, abs(cut))) if cut > -np.inf else np.flatnonzero(rough > -np.inf)
+        score = (x[at] * q).sum(1)
+        order = _top(ids[at], score, take)
+        best = order[np.sort(np.unique(ids[at][order], return_index=True)[1])]
+        if len(best) >= k or cut == -np.inf:
+            return ids[at][best[:k]], score[best[:k]]
+        take *= 2  # some of these rows repeat an id
 
 
 def similarity(vectors: DataFrame, queries: DataFrame, radius: float, kind: str, k: int) -> float:
@@ -122,7 +124,7 @@ def similarity(vectors: DataFrame, queries: DataFrame, radius: float, kind: str,
         for b in batches:
             x, ids = np.stack(b["vec"].to_numpy()).astype(np.float64), b["id"].to_numpy()
             for q, o in zip(qs, own):
-                got, score = _nearest(x, ids, q, o, k)
+                got, score = _nearest(x, ids, x @ q, q, o, k)
                 yield pd.DataFrame({"q": o, "score": score / (np.linalg.norm(q) * radius)})
 
     order = Window.partitionBy("q").orderBy(F.desc("score"))
@@ -206,18 +208,35 @@ def search(df: DataFrame, queries, k: int = NEAREST, id_col: str = "vec_id", vec
                     continue
                 if ready is None:
                     x, ids, buckets = (np.concatenate(p) for p in zip(*block))
-                    names, place = np.unique(buckets, return_inverse=True)
-                    ready, block = (x, ids, names, place), [0]
-                x, ids, names, place = ready
-                out = []
-                for ident, v, probes in zip(asks["id"].tolist(), hashing.vectors(asks["vec"]), asks["probes"]):
-                    if probes:
-                        seen = np.isin(names, np.frombuffer(probes, np.int64))[place]
-                        got, score = _nearest(x[seen], ids[seen], v, ident, k)
-                    else:
-                        got, score = _nearest(x, ids, v, ident, k)
-                    out.append(pd.DataFrame({"query_id": ident, "vec_id": got, "score": score}))
-                yield pd.concat(out)
+                    names, size = np.unique(buckets, return_counts=True)
+                    ready, block = (x, ids, names, size), [0]  # the rows come sorted by bucket
+                step = max(1, DENSE // len(ready[1]))
+                for i in range(0, len(asks), step):
+                    yield answers(asks.iloc[i : i + step], *ready)
+
+    def answers(asks: pd.DataFrame, x: np.ndarray, ids: np.ndarray, names: np.ndarray, size: np.ndarray) -> pd.DataFrame:
+        """The best rows of a block for some queries. Those that visit much of it share one matrix product; for the others the rows visited are picked."""
+        q, own = hashing.vectors(asks["vec"]), asks["id"].to_numpy()
+        seen = np.ones((len(q), len(names)), bool)
+        for row, probes in zip(seen, asks["probes"]):
+            if probes:
+                wanted = np.frombuffer(probes, np.int64)
+                at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+                row[:] = False
+                row[at[names[at] == wanted]] = True
+        much = seen @ size > len(x) / 16
+        products = iter(q[much] @ x.T)
+        got = []
+        for i, dense in enumerate(much.tolist()):
+            rows = np.repeat(seen[i], size)
+            if dense:
+                rough = next(products)
+                rough[~rows] = -np.inf
+                got.append(_nearest(x, ids, rough, q[i], own[i], k))
+            else:
+                part = x[rows]
+                got.append(_nearest(part, ids[rows], part @ q[i], q[i], own[i], k))
+        return pd.DataFrame({"query_id": np.repeat(own, [len(g) for g, _ in got]), "vec_id": np.concatenate([g for g, _ in got]), "score": np.concatenate([s for _, s in got])})
 
     rows = index(hot)
 

@@ -45,6 +45,12 @@ def test_odd_rows(spark):
     assert ann.search(frame(spark, [(1, [1.0], 1, "x")]), lambda i: i % 20 == 0).count() == 0
 
 
+def test_repeated_ids(spark):
+    rows = [(1, [1.0, n / 100], 0, "x") for n in range(60)] + [(i, [0.5, i / 100], 0, "x") for i in range(2, 40) if i != 20] + [(0, [1.0, 1.0], 0, "x")] * 3
+    got = [(r["rank"], r.vec_id) for r in sorted(ann.search(frame(spark, rows), lambda i: i % 20 == 0).collect())]
+    assert got == [(1, 1)] + [(n + 2, i) for n, i in enumerate([i for i in range(39, 1, -1) if i != 20][:19])]
+
+
 def test_recall_on_embeddings(spark):
     """The registered query on the whole table against brute force."""
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").filter("vec_id is not null").select("vec_id", "embedding").collect()
