@@ -6,7 +6,7 @@ Python worker loads only those that its task needs.
 
 from importlib import import_module
 
-MODULES = ("warc", "mix", "quality", "bpe", "chat", "ann", "shards", "linededup", "cotrain", "neardup")
+MODULES = ("warc", "mix", "quality", "bpe", "chat", "ann", "shards", "linededup", "cotrain", "neardup", "filteraudit", "secretscan", "divergence")
 
 
 def _modules():
