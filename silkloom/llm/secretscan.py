@@ -61,6 +61,7 @@ CLASSES = (
 ALLOWED = (
     (re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"), re.compile("")),  # universally unique identifiers
     (re.compile(r".*"), re.compile(r"(://|www\.)[^\x20\x09-\x0D]*\Z")),  # addresses
+    (re.compile(r"//.*"), re.compile(r":\Z")),
     (re.compile(r".*"), re.compile(r"(sha1|sha256|sha512|md5|commit)[:=\x20-]\x20?\Z", re.ASCII | re.IGNORECASE)),  # digests that are named so
     (re.compile(r".*(example|placeholder|changeme|xxxx|0123456789|abcdefghij).*", re.ASCII | re.IGNORECASE), re.compile("")),  # samples
 )
@@ -216,6 +217,7 @@ _WINDOWS = " UNION ALL ".join(
 _OK = ", ".join(
     f"""{name}_ok AS (SELECT id, pos, piece FROM {name} WHERE NOT regexp_full_match(piece, '[0-9A-Fa-f]{{8}}(-[0-9A-Fa-f]{{4}}){{3}}-[0-9A-Fa-f]{{12}}')
   AND NOT regexp_matches(substr(text, CAST(greatest(0, pos - 16) AS INT) + 1, CAST(least(pos, 16) AS INT)), '(://|www\\.)[^\\x20\\x09-\\x0D]*$')
+  AND NOT (starts_with(piece, '//') AND substr(text, CAST(pos AS INT), 1) = ':')
   AND NOT regexp_matches({_FOLD.format('substr(text, CAST(greatest(0, pos - 16) AS INT) + 1, CAST(least(pos, 16) AS INT))')}, '(sha1|sha256|sha512|md5|commit)[:=\\x20-]\\x20?$')
   AND NOT regexp_matches({_FOLD.format('piece')}, 'example|placeholder|changeme|xxxx|0123456789|abcdefghij'))"""
     for name, *_ in _CASES
