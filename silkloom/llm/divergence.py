@@ -22,8 +22,8 @@ from .common import Tables, freeing, slices, stored, table, temporary
 LEAST_DOCS, SCALE, RANKS = 10, 1_000_000_000, 10
 #: Every byte of a term as it counts, every other as a space.
 TERM_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-#: Terms that a task counts before it sends them on, and cells of a tile.
-HELD, CELLS = 400_000, 1 << 20
+#: Terms that a task counts before it sends them on, cells of a tile, and cells that are compared at a time.
+HELD, CELLS, COMPARED = 400_000, 1 << 16, 1 << 20
 
 
 def terms(text: str) -> list[bytes]:
@@ -125,7 +125,7 @@ class Sums:
         size, width = p.shape
         if not width:
             return
-        step = max(1, CELLS // (size * width))
+        step = max(1, COMPARED // (size * width))
         for at in range(0, size, step):
             self.pairs[at : at + step] += distances(p[at : at + step, None, :], p[None, :, :]).sum(2)
         names = list(tile.columns)
