@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import jaccard, reverse_complement
-from ..plans.storage import stored
+from ..plans.storage import Tables, stored, temporary
 from .kmers import kmer_counts, ranked, words
 from .wordsets import document_frequency, rare_first, shared_counts, word_sets, word_text
 
@@ -51,7 +51,7 @@ def least_shared(a: Column, b: Column, tau: float) -> Column:
     return F.greatest(F.lit(1), F.ceil((a + b) * (tau / (1 + tau)) - 1e-6)).cast("long")
 
 
-def prefix_pairs(p: DataFrame, q: DataFrame | None, tau: float) -> DataFrame:
+def prefix_pairs(p: DataFrame, q: DataFrame | None, tau: float, tables: Tables) -> DataFrame:
     """Candidate pairs (src, dst, need) of word_sets() tables that can reach tau: no pair that does is missing. Without q, pairs of p with itself.
 
     Words are taken by ascending number of sequences that hold them. Of a pair that reaches tau, the first common word
@@ -60,7 +60,7 @@ def prefix_pairs(p: DataFrame, q: DataFrame | None, tau: float) -> DataFrame:
     may differ by a factor of tau at most.
     """
     same = q is None
-    df = document_frequency(*([p] if same else [p, q]))
+    df = tables(document_frequency(*([p] if same else [p, q])), "frequencies")
     step = -log(min(tau, 0.95) * 0.999)
     size_class = F.floor(F.log(F.col("total").cast("double")) / step).cast("int")
 
@@ -68,8 +68,8 @@ def prefix_pairs(p: DataFrame, q: DataFrame | None, tau: float) -> DataFrame:
         keep = F.col("total") - F.ceil(F.col("total") * tau - 1e-6) + 1
         return rare_first(x, df, "seq_id", "len", "total").filter(F.col("before") < keep).withColumn("size", size_class)
 
-    rare = stored(prefix(p), "prefix")
-    a, b = _sides(rare, rare if same else stored(prefix(q), "prefix"), "seq_id", "len", "total", "code", "before", "size")
+    rare = tables(prefix(p), "prefix")
+    a, b = _sides(rare, rare if same else tables(prefix(q), "prefix"), "seq_id", "len", "total", "code", "before", "size")
     near = [0, -1] if same else [1, 0, -1]
     a = a.withColumn("a_size", F.explode(F.array(*[F.col("a_size") + i for i in near])))
     need = least_shared(F.col("a_total"), F.col("b_total"), tau)
@@ -96,8 +96,9 @@ def edges(seqs: DataFrame, k: int, tau: float, exact: str = "prefix") -> DataFra
     if not tau > 0:
         raise ValueError("tau must be above 0")
     if exact == "prefix":
-        p = stored(word_sets(seqs, k), "words")
-        return _similar(stored(prefix_pairs(p, None, tau), "candidates"), p, None, k, tau)
+        with temporary(seqs.sparkSession) as tables:
+            p = tables(word_sets(seqs, k), "words")
+            return stored(_similar(tables(prefix_pairs(p, None, tau, tables), "candidates"), p, None, k, tau), "edges")
     info = ranked(seqs).filter(F.col("len") >= k).select("seq_id", (F.col("len") - k + 1).alias("total"))
     out = shared_words(seqs, k).join(info.select(F.col("seq_id").alias("src"), F.col("total").alias("ta")), "src")
     out = out.join(info.select(F.col("seq_id").alias("dst"), F.col("total").alias("tb")), "dst")
@@ -120,8 +121,9 @@ def small_pairs(seqs: DataFrame, k: int, tau: float, most: int = 10) -> DataFram
 
 def between(base: DataFrame, query: DataFrame, k: int, tau: float) -> DataFrame:
     """(src of base, dst of query, shared, jaccard, first_word): pairs of two collections with similarity at least tau."""
-    p, q = stored(word_sets(base, k), "words"), stored(word_sets(query, k), "words")
-    return _similar(stored(prefix_pairs(p, q, tau), "candidates"), p, q, k, tau)
+    with temporary(base.sparkSession) as tables:
+        p, q = tables(word_sets(base, k), "words"), tables(word_sets(query, k), "words")
+        return stored(_similar(tables(prefix_pairs(p, q, tau, tables), "candidates"), p, q, k, tau), "matches")
 
 
 def redundant(base: DataFrame, query: DataFrame, k: int, tau: float) -> DataFrame:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import greedy_alphabet, nucleotides, masked, reverse_complement
-from ..plans.storage import stored
-from .align import alignments, nucleotide, protein, word_cut
-from .candidates import _sides, edges, least_length, most_length, small_pairs
+from ..plans.storage import Tables, stored, temporary
+from .align import alignments
+from .candidates import edges, small_pairs
 from .graph import assigned, components, greedy_commit
-from .kmers import kmer_counts, ranked, words
+from .kmers import ranked
 from .options import Options
+from .search import Search, coded, scoring_of
 from .sketch import DIMS, sketches, votes
-from .wordsets import document_frequency, number_of, rare_first, shared_counts, word_sets
 
 
 def component_clusters(seqs: DataFrame, k: int = 5, tau: float = 0.36, small: bool = False, links: DataFrame | None = None) -> DataFrame:
@@ -31,123 +32,17 @@ def component_clusters(seqs: DataFrame, k: int = 5, tau: float = 0.36, small: bo
 
 def greedy_clusters(seqs: DataFrame, k: int = 5, tau: float = 0.5, links: DataFrame | None = None) -> DataFrame:
     """(seq_id, root_id): the greedy commit on the edges; members go to their first representative in the order longest first."""
-    links = links if links is not None else stored(edges(seqs, k, tau), "edges")
+    links = links if links is not None else edges(seqs, k, tau)
     nodes = ranked(seqs).select("seq_id", "ord")
     return assigned(greedy_commit(nodes, links), links.select("src", "dst"), [F.col("rep_ord")])
 
 
 def minhash_clusters(seqs: DataFrame, k: int = 5, tau: float = 0.36, dims: int = DIMS) -> DataFrame:
     """greedy_clusters() on pairs whose sketches agree in at least tau of the dimensions."""
-    links = stored(votes(stored(sketches(seqs, k, dims), "sketches"), seqs, -int(-tau * dims // 1)), "votes")
+    links = votes(stored(sketches(seqs, k, dims), "sketches"), seqs, -int(-tau * dims // 1))
     return greedy_clusters(seqs, k, tau, links)
 
 
-def words_needed(length: Column, skipped: Column, o: Options) -> Column:
-    """align.needs() for words of k letters, as a column."""
-    k, n = o.word, length.cast("double")
-    if o.distance is not None:
-        need = F.greatest(F.lit(1), F.least(F.lit(int(1.0 / (o.distance + 1e-9)) - k), length - k + 1))
-    else:
-        strict = F.greatest(F.lit(0.0), (n - k) - F.floor(F.lit(float(k)) * F.ceil((1.0 - o.identity) * n)))
-        empirical = F.floor(word_cut(k, o.identity, o.word_share) * n)
-        rest = (n - k) / (n * k)
-        part = F.greatest(F.lit(0.0), (o.identity - (1.0 - rest)) / rest)
-        need = F.when(length <= k, empirical).otherwise(F.floor(part * strict + (1.0 - part) * empirical))
-    need = need.cast("long")
-    return F.greatest(F.lit(1), need - skipped) if o.nucleotide else F.greatest(F.lit(1), need)
-
-
-def _coded(seqs: DataFrame, o: Options) -> DataFrame:
-    alphabet = (lambda s: masked(nucleotides(s), o.mask)) if o.nucleotide else greedy_alphabet
-    return seqs.select("seq_id", alphabet(F.col("seq")).alias("seq"))
-
-
-def _asked(queries: DataFrame, o: Options, shortest: int | None) -> DataFrame:
-    """Adds to a table of queries (len, total) what they ask for: eff, skipped, need, cover_q (letters to be aligned), most and least (lengths of a representative)."""
-    n = F.col("len")
-    eff = n
-    if shortest is not None:  # between collections a query may be longer than all representatives
-        eff = F.when(n > shortest, F.greatest(F.lit(shortest), F.floor(n * o.length_ratio_2d), n - o.most_longer_2d)).otherwise(n)
-    out = queries.withColumn("eff", eff.cast("long"))
-    out = out.withColumn("cover_q", F.greatest(F.floor(F.col("eff") * o.cover_short), F.col("eff") - o.cover_short_control, F.lit(o.cover_letters)).cast("long"))
-    if o.local:
-        out = out.withColumn("eff", F.col("cover_q"))
-    most = most_length(n, o.length_ratio, o.most_shorter, o.cover_long, o.cover_long_control)
-    least = least_length(n, o.length_ratio_2d, o.most_longer_2d) if shortest is not None else F.lit(0)
-    out = out.withColumn("skipped", n - o.word + 1 - F.col("total")).withColumns({"most": most.cast("long"), "least": least.cast("long")})
-    return out.withColumn("need", words_needed(F.col("eff"), F.col("skipped"), o)).filter(n >= o.cover_letters)
-
-
-def _fragment_pairs(refs: DataFrame, queries: DataFrame, asked: DataFrame, fits: Column, o: Options) -> DataFrame:
-    """(src, dst, shared, first_code) of pairs with enough shared words in a stretch of fragments of the representative that is as long as the query and the band.
-
-    A word counts anew in each fragment, so a pair may share more here than as a whole: all words are joined.
-    """
-    size = o.fragment
-    span = F.floor((F.col("b_len") - o.word + o.band) / size) + 2
-    a = words(refs, o.word).groupBy(F.col("seq_id").alias("src"), F.floor((F.col("pos") - 1) / size).alias("frag"), "word").agg(F.count(F.lit(1)).alias("ca"))
-    a = a.join(refs.select(F.col("seq_id").alias("src"), F.length("seq").cast("long").alias("a_len")), "src")
-    b = kmer_counts(queries, o.word).select(F.col("seq_id").alias("dst"), "word", F.col("cnt").alias("cb"))
-    b = b.join(asked.select(F.col("seq_id").alias("dst"), F.col("len").alias("b_len"), F.col("most").alias("b_most"), F.col("least").alias("b_least"), F.col("need").alias("b_need")), "dst")
-    joined = a.withColumn("a_seq_id", F.col("src")).join(b.withColumn("b_seq_id", F.col("dst")), "word").filter(fits)
-    code = number_of(F.col("word"), protein().letters)
-    per = joined.groupBy("src", "dst", "frag").agg(F.sum(F.least("ca", "cb")).alias("c"), F.min(code).alias("w"), F.first(span).alias("span"), F.first("b_need").alias("need"))
-    frags = per.groupBy("src", "dst", "span", "need").agg(F.array_sort(F.collect_list(F.struct("frag", "c"))).alias("f"), F.min("w").alias("first_code"))  # as many as a representative has fragments
-    best = F.array_max(F.transform("f", lambda x: F.aggregate(F.filter("f", lambda y: (y["frag"] <= x["frag"]) & (y["frag"] > x["frag"] - F.col("span"))), F.lit(0).cast("long"), lambda s, y: s + y["c"])))
-    return frags.withColumn("shared", best).filter(F.col("shared") >= F.col("need")).select("src", "dst", "shared", "first_code")
-
-
-def _matches(refs: DataFrame, others: DataFrame | None, o: Options) -> DataFrame:
-    """Verified matches (src representative, dst query, first_code, identity, distance, strand, span, len_r, len_q).
-
-    With others, these are the queries; else the sequences of refs that come later in the order longest first.
-    first_code numbers the smallest shared word in the order of the alphabet's codes, which decides which match comes first.
-    """
-    k, same, two_strands = o.word, others is None, o.nucleotide and o.both_strands
-    scoring = nucleotide(o.match, o.mismatch, o.gap, o.gap_ext) if o.nucleotide else protein()
-    only = 4 if o.nucleotide else None
-    base = stored(_coded(refs, o), "sequences")
-    query = base if same else stored(_coded(others, o), "sequences")
-    sets = stored(word_sets(base, k, scoring.letters, only), "words")
-    shortest = None if same else base.agg(F.min(F.length("seq"))).first()[0]
-    if shortest is None and not same:  # no representatives
-        shortest = 0
-    out = None
-    for strand in "+-" if two_strands else "+":
-        told = query if strand == "+" else query.select("seq_id", reverse_complement(F.col("seq")).alias("seq"))
-        own = sets if same and strand == "+" else stored(word_sets(told, k, scoring.letters, only), "words")
-        asked = _asked(own, o, shortest)
-        fits = (F.col("a_len") <= F.col("b_most")) & (F.col("a_len") >= F.col("b_least"))
-        if same:
-            fits = fits & ((F.col("a_len") > F.col("b_len")) | ((F.col("a_len") == F.col("b_len")) & (F.col("a_seq_id") < F.col("b_seq_id"))))
-        if o.fragment:
-            shared = _fragment_pairs(base, told, asked, fits, o)
-        else:
-            # Of a pair that shares `need` words, the first in the order rarest first leaves so many from it on in both.
-            df = document_frequency(*([sets] if own is sets else [sets, own]))
-            rest = F.col("total") - F.col("before")
-            rare_a = stored(rare_first(sets, df, "seq_id", "len", "total").withColumn("rest", rest), "rare")
-            rare_b = rare_a if own is sets else rare_first(own, df, "seq_id", "len", "total").withColumn("rest", rest)
-            rare_b = rare_b.join(asked.select("seq_id", "need", "most", "least"), "seq_id").filter(F.col("rest") >= F.col("need"))
-            a, b = _sides(rare_a, rare_b, "seq_id", "len", "code", "rest")[0], rare_b.select(*[F.col(c).alias(f"b_{c}") for c in ("seq_id", "len", "code", "need", "most", "least")])
-            near = a.join(b, (F.col("a_code") == F.col("b_code")) & (F.col("a_rest") >= F.col("b_need")) & fits)
-            near = stored(near.select(F.col("a_seq_id").alias("src"), F.col("b_seq_id").alias("dst"), F.col("b_need").alias("need")).distinct(), "candidates")
-            shared = shared_counts(near, sets, None if own is sets else own, (k, len(scoring.letters) + 1) if strand == "-" else None)
-        shared = stored(shared, "pairs")
-        todo = shared.join(asked.select(F.col("seq_id").alias("dst"), F.col("len").alias("len_q"), "eff", "skipped", "cover_q"), "dst")
-        got = alignments(todo, base, told, scoring, o, shorter=not same)
-        got = got.join(todo.select("src", "dst", "first_code", "len_q", "cover_q"), ["src", "dst"]).join(sets.select(F.col("seq_id").alias("src"), F.col("len").alias("len_r")), "src")
-        if o.covers:
-            cover_r = F.greatest(F.floor(F.col("len_r") * o.cover_long), F.col("len_r") - o.cover_long_control, F.lit(o.cover_letters))
-            got = got.filter((F.col("span")[1] - F.col("span")[0] + 1 >= F.col("cover_q")) & (F.col("span")[3] - F.col("span")[2] + 1 >= cover_r))
-        if strand == "-":  # places in the query as it was given
-            last = F.col("len_q").cast("int") - 1
-            got = got.withColumn("span", F.array(last - F.col("span")[0], last - F.col("span")[1], F.col("span")[2], F.col("span")[3]))
-        got = got.select("src", "dst", "first_code", "identity", "distance", F.lit(strand).alias("strand"), "span", "len_r", "len_q")
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
 def _assigned(matches: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
     """(seq_id, root_id, identity, distance, strand, span) of matched queries; reps: (seq_id, ord) of the representatives.
 
@@ -177,21 +72,139 @@ def _longer_than(seqs: DataFrame, o: Options) -> DataFrame:
     return seqs.select("seq_id", "seq").filter(F.length("seq") > o.min_length)
 
 
-def identity_clusters(seqs: DataFrame, options: Options = Options()) -> DataFrame:
+#: A stretch of ranks is settled as a whole if no more than so many meetings come to each of its undecided sequences, or if it is no longer than so many ranks.
+MEETINGS, LEAST_STRETCH = 100_000, 512
+#: Rounds in which only pairs with certain representatives are aligned, before all that is left of a stretch is; candidates of a sequence, on average, up to which all are aligned at once.
+ROUNDS, CANDIDATES = 4, 2
+
+
+def _unlike(pairs: DataFrame, ids: DataFrame, end: str) -> DataFrame:
+    """Pairs without those whose end is one of the ids."""
+    return pairs.join(ids.select(F.col("seq_id").alias(end)), end, "left_anti")
+
+
+def _settled(search: Search, pairs: DataFrame, here: DataFrame, rounds: int, tables: Tables) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """(members, matches, aligned): the greedy scan of a stretch. pairs are among its undecided sequences ``here`` (seq_id, rank).
+
+    A sequence with no undecided candidate before it is a representative; only pairs with such ones are aligned, and
+    the pairs of members go unaligned. After some rounds the pairs that are left are aligned at once and committed.
+    """
+    ids = lambda df, c: df.select(F.col(c).alias("seq_id")).distinct()
+    live, members, matches, aligned = pairs.select("src", "dst", "strand", "first_code"), [], [], []
+    for turn in range(rounds + 1):
+        if live.isEmpty():
+            break
+        now = live
+        if turn < rounds:
+            heads = tables(ids(live, "src").join(ids(live, "dst"), "seq_id", "left_anti"), "heads")
+            now = tables(live.join(heads.select(F.col("seq_id").alias("src")), "src", "left_semi"), "now")
+        got = search.matches(now)
+        matches.append(got)
+        aligned.append(now)
+        if turn == rounds:
+            marked = greedy_commit(here.select("seq_id", F.col("rank").alias("ord")), got.select("src", "dst"))
+            members.append(tables(marked.filter("not is_rep").select("seq_id"), "members"))
+            break
+        out = tables(ids(got, "dst"), "members")
+        members.append(out)
+        live = tables(_unlike(_unlike(_unlike(live, heads, "src"), out, "src"), out, "dst"), "live")
+    none = here.select("seq_id").limit(0)
+    return reduce(DataFrame.unionByName, members, none), matches, aligned
+
+
+def _greedy(search: Search, tables: Tables, stretches: int | None) -> tuple[DataFrame, DataFrame]:
+    """(representatives (seq_id, ord), matches of later sequences with them): the greedy scan by stretches of ranks.
+
+    The longest undecided stretch is settled inside, and its representatives alone are held against all that come later;
+    what they match is never a representative. A stretch whose sequences would meet too often is cut, its first quarter
+    goes first: the first of a large group of like sequences then takes the others out before they are paired.
+    """
+    o = search.o
+    left = search.ranks
+    n = left.count()
+    cuts = [n * i // (stretches or 1) for i in range((stretches or 1) + 1)]
+    todo = list(zip(cuts, cuts[1:]))[::-1]
+    reps, matches = [], []
+    # Of several matches that with the smallest word counts, so worse ones than a sequence has already need no alignment.
+    pruned = not o.best and len(search.strands) == 1
+
+    def worth(pairs: DataFrame, also: list[DataFrame]) -> DataFrame:
+        """Pairs that could be the match that counts, without those aligned before."""
+        for a in also:
+            pairs = pairs.join(a.select("src", "dst", "strand"), ["src", "dst", "strand"], "left_anti")
+        if not pruned or not matches:
+            return pairs
+        order = search.ranks.select(F.col("seq_id").alias("src"), "rank")
+        key = F.struct("first_code", "rank")
+        best = reduce(DataFrame.unionByName, matches).join(order, "src").groupBy("dst").agg(F.min(key).alias("best"))
+        return pairs.join(order, "src").join(best, "dst", "left").filter(F.col("best").isNull() | (key < F.col("best"))).drop("rank", "best")
+
+    while todo:
+        lo, hi = todo.pop()
+        here = left.filter((F.col("rank") >= lo) & (F.col("rank") < hi))
+        size = here.count()
+        if not size:
+            continue
+        if hi - lo > LEAST_STRETCH and search.meetings(here, lo, hi) > MEETINGS * size:
+            cut = lo + max(LEAST_STRETCH, (hi - lo) // 4)
+            todo += [(cut, hi), (lo, cut)]
+            continue
+        inside = search.pairs(here, lo, hi)
+        whole = size == hi - lo  # none is decided yet
+        undecided = inside if whole else tables(inside.join(here.select(F.col("seq_id").alias("dst")), "dst", "left_semi"), "undecided")
+        rounds = ROUNDS if undecided.count() > CANDIDATES * size else 0
+        members, got, aligned = _settled(search, undecided, here, rounds, tables)
+        own = tables(here.join(members, "seq_id", "left_anti"), "representatives")
+        named = own.select(F.col("seq_id").alias("src"))
+        reps.append(own)
+        matches += [m.join(named, "src", "left_semi") for m in got]
+        late = []
+        if rounds or not whole:
+            rest = _unlike(inside.join(named, "src", "left_semi"), own, "dst")
+            late.append(search.matches(tables(worth(rest, aligned), "rest")))
+        if hi < n:
+            later = search.pairs(own, hi)
+            late.append(search.matches(tables(worth(later, []), "later")))
+            found = late[-1].select(F.col("dst").alias("seq_id")).distinct()
+            left = tables(left.filter(F.col("rank") >= hi).join(found, "seq_id", "left_anti"), "left")
+        matches += late
+    order = reduce(DataFrame.unionByName, reps, search.ranks.limit(0)).select("seq_id", F.col("rank").alias("ord"))
+    found = reduce(DataFrame.unionByName, matches) if matches else search.matches(search.pairs(search.ranks.limit(0)))
+    return order, found
+
+
+def identity_clusters(seqs: DataFrame, options: Options = Options(), stretches: int | None = None) -> DataFrame:
     """(seq_id, root_id, identity, distance, strand, span): greedy clustering by alignment identity (or distance), longest first.
 
     Sequences of at most min_length letters are left out. A sequence is a representative unless a longer one (or equal,
     with a smaller id) that is a representative matches it; _assigned() tells which match a member goes to. The last
     four columns are null for representatives; span has the first and last letter in the member, then in the representative.
+    stretches: into how many the ranks are cut at first; the result does not depend on it.
     """
     o = options.checked()
-    kept = _longer_than(seqs, o)
-    matches = stored(_matches(kept, None, o), "matches")
-    marked = stored(greedy_commit(ranked(kept).select("seq_id", "ord"), matches.select("src", "dst")), "marked")
-    reps = marked.filter("is_rep")
-    members = _assigned(matches.join(reps.select(F.col("seq_id").alias("dst")), "dst", "left_anti"), reps, o)
-    none = [F.lit(None).cast(members.schema[c].dataType).alias(c) for c in ("identity", "distance", "strand", "span")]
-    return reps.select("seq_id", F.col("seq_id").alias("root_id"), *none).unionByName(members)
+    with temporary(seqs.sparkSession) as tables:
+        search = Search(_longer_than(seqs, o), None, o, tables)
+        reps, matches = _greedy(search, tables, stretches)
+        members = _assigned(matches, reps, o)
+        none = [F.lit(None).cast(members.schema[c].dataType).alias(c) for c in ("identity", "distance", "strand", "span")]
+        return stored(reps.select("seq_id", F.col("seq_id").alias("root_id"), *none).unionByName(members), "clusters")
+
+
+def _first_matches(search: Search, pairs: DataFrame, tables: Tables) -> DataFrame:
+    """The matches that can count of a collection's pairs: where the first in order counts, a query's candidates are aligned in this order, one in each round, until one matches."""
+    if search.o.best or len(search.strands) > 1:
+        return search.matches(pairs)
+    order = search.ranks.select(F.col("seq_id").alias("src"), "rank")
+    live, found = tables(pairs.join(order, "src").select("src", "dst", "strand", "first_code", "rank"), "live"), []
+    for turn in range(ROUNDS + 1):
+        if live.isEmpty():
+            break
+        key = F.struct("first_code", "rank")
+        first = live.groupBy("dst").agg(F.min(key).alias("k")).select("dst", F.col("k.rank").alias("rank"))
+        now = tables(live.join(first, ["dst", "rank"], "left_semi") if turn < ROUNDS else live, "now")
+        found.append(search.matches(now))
+        live = tables(_unlike(live.join(now.select("dst", "src"), ["dst", "src"], "left_anti"), found[-1].select(F.col("dst").alias("seq_id")), "dst"), "live")
+    return reduce(DataFrame.unionByName, found) if found else search.matches(pairs)
 
 
 def identity_matches(base: DataFrame, query: DataFrame, options: Options = Options()) -> DataFrame:
@@ -202,8 +215,10 @@ def identity_matches(base: DataFrame, query: DataFrame, options: Options = Optio
     """
     o = options.checked()
     base, query = _longer_than(base, o), _longer_than(query, o)
-    matches = stored(_matches(base, query, o), "matches")
-    return query.select("seq_id").join(_assigned(matches, ranked(base), o), "seq_id", "left")
+    with temporary(base.sparkSession) as tables:
+        search = Search(base, query, o, tables)
+        matches = _first_matches(search, search.pairs(), tables)
+        return stored(query.select("seq_id").join(_assigned(matches, ranked(base), o), "seq_id", "left"), "matched")
 
 
 def parents(clusters: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -213,8 +228,7 @@ def parents(clusters: DataFrame, seqs: DataFrame) -> DataFrame:
 
 def distance_matrix(pairs: DataFrame, seqs: DataFrame, options: Options = Options()) -> DataFrame:
     """(src, dst, distance) of pairs (src, dst): the smaller distance of both orientations, each aligned."""
-    coded = _coded(seqs, options)
-    scoring = nucleotide(options.match, options.mismatch, options.gap, options.gap_ext) if options.nucleotide else protein()
+    rows = coded(seqs, options)
     both = pairs.select("src", "dst").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    got = alignments(both, coded, coded, scoring, options, filtered=False)
+    got = alignments(both, rows, rows, scoring_of(options), options, filtered=False)
     return got.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("distance").alias("distance"))

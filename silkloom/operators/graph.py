@@ -9,12 +9,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..plans.storage import Tables, stored, temporary
 
 
 #: Edges that a task contracts at a time.
 STRETCH = 1 << 19
+#: Edges that a greedy commit leaves to one task: some ten megabytes.
+SCANNED = 1 << 20
 
 
 def _put(tables: Tables, e: DataFrame, name: str) -> tuple[DataFrame, tuple]:
@@ -94,27 +98,46 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
         return stored(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component"))), "components")
 
 
-def greedy_commit(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def _scanned(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id) of the nodes that drop out of the greedy scan, by one task that goes through the edges in order."""
+    rows = edges.join(nodes.select(F.col("seq_id").alias("dst"), "ord"), "dst").select("ord", "src", "dst").coalesce(1).sortWithinPartitions("ord")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = set()
+        for batch in batches:
+            out.update(dst for src, dst in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if src not in out)
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), kind)], names=["id"])
+
+    kind = to_arrow_type(edges.schema["dst"].dataType)
+    return rows.select("src", "dst").mapInArrow(scan, T.StructType([T.StructField("id", edges.schema["dst"].dataType)]))
+
+
+def greedy_commit(nodes: DataFrame, edges: DataFrame, scanned: int = SCANNED) -> DataFrame:
     """(seq_id, ord, is_rep) of nodes (seq_id, ord): a node is a representative unless one before it in order is its neighbour.
 
     edges: (src, dst), src before dst. That is the greedy scan, in rounds: nodes with no undecided neighbour before
-    them become representatives, and their neighbours drop out. The first undecided node is always decided.
+    them become representatives, and their neighbours drop out. The first undecided node is always decided. Once
+    ``scanned`` edges at most are left, a task goes through them in order.
     """
     with temporary(edges.sparkSession) as tables:
-        live, seen = _put(tables, edges.select("src", "dst").distinct(), "edges")
+        live, seen = edges.select("src", "dst"), (edges.count(), None)
+        if seen[0] > scanned:
+            live, seen = _put(tables, live.distinct(), "edges")
         dropped = None
-        for _ in range(most_rounds):
-            if not seen[0]:
-                break
-            reps = live.select(F.col("src").alias("id")).distinct().join(live.select(F.col("dst").alias("id")), "id", "left_anti")
-            out = tables(live.join(reps.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct(), "dropped")
+        while seen[0]:
+            last = seen[0] <= scanned
+            if last:
+                out = _scanned(nodes, live)
+            else:
+                reps = live.select(F.col("src").alias("id")).distinct().join(live.select(F.col("dst").alias("id")), "id", "left_anti")
+                out = tables(live.join(reps.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct(), "dropped")
             dropped = out if dropped is None else dropped.unionByName(out)
+            if last:
+                break
             left = live.join(out.withColumnRenamed("id", "src"), "src", "left_anti").join(out.withColumnRenamed("id", "dst"), "dst", "left_anti")
-            last = live
+            before = live
             live, seen = _put(tables, left.select("src", "dst"), "edges")
-            tables.drop(last)
-        else:
-            raise RuntimeError(f"the greedy commit did not settle in {most_rounds} rounds")
+            tables.drop(before)
         if dropped is None:
             return nodes.select("seq_id", "ord", F.lit(True).alias("is_rep"))
         gone = stored(dropped.select(F.col("id").alias("seq_id"), F.lit(False).alias("is_rep")), "dropped")

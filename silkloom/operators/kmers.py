@@ -78,12 +78,15 @@ def posting_lists(seqs: DataFrame, k: int, part: int = POSTINGS) -> DataFrame:
 
 
 def profile(seqs: DataFrame) -> DataFrame:
-    """One row: sequences, letters, longest, shortest, average (whole number) and N50."""
-    by_len = seqs.groupBy(F.length("seq").cast("long").alias("len")).agg(F.count(F.lit(1)).alias("n"))
+    """One row: sequences, letters, longest, shortest, average (whole number) and N50, and total_header, the letters of all identifiers, if there is such a column."""
+    named = "identifier" in seqs.columns
+    header = F.coalesce(F.length("identifier"), F.lit(0)).cast("long") if named else F.lit(0).cast("long")
+    by_len = seqs.groupBy(F.length("seq").cast("long").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.sum(header).alias("h"))
     total = F.sum(F.col("len") * F.col("n")).over(Window.partitionBy())
     upto = F.sum(F.col("len") * F.col("n")).over(Window.orderBy(F.desc("len")).rowsBetween(Window.unboundedPreceding, 0))
     marked = by_len.withColumn("half", F.floor(total / 2)).withColumn("upto", upto)
     return marked.agg(
         F.sum("n").alias("n_seqs"), F.sum(F.col("len") * F.col("n")).alias("total_letters"), F.max("len").alias("max_len"), F.min("len").alias("min_len"),
         F.floor(F.sum(F.col("len") * F.col("n")) / F.sum("n")).alias("avg_len"), F.max(F.when(F.col("upto") >= F.col("half"), F.col("len"))).alias("n50"),
+        *([F.sum("h").alias("total_header")] if named else []),
     )

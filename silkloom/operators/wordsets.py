@@ -7,7 +7,7 @@ blocks, and each sequence moves once for each pair of blocks that needs it, what
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 #: The order of letters if none is given: that of the characters themselves.
 LETTERS = "#ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words and sequences of one block, on average; what a task holds follows from these, not from the table's size.
-BLOCK_WORDS, BLOCK_ROWS, LEAST_BLOCKS = 1 << 22, 4096, 4
+BLOCK_WORDS, BLOCK_ROWS, LEAST_BLOCKS = 1 << 22, 4096, 12
 #: Buckets of a multiset's profile, which bounds how much two multisets can share.
 PROFILE = 4096
 
@@ -33,9 +33,14 @@ def _table(letters: str) -> np.ndarray:
     return out
 
 
+def letter_numbers(seq: str, letters: str) -> np.ndarray:
+    """Each character's number: its place among the letters, or their number."""
+    return _table(letters)[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+
+
 def word_numbers(seq: str, k: int, letters: str = LETTERS, only: int | None = None) -> np.ndarray:
     """The words of a sequence in order of place; ``only``: of the first so many letters alone."""
-    at = _table(letters)[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+    at = letter_numbers(seq, letters)
     n = len(at) - k + 1
     if n < 1:
         return np.empty(0, np.int64)
@@ -46,8 +51,8 @@ def word_numbers(seq: str, k: int, letters: str = LETTERS, only: int | None = No
     return out[bad[k:] == bad[:-k]]
 
 
-def word_sets(seqs: DataFrame, k: int, letters: str = LETTERS, only: int | None = None) -> DataFrame:
-    """(seq_id, len, total, distinct, codes, counts): sorted distinct words (int64) and counts (int32) of each sequence of at least k letters, as bytes.
+def word_sets(seqs: DataFrame, k: int, letters: str = LETTERS, only: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(seq_id, len, total, distinct, codes, counts, columns to keep): sorted distinct words (int64) and counts (int32) of each sequence of at least k letters, as bytes.
 
     Characters outside ``letters`` count as one sign. ``total`` is the number of words that take part.
     """
@@ -63,8 +68,8 @@ def word_sets(seqs: DataFrame, k: int, letters: str = LETTERS, only: int | None
                 rows.append((codes.tobytes(), counts.astype(np.int32).tobytes(), len(codes), int(counts.sum())))
             yield pd.DataFrame(rows, columns=_SET.names)
 
-    rows = seqs.filter(F.length("seq") >= k).select("seq_id", F.length("seq").cast("long").alias("len"), sets("seq").alias("s"))
-    return rows.select("seq_id", "len", "s.total", "s.distinct", "s.codes", "s.counts")
+    rows = seqs.filter(F.length("seq") >= k).select("seq_id", F.length("seq").cast("long").alias("len"), sets("seq").alias("s"), *keep)
+    return rows.select("seq_id", "len", "s.total", "s.distinct", "s.codes", "s.counts", *keep)
 
 
 def exploded(sets: DataFrame, *keep: str) -> DataFrame:
@@ -106,32 +111,40 @@ def document_frequency(*sets: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).groupBy("code").agg(F.count(F.lit(1)).alias("df"))
 
 
-def rare_first(sets: DataFrame, df: DataFrame, *keep: str) -> DataFrame:
-    """exploded() with ``before``: the words of the sequence that are rarer than this one (fewer sequences, then the smaller number)."""
+def rare_first(sets: DataFrame, df: DataFrame, *keep: str, others: bool = False) -> DataFrame:
+    """exploded() with ``before``: the words of the sequence that are rarer than this one (fewer sequences, then the smaller number). others: words without a frequency stay, as the rarest; else they are left out."""
     order = Window.partitionBy("seq_id").orderBy("df", "code").rowsBetween(Window.unboundedPreceding, -1)
-    return exploded(sets, *keep).join(df, "code").withColumn("before", F.coalesce(F.sum("cnt").over(order), F.lit(0))).drop("df")
+    rows = exploded(sets, *keep).join(df, "code", "left" if others else "inner").withColumn("df", F.coalesce("df", F.lit(0)))
+    return rows.withColumn("before", F.coalesce(F.sum("cnt").over(order), F.lit(0))).drop("df")
 
 
 class _Block:
-    """The multisets of one side of a block, with their profiles made as they are asked for."""
+    """The multisets of one side of a block by id and strand, with their profiles made as they are asked for."""
 
-    def __init__(self):
-        self.at: dict = {}
-        self.codes: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.profiles: list[np.ndarray | None] = []
+    def __init__(self, complement: tuple[int, int] | None):
+        self.complement = complement
+        self.sets: dict = {}
+        self.profiles: dict = {}
 
     def add(self, ident, codes: bytes, counts: bytes) -> None:
-        self.at[ident] = len(self.codes)
-        self.codes.append(np.frombuffer(codes, np.int64))
-        self.counts.append(np.frombuffer(counts, np.int32))
-        self.profiles.append(None)
-
-    def profile(self, i: int) -> np.ndarray:
-        if self.profiles[i] is None:
-            bucket = (self.codes[i].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
-            self.profiles[i] = np.minimum(np.bincount(bucket.astype(np.int64), self.counts[i], PROFILE), 0xFFFF_FFFF).astype(np.uint32)
-        return self.profiles[i]
+        self.sets[ident, "+"] = np.frombuffer(codes, np.int64), np.frombuffer(counts, np.int32)
+
+    def get(self, ident, strand: str = "+") -> tuple[np.ndarray, np.ndarray] | None:
+        found = self.sets.get((ident, strand))
+        if found is None and strand == "-" and (ident, "+") in self.sets:
+            codes, counts = self.sets[ident, "+"]
+            codes = complemented(codes, *self.complement)
+            order = np.argsort(codes)
+            found = self.sets[ident, strand] = codes[order], counts[order]
+        return found
+
+    def profile(self, ident, strand: str = "+") -> np.ndarray:
+        at = ident, strand
+        if at not in self.profiles:
+            codes, counts = self.get(ident, strand)
+            bucket = (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
+            self.profiles[at] = np.minimum(np.bincount(bucket.astype(np.int64), counts, PROFILE), 0xFFFF_FFFF).astype(np.uint32)
+        return self.profiles[at]
 
 
 def _shared(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray]:
@@ -148,56 +161,78 @@ def complemented(codes: np.ndarray, k: int, base: int) -> np.ndarray:
     """The numbers of the reverse complements of nucleotide words (A, C, G, T are 0 to 3)."""
     out, rest = np.zeros_like(codes), codes.copy()
     for _ in range(k):
-        out = out * base + (3 - rest % base)
+        digit = rest % base
+        out = out * base + np.where(digit < 4, 3 - digit, digit)
         rest //= base
     return out
 
 
-def shared_counts(pairs: DataFrame, left: DataFrame, right: DataFrame | None = None, complement: tuple[int, int] | None = None) -> DataFrame:
-    """(src, dst, shared, first_code) of candidate pairs (src, dst, need) that share at least ``need`` words, counted with multiplicity.
+def shared_counts(pairs: DataFrame, left: DataFrame, right: DataFrame | None = None, complement: tuple[int, int] | None = None, checks: Callable | None = None) -> DataFrame:
+    """(src, dst, strand, shared, first_code) of candidate pairs (src, dst, need) that share at least ``need`` words, counted with multiplicity.
 
-    left and right are word_sets() tables; without right, both ids are of left. first_code is the smallest shared word,
-    or with ``complement`` (k, base) the smallest reverse complement of one. A pair passes a bound by profiles before
-    its arrays are compared.
+    left and right are word_sets() tables; without right, both ids are of left. first_code is the smallest shared word.
+    With ``complement`` (k, base), nucleotide words of dst are also taken as their reverse complements: strand is then -
+    where these share enough, and first_code the smallest word of dst as it was given. A pair passes a bound by
+    profiles before its arrays are compared. checks() makes a test for a pair of blocks: add(side, id, seq) of the
+    column ``seq`` that both tables then have, and ok(src, dst, strand), which drops pairs.
     """
     same = right is None
     tables = [left] if same else [left, right]
     sizes = [t.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("w")).first() for t in tables]
     blocks = max(LEAST_BLOCKS, *[-(-s["n"] // BLOCK_ROWS) for s in sizes], *[-(-s["w"] // BLOCK_WORDS) for s in sizes])
-    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     kind = left.schema["seq_id"].dataType.simpleString()
-    dealt = pairs.select("src", "dst", F.col("need").cast("long").alias("need"), of("src").alias("x"), of("dst").alias("y"))
-    if same:
-        dealt = dealt.withColumns({"x": F.least("x", "y"), "y": F.greatest("x", "y")})
-    none, no_bytes = F.lit(None).cast(kind), F.lit(None).cast("binary")
-    asked = dealt.select("x", "y", F.lit(2).alias("tag"), "src", "dst", "need", no_bytes.alias("codes"), no_bytes.alias("counts"))
-
-    def wanted(tag: int, sets: DataFrame, ids: DataFrame) -> DataFrame:
-        rows = ids.distinct().join(sets.select(F.col("seq_id").alias("src"), "codes", "counts"), "src")
-        return rows.select("x", "y", F.lit(tag).alias("tag"), "src", none.alias("dst"), F.lit(0).cast("long").alias("need"), "codes", "counts")
-
-    ends = dealt.select("x", "y", "src"), dealt.select("x", "y", F.col("dst").alias("src"))
-    sides = wanted(0, left, ends[0].unionByName(ends[1])) if same else wanted(0, left, ends[0]).unionByName(wanted(1, right, ends[1]))
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sides.unionByName(asked).repartition(parts, "x", "y").sortWithinPartitions("x", "y", "tag", "src")
+    dealt = dealt_pairs(pairs.select("src", "dst", F.col("need").cast("long").alias("need")), left, right, blocks, ["codes", "counts", *(["seq"] if checks else [])])
+    session = left.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    rows = dealt.repartition(parts, "x", "y").sortWithinPartitions("x", "y", "tag", "src")
+    strands = "+-" if complement else "+"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, [_Block(), _Block()]
+        now, held, check = None, [], None
         for batch in batches:
             out = []
-            for x, y, tag, src, dst, need, codes, counts in zip(*(batch[c].tolist() for c in ("x", "y", "tag", "src", "dst", "need", "codes", "counts"))):
+            seqs = batch["seq"].tolist() if checks else [None] * len(batch)
+            for x, y, tag, src, dst, need, codes, counts, seq in zip(*(batch[c].tolist() for c in ("x", "y", "tag", "src", "dst", "need", "codes", "counts")), seqs):
                 if (x, y) != now:
-                    now, held = (x, y), [_Block(), _Block()]
+                    now, held, check = (x, y), [_Block(complement), _Block(complement)], checks() if checks else None
                 if tag < 2:
                     held[tag].add(src, codes, counts)
+                    if check:
+                        check.add(tag, src, seq)
                     continue
                 a, b = held[0], held[0 if same else 1]
-                i, j = a.at.get(src), b.at.get(dst)
-                if i is None or j is None or np.minimum(a.profile(i), b.profile(j)).sum() < need:
+                if a.get(src) is None or b.get(dst) is None:
                     continue
-                n, words = _shared((a.codes[i], a.counts[i]), (b.codes[j], b.counts[j]))
-                if n >= max(need, 1):
-                    out.append((src, dst, n, int((complemented(words, *complement) if complement else words).min())))
-            yield pd.DataFrame(out, columns=["src", "dst", "shared", "first_code"])
+                for strand in strands:
+                    if np.minimum(a.profile(src), b.profile(dst, strand)).sum() < need:
+                        continue
+                    n, words = _shared(a.get(src), b.get(dst, strand))
+                    if n >= max(need, 1) and (check is None or check.ok(src, dst, strand)):
+                        out.append((src, dst, strand, n, int((complemented(words, *complement) if strand == "-" else words).min())))
+            yield pd.DataFrame(out, columns=["src", "dst", "strand", "shared", "first_code"])
+
+    return rows.mapInPandas(count, f"src {kind}, dst {kind}, strand string, shared long, first_code long")
 
-    return rows.mapInPandas(count, f"src {kind}, dst {kind}, shared long, first_code long")
+
+def dealt_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame | None, blocks: int, payload: list[str]) -> DataFrame:
+    """(x, y, tag, src, dst, columns of pairs, payload): rows dealt to pairs of blocks (x, y), where ids go to blocks by hash.
+
+    tag 0 and 1 are rows of left and of right (id in src) with their payload, once for each pair of blocks that some pair
+    needs them in, whatever the number of pairs; tag 2 are the pairs. Without right, both ids are of left.
+    """
+    same = right is None
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    dealt = pairs.withColumns({"x": of("src"), "y": of("dst")})
+    if same:
+        dealt = dealt.withColumns({"x": F.least("x", "y"), "y": F.greatest("x", "y")})
+    kinds, more = dict(pairs.dtypes) | {c: dict(left.dtypes)[c] for c in payload}, [c for c in pairs.columns if c not in ("src", "dst")]
+    null = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    asked = dealt.select("x", "y", F.lit(2).alias("tag"), "src", "dst", *more, *[null(c) for c in payload])
+
+    def wanted(tag: int, rows: DataFrame, ids: DataFrame) -> DataFrame:
+        found = ids.distinct().join(rows.select(F.col("seq_id").alias("src"), *payload), "src")
+        return found.select("x", "y", F.lit(tag).alias("tag"), "src", null("dst"), *[null(c) for c in more], *payload)
+
+    ends = dealt.select("x", "y", "src"), dealt.select("x", "y", F.col("dst").alias("src"))
+    sides = wanted(0, left, ends[0].unionByName(ends[1])) if same else wanted(0, left, ends[0]).unionByName(wanted(1, right, ends[1]))
+    return sides.unionByName(asked)

@@ -33,14 +33,28 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Paths that stored() has written and nothing has deleted yet, by application.
+_LEFT: dict[str, set[str]] = {}
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: its lineage is cut and survives lost executors. The table stays; see temporary()."""
-    return written(df, scratch(df.sparkSession, name))
+    """df written as Parquet to the shared folder and read back: its lineage is cut and survives lost executors. The table stays until clear(); see temporary()."""
+    path = scratch(df.sparkSession, name)
+    _LEFT.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
+    return written(df, path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all tables of this application that are still there, results of operators included, and tells how many. For between jobs: nothing that was returned before can be read after it."""
+    left = _LEFT.pop(spark.sparkContext.applicationId, set())
+    for path in left:
+        removed(spark, path)
+    return len(left)
 
 
 class Tables:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .functions import sequences as fs
 from .operators import align, candidates, cluster, kmers, report, sketch
+from .operators.index import build_index, open_index
 from .operators.options import Options
 from .plans.storage import scratch, stored
-from .sources import records
+from .sources import datasource, records
 
 K, TAU, HIGH = 5, 0.5, 0.9
 
@@ -159,13 +160,48 @@ def fastq_records(spark, sf_dir):
     return records.read_fastq(spark, path).filter(F.length("sequence") > 10).select("name", "sequence", "quality")
 
 
-@_query("read_limit", f"SELECT count(*) AS n, CAST(sum(length({_PLAIN})) > 0 AS INT) AS some FROM (SELECT * FROM documents WHERE length({_PLAIN}) > 10 AND doc_id IS NOT NULL ORDER BY doc_id LIMIT 50)")
+@_query("read_limit", f"SELECT '>' || doc_id AS identifier, md5({_PLAIN}) AS seq_md5 FROM (SELECT * FROM documents WHERE length({_PLAIN}) > 10 AND doc_id IS NOT NULL ORDER BY doc_id LIMIT 50)")
 def read_limit(spark, sf_dir):
     seq = fs.letters(F.coalesce("text", F.lit("")))
     path = scratch(spark, "limit")
-    rows = _table(spark, sf_dir, "documents").filter(F.length(seq) > 10)
-    rows.select(F.concat(F.lit(">"), "doc_id", F.lit("\n"), seq).alias("value")).write.text(path)
-    return records.kept_records(records.read_fasta(spark, path), most=50).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.length("seq")) > 0).cast("int").alias("some"))
+    rows = _table(spark, sf_dir, "documents").filter((F.length(seq) > 10) & F.col("doc_id").isNotNull())
+    rows.orderBy("doc_id").select(F.concat(F.lit(">"), "doc_id", F.lit("\n"), seq).alias("value")).write.text(path)
+    return records.kept_records(records.read_fasta(spark, path), most=50).select("identifier", F.md5("seq").alias("seq_md5"))
+
+
+@_query("paired_records", """
+WITH r AS (SELECT 'p' || p_partkey AS identifier, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS r1, upper(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) AS r2 FROM part)
+SELECT identifier, reverse(r2) || r1 AS seq, CAST(length(r2) AS INT) AS r2_length FROM r WHERE length(r1) + length(r2) > 30""")
+def paired_records(spark, sf_dir):
+    files = []
+    for column in ("p_name", "p_type"):
+        files.append(scratch(spark, column))
+        rows = _table(spark, sf_dir, "part").orderBy("p_partkey")
+        rows.select(F.concat(F.lit(">p"), "p_partkey", F.lit("\n"), F.col(column)).alias("value")).write.text(files[-1])
+    return records.paired(*(records.read_fasta(spark, f) for f in files), min_length=30).select("identifier", "seq", "r2_length")
+
+
+@_query("fasta_source", f"""
+SELECT 'd' || doc_id AS name, coalesce(lang, '') || ' x' AS comment, {_PLAIN} AS sequence, CAST(length({_PLAIN}) AS BIGINT) AS letters FROM documents WHERE length({_PLAIN}) > 1000""")
+def fasta_source(spark, sf_dir):
+    """The data source: byte ranges of files, and a filter that the reader applies."""
+    datasource.register(spark)
+    seq = fs.letters(F.coalesce("text", F.lit("")))
+    path = _written(spark, sf_dir, "fasta", F.concat(F.lit(">d"), "doc_id", F.lit(" "), F.coalesce("lang", F.lit("")), F.lit(" x\n"), F.regexp_replace(seq, "(.{60})", "$1\n")))
+    return spark.read.format("fasta").option("splitBytes", 1 << 20).load(path).filter("letters > 1000").select("name", "comment", "sequence", "letters")
+
+
+@_query("alphabet_reduce_nucleotides", f"WITH {DOCS} SELECT seq_id, regexp_replace(translate(seq, 'U', 'T'), '[^ACGT]', 'N', 'g') AS seq FROM seqs")
+def alphabet_reduce_nucleotides(spark, sf_dir):
+    return _docs(spark, sf_dir).select("seq_id", fs.nucleotides(F.col("seq")).alias("seq"))
+
+
+@_query("named_profile", """
+SELECT count(*) AS n_seqs, CAST(sum(length(p_name)) AS BIGINT) AS total_letters, max(length(p_name)) AS max_len, min(length(p_name)) AS min_len,
+  CAST(sum(length(p_name)) // count(*) AS BIGINT) AS avg_len, CAST(sum(length(p_brand)) AS BIGINT) AS total_header FROM part""")
+def named_profile(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_name").alias("seq"), F.col("p_brand").alias("identifier"))
+    return kmers.profile(rows).drop("n50")
 
 
 @_query("member_lines", """SELECT p_partkey AS seq_id, p_size || chr(9) || p_size * 7 || 'aa, >' || p_name || '...' ||
@@ -271,9 +307,19 @@ def small_set_pairs(spark, sf_dir):
     return candidates.small_pairs(kmers.sequences(_table(spark, sf_dir, "region"), "r_regionkey", "r_name"), 2, 0.01)
 
 
+@_query("components_small", f"""
+WITH RECURSIVE seqs AS (SELECT r_regionkey AS seq_id, {_norm('r_name')} AS seq FROM region), {_words(k=2)},
+s AS (SELECT a.seq_id AS src, b.seq_id AS dst, a.len - 1 AS ta, b.len - 1 AS tb, CAST(sum(least(a.cnt, b.cnt)) AS BIGINT) AS shared FROM km a JOIN km b ON a.word = b.word AND {BEFORE} GROUP BY ALL),
+e AS (SELECT src, dst FROM s WHERE shared::DOUBLE / (ta + tb - shared)::DOUBLE >= 0.05), both_ways AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e),
+reach(a, b) AS (SELECT seq_id, seq_id FROM seqs UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON r.b = x.a)
+SELECT a AS seq_id, first(b ORDER BY length(seq) DESC, b) AS root_id FROM reach JOIN seqs ON b = seqs.seq_id GROUP BY a""")
+def components_small(spark, sf_dir):
+    return cluster.component_clusters(kmers.sequences(_table(spark, sf_dir, "region"), "r_regionkey", "r_name"), 2, 0.05, small=True)
+
+
 @_query("length_bound_pairs", f"""
-WITH {DOCS}, {_words()}, {SHARED}, {_edges(TAU)} SELECT src, dst, ta + 4 AS len_src, tb + 4 AS len_dst FROM sh JOIN e USING (src, dst)
-WHERE ta + 4 <= floor((tb + 4)::FLOAT::DOUBLE / 0.8::DOUBLE) AND ta + 4 <= tb + 4 + 100""")
+WITH {DOCS}, {_words()}, {SHARED} SELECT src, dst, ta + 4 AS len_src, tb + 4 AS len_dst FROM sh
+WHERE shared::DOUBLE / (ta + tb - shared)::DOUBLE >= {TAU}::DOUBLE AND ta + 4 <= floor((tb + 4)::FLOAT::DOUBLE / 0.8::DOUBLE) AND ta + 4 <= tb + 4 + 100""")
 def length_bound_pairs(spark, sf_dir):
     seqs = _docs(spark, sf_dir)
     return candidates.length_bound_pairs(seqs, candidates.edges(seqs, K, TAU).select("src", "dst"), 0.8, 100)
@@ -352,16 +398,17 @@ def component_sizes(spark, sf_dir):
 @_query("cluster_count", f"WITH RECURSIVE {_parts_of(TAU)} SELECT (SELECT count(DISTINCT root_id) FROM comp) AS clusters, (SELECT count(*) FROM e) AS edges")
 def cluster_count(spark, sf_dir):
     seqs = _docs(spark, sf_dir)
-    links = stored(candidates.edges(seqs, K, TAU), "edges")
+    links = candidates.edges(seqs, K, TAU)
     got = cluster.component_clusters(seqs, K, TAU, links=links).agg(F.countDistinct("root_id").alias("clusters"))
     return got.crossJoin(links.agg(F.count(F.lit(1)).alias("edges")))  # two single rows
 
 
 @_query("components_reuse", f"WITH RECURSIVE {_parts_of(HIGH)} SELECT seq_id, root_id FROM comp")
 def components_reuse(spark, sf_dir):
-    seqs = _docs(spark, sf_dir)
-    links = stored(candidates.edges(seqs, K, TAU), "edges")
-    return cluster.component_clusters(seqs, K, HIGH, links=links.filter(F.col("jaccard") >= HIGH))
+    """The index is stored once; a search at a threshold of its own opens it and reads it as it lies."""
+    seqs, path = _docs(spark, sf_dir), scratch(spark, "index")
+    build_index(seqs, K, path)
+    return cluster.component_clusters(seqs, K, HIGH, links=open_index(spark, path).edges(HIGH))
 
 
 @_query("greedy_commit", f"WITH RECURSIVE {_greedy(TAU)} SELECT seq_id, root_id FROM greedy")
@@ -433,23 +480,48 @@ def distance_matrix(spark, sf_dir):
 
 @_query("greedy_identity_first")
 def greedy_identity_first(spark, sf_dir):
-    return cluster.identity_clusters(seq_normalize(spark, sf_dir).repartition("seq_id"), Options(identity=HIGH))
+    return cluster.identity_clusters(_plain(spark, sf_dir), Options(identity=HIGH))
 
 
 @_query("greedy_identity_best")
 def greedy_identity_best(spark, sf_dir):
-    return cluster.identity_clusters(seq_normalize(spark, sf_dir).repartition("seq_id"), Options(identity=HIGH, best=True))
+    return cluster.identity_clusters(_plain(spark, sf_dir), Options(identity=HIGH, best=True))
+
+
+def _plain(spark, sf_dir):
+    """The documents' letters, in upper case."""
+    return seq_normalize(spark, sf_dir).repartition("seq_id")
+
+
+def _changed(seqs: DataFrame, every: int) -> DataFrame:
+    """Sequences of which every so-many-th letter is another one: A for C to Z, and C for A and B."""
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length("seq") / every).cast("int"))), lambda i: F.substring("seq", (i - 1) * every + 1, F.lit(every)))
+    other = lambda p: F.when(F.length(p) < every, p).otherwise(F.concat(F.substring(p, 1, every - 1), F.translate(F.substring(p, every, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "CC" + "A" * 24)))
+    return seqs.select("seq_id", F.array_join(F.transform(at, other), "").alias("seq"))
+
+
+@_query("greedy_distance")
+def greedy_distance(spark, sf_dir):
+    """Clusters within a distance of 0.02: pairs meet on minimizers of stretches of 25 letters."""
+    return cluster.identity_clusters(_plain(spark, sf_dir), Options(distance=0.02, min_length=50))
+
+
+def _bases(spark, sf_dir):
+    """Each document read as bases (letter by letter), and its reverse complement with every 61st base changed, under ids of their own."""
+    read = _plain(spark, sf_dir).select("seq_id", F.translate("seq", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
+    back = _changed(read, 61).select("seq_id", fs.reverse_complement(F.col("seq")).alias("seq"))
+    return read.select((2 * F.col("seq_id")).alias("seq_id"), "seq").unionByName(back.select((2 * F.col("seq_id") + 1).alias("seq_id"), "seq"))
 
 
 @_query("greedy_nucleotide")
 def greedy_nucleotide(spark, sf_dir):
-    return cluster.identity_clusters(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), fs.letters(F.col("text")).alias("seq")), Options(identity=HIGH, nucleotide=True, word=5))
+    return cluster.identity_clusters(_bases(spark, sf_dir), Options(identity=0.97, nucleotide=True, word=10))
 
 
 def _two(spark, sf_dir):
-    """Two collections: benchmark items as representatives, documents as queries."""
-    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), fs.letters(F.coalesce("text", F.lit(""))).alias("seq"))
-    return items, seq_normalize(spark, sf_dir).repartition("seq_id")
+    """Two collections: the documents with every 37th letter changed as representatives, and the documents."""
+    query = _plain(spark, sf_dir)
+    return _changed(query, 37), query
 
 
 @_query("two_db_identity")
