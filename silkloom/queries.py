@@ -171,14 +171,14 @@ def read_limit(spark, sf_dir):
 
 @_query("paired_records", """
 WITH r AS (SELECT 'p' || p_partkey AS identifier, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS r1, upper(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) AS r2 FROM part)
-SELECT identifier, reverse(r2) || r1 AS seq, CAST(length(r2) AS INT) AS r2_length FROM r WHERE length(r1) + length(r2) > 30""")
+SELECT identifier, reverse(r2) || r1 AS seq, CAST(length(r2) AS INT) AS r2_length FROM r WHERE length(r1) + length(r2) > 20""")
 def paired_records(spark, sf_dir):
     files = []
     for column in ("p_name", "p_type"):
         files.append(scratch(spark, column))
         rows = _table(spark, sf_dir, "part").orderBy("p_partkey")
         rows.select(F.concat(F.lit(">p"), "p_partkey", F.lit("\n"), F.col(column)).alias("value")).write.text(files[-1])
-    return records.paired(*(records.read_fasta(spark, f) for f in files), min_length=30).select("identifier", "seq", "r2_length")
+    return records.paired(*(records.read_fasta(spark, f) for f in files), min_length=20).select("identifier", "seq", "r2_length")
 
 
 @_query("fasta_source", f"""
