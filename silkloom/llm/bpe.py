@@ -405,7 +405,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
     """docs with the column ``out`` of token ids (array<int>; empty for null or empty texts).
 
     path: a tokenizer file that each executor has. Every row is encoded for itself, so ties, repeated rows and other
-    columns change nothing; a column that is already named ``out`` is replaced.
+    columns change nothing; a column that is already named ``out`` is replaced; an empty table stays empty.
     """
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))

@@ -40,6 +40,7 @@ def fold(events: DataFrame) -> DataFrame:
     drops the message unless later events write it again. Other kinds are ignored. seq orders the events of a message;
     at ties resets come before deltas, then texts decide. A message stands in its conversation where its first event
     does and has the role of the first event that names one. Null texts are empty; null ids are ids of their own.
+    An empty table gives no messages; other columns are ignored, so none clashes. A text of any length is joined whole.
     """
     resets = F.col("kind").isin("edit", "regenerate", "delete")
     known = events.filter(resets | (F.col("kind") == "delta"))

@@ -93,7 +93,8 @@ def write(pages: DataFrame, path: str) -> None:
     """Writes pages (page_id, url, html) as gzip archives into the folder path.
 
     Null html is an empty payload; a null url leaves the target out, a null page_id the page-id field. Every row is
-    written, repeated rows too. Other columns are ignored; an empty table gives archives without records.
+    written, repeated rows too. Other columns are ignored; an empty table gives archives without records. A payload of any length is one record,
+    as long as it fits a row of Spark's.
     """
     captures_text(duplicates(pages)).write.option("compression", "gzip").option("lineSep", SEPARATOR).text(path)
 
