@@ -12,14 +12,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The order of letters if none is given: that of the characters themselves.
 LETTERS = "#ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words and sequences of one block, on average; what a task holds follows from these, not from the table's size.
-BLOCK_WORDS, BLOCK_ROWS, LEAST_BLOCKS = 1 << 22, 4096, 12
+BLOCK_WORDS, BLOCK_ROWS, LEAST_BLOCKS = 1 << 22, 4096, 16
 #: Buckets of a multiset's profile, which bounds how much two multisets can share.
 PROFILE = 4096
 
@@ -179,11 +179,9 @@ def shared_counts(pairs: DataFrame, left: DataFrame, right: DataFrame | None = N
     same = right is None
     tables = [left] if same else [left, right]
     sizes = [t.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("w")).first() for t in tables]
-    blocks = max(LEAST_BLOCKS, *[-(-s["n"] // BLOCK_ROWS) for s in sizes], *[-(-s["w"] // BLOCK_WORDS) for s in sizes])
+    blocks, parts = sized(left.sparkSession, sizes, BLOCK_WORDS)
     kind = left.schema["seq_id"].dataType.simpleString()
     dealt = dealt_pairs(pairs.select("src", "dst", F.col("need").cast("long").alias("need")), left, right, blocks, ["codes", "counts", *(["seq"] if checks else [])])
-    session = left.sparkSession
-    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
     rows = dealt.repartition(parts, "x", "y").sortWithinPartitions("x", "y", "tag", "src")
     strands = "+-" if complement else "+"
 
@@ -214,6 +212,14 @@ def shared_counts(pairs: DataFrame, left: DataFrame, right: DataFrame | None = N
     return rows.mapInPandas(count, f"src {kind}, dst {kind}, strand string, shared long, first_code long")
 
 
+def sized(spark: SparkSession, sizes: list, each: int) -> tuple[int, int]:
+    """(blocks, partitions) for tables of n rows and w units of work: blocks of ``each`` units and BLOCK_ROWS rows on average, but LEAST_BLOCKS at least, unless there are only a few rows."""
+    n = max(s["n"] for s in sizes)
+    blocks = max(min(LEAST_BLOCKS, -(-n // 32)), 1, *[-(-s["n"] // BLOCK_ROWS) for s in sizes], *[-(-s["w"] // each) for s in sizes])
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return blocks, min(parts, blocks * (blocks + 1) // 2)
+
+
 def dealt_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame | None, blocks: int, payload: list[str]) -> DataFrame:
     """(x, y, tag, src, dst, columns of pairs, payload): rows dealt to pairs of blocks (x, y), where ids go to blocks by hash.
 

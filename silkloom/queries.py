@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sequences as fs
-from .operators import align, candidates, cluster, kmers, report, sketch
+from .operators import align, candidates, cluster, kmers, report, shares, sketch
 from .operators.index import build_index, open_index
 from .operators.options import Options
 from .plans.storage import scratch, stored
@@ -506,6 +506,12 @@ def greedy_distance(spark, sf_dir):
     return cluster.identity_clusters(_plain(spark, sf_dir), Options(distance=0.02, min_length=50))
 
 
+@_query("word_shares")
+def word_shares(spark, sf_dir):
+    """The table of observed word shares, from a sample of the documents."""
+    return shares.observed_shares(_plain(spark, sf_dir).select("seq_id", fs.greedy_alphabet(F.col("seq")).alias("seq")), fs.GREEDY)
+
+
 def _bases(spark, sf_dir):
     """Each document read as bases (letter by letter), and its reverse complement with every 61st base changed, under ids of their own."""
     read = _plain(spark, sf_dir).select("seq_id", F.translate("seq", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
