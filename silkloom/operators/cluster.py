@@ -218,7 +218,8 @@ def identity_matches(base: DataFrame, query: DataFrame, options: Options = Optio
     with temporary(base.sparkSession) as tables:
         search = Search(base, query, o, tables)
         matches = _first_matches(search, search.pairs(), tables)
-        return stored(query.select("seq_id").join(_assigned(matches, ranked(base), o), "seq_id", "left"), "matched")
+        order = search.ranks.select("seq_id", F.col("rank").alias("ord"))
+        return stored(search.query.select("seq_id").join(_assigned(matches, order, o), "seq_id", "left"), "matched")
 
 
 def parents(clusters: DataFrame, seqs: DataFrame) -> DataFrame:

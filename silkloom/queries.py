@@ -495,7 +495,7 @@ def _plain(spark, sf_dir):
 
 def _changed(seqs: DataFrame, every: int) -> DataFrame:
     """Sequences of which every so-many-th letter is another one: A for C to Z, and C for A and B."""
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length("seq") / every).cast("int"))), lambda i: F.substring("seq", (i - 1) * every + 1, F.lit(every)))
+    at = F.regexp_extract_all("seq", F.lit(f".{{1,{every}}}"), 0)  # one pass, however long the sequence is
     other = lambda p: F.when(F.length(p) < every, p).otherwise(F.concat(F.substring(p, 1, every - 1), F.translate(F.substring(p, every, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "CC" + "A" * 24)))
     return seqs.select("seq_id", F.array_join(F.transform(at, other), "").alias("seq"))
 
