@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import jaccard, reverse_complement
 from ..plans.storage import Tables, stored, temporary
+from .fragments import fragment_counts, rare_in_fragments
 from .kmers import kmer_counts, ranked, words
-from .wordsets import document_frequency, rare_first, shared_counts, word_sets, word_text
+from .wordsets import LETTERS, document_frequency, rare_first, shared_counts, word_sets, word_text
 
 
 def _postings(seqs: DataFrame, k: int) -> DataFrame:
@@ -171,12 +172,15 @@ def strand_hits(base: DataFrame, query: DataFrame, k: int) -> DataFrame:
 
 def fragment_windows(base: DataFrame, query: DataFrame, k: int, fragment: int, span: int, least: int) -> DataFrame:
     """(src, dst, best): the largest number of shared words in ``span`` successive fragments of ``fragment`` words of src, if at least ``least``."""
-    frag = F.floor((F.col("pos") - 1) / fragment)
-    a = words(base, k).groupBy(F.col("seq_id").alias("src"), frag.alias("frag"), "word").agg(F.count(F.lit(1)).alias("ca"))
-    b = kmer_counts(query, k).select(F.col("seq_id").alias("dst"), "word", F.col("cnt").alias("cb"))
-    per = a.join(b, "word").groupBy("src", "dst", "frag").agg(F.sum(F.least("ca", "cb")).alias("c"))
-    here = Window.partitionBy("src", "dst").orderBy("frag").rangeBetween(-(span - 1), 0)
-    return per.withColumn("s", F.sum("c").over(here)).groupBy("src", "dst").agg(F.max("s").alias("best")).filter(F.col("best") >= least)
+    part = max(1, -(-least // span))
+    with temporary(base.sparkSession) as tables:
+        left = tables(word_sets(base, k, LETTERS, None, ("seq",)).withColumn("rank", F.lit(0)), "base")
+        right = tables(word_sets(query, k, LETTERS, None, ("seq",)), "query")
+        df = tables(document_frequency(left, right), "frequencies")
+        a = rare_in_fragments(left, df, k, fragment, LETTERS).filter(F.col("rest") >= part).select(F.col("seq_id").alias("src"), "code")
+        b = rare_first(right, df, "seq_id", "total").filter(F.col("total") - F.col("before") >= part).select(F.col("seq_id").alias("dst"), "code")
+        near = a.join(b, "code").select("src", "dst").distinct().withColumns({"need": F.lit(least).cast("long"), "frags": F.lit(span).cast("long")})
+        return stored(fragment_counts(tables(near, "candidates"), left, right, k, fragment, LETTERS).select("src", "dst", F.col("shared").alias("best")), "windows")
 
 
 def diagonals(pairs: DataFrame, seqs: DataFrame, size: int = 2) -> DataFrame:
